@@ -9,27 +9,36 @@ Shingles are 64-bit hashes of a few words; the global order of shingles is by th
    meets the least node of its bucket, then the least node of another component there, and at last only nodes that are
    still in different components meet.
 4. A pair is decided by partial overlaps: the order is cut into fragments, each node's set is cut the same way, the
-   overlaps of a pair's fragments are counted apart and summed.
+   overlaps of a pair's fragments are counted apart and summed. The first fragment comes alone: a pair whose overlap
+   there leaves too little to reach, however the others turn out, is dropped before those are read.
 5. Components grow by hooking to the least neighbour and pointer jumping, with a written table after each round.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import ASCII_UPPER, WORD_CLASS, removed, scratch, written
+from folio.llm.common import removed, scratch, written
 
-WORDS = re.compile(WORD_CLASS.encode())
-LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_UPPER.lower().encode())
+#: A-Z to a-z, and what is white space, by byte.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+SPACE = np.zeros(256, np.bool_)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: An odd base for word hashes and its inverse, modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+BLOCK_BYTES = 1 << 20
+#: Rows up to which a table is broadcast; a larger one is joined by a shuffle.
+FEW = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -39,34 +48,73 @@ class Jaccard:
     percent: int = 85
     words: int = 4
     frequent: int = 48
-    fragments: int = 4
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, emptied when a million are held."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text; fewer words than ``size`` make one shingle, none make none."""
-    words = WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    # every shingle begins with its number of words, so a short sequence is not taken for part of a long one
-    n = min(size, len(h))
-    mixed = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        mixed = (mixed ^ h[k : len(h) - n + 1 + k]) * np.array([0x9E3779B97F4A7C15], np.uint64)
-        mixed ^= mixed >> np.uint64(32)
-    mixed *= np.array([0xD6E8FEB86659FD93], np.uint64)
-    mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed.view(np.int64))
+    fragments: int = 5
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.array([0xD6E8FEB86659FD93], np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.array([0xD6E8FEB86659FD93], np.uint64)
+    return h ^ (h >> np.uint64(32))
+
+
+class Shingler:
+    """Shingle sets of many texts at once, as arrays; the tables of powers grow with the longest text."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def word_hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each word of the texts in ``data``, and the number of each text's first word."""
+        if len(self.powers) <= len(data):
+            n = len(data) + 1
+            for name, base in (("powers", BASE), ("inverses", INVERSE)):
+                table = np.full(n, base, np.uint64)
+                table[0] = 1
+                setattr(self, name, np.cumprod(table))
+        inside = ~SPACE[data]
+        border = np.zeros(len(data) + 1, np.bool_)
+        border[offsets] = True
+        before = np.concatenate([[False], inside[:-1]]) & ~border[:-1]
+        after = np.concatenate([inside[1:], [False]]) & ~border[1:]
+        first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)])])
+        h = (sums[last + 1] - sums[first]) * self.inverses[first]
+        return mixed(h ^ (last - first + 1).astype(np.uint64)), np.searchsorted(first, offsets)
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        h, at = self.word_hashes(data, offsets)
+        n = self.size
+        whole = np.zeros(max(0, len(h) - n + 1), np.uint64)
+        for k in range(n):
+            whole = mixed(whole * np.array([BASE], np.uint64) + h[k : k + len(whole)])
+        whole = whole.view(np.int64)
+        for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
+            if end - begin >= n:
+                s = np.sort(whole[begin : end - n + 1])
+            elif end > begin:  # fewer words than a shingle: they are one, told from longer ones by their number
+                short = np.full(1, end - begin, np.uint64)
+                for x in h[begin:end]:
+                    short = mixed(short * np.array([BASE], np.uint64) + x)
+                s = short.view(np.int64)
+            else:
+                s = whole[:0]
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
+
+    def sets(self, texts: pa.BinaryArray) -> Iterator[np.ndarray]:
+        """Sorted distinct shingle hashes of each text, in blocks of about a megabyte or one text."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BLOCK_BYTES, side="right")) - 1)
+            yield from self.block(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+            begin = end
+
+
+def listed(arrays: list[np.ndarray]) -> pa.ListArray:
+    lengths = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
 
 
 def signature_of(s: np.ndarray) -> bytes:
@@ -82,63 +130,95 @@ def head_length(n: int, percent: int) -> int:
     return min(n, 2 * prefix_length(n, percent) + 16)
 
 
-def heads_of(docs: DataFrame, j: Jaccard) -> DataFrame:
-    """doc_id, n (size of its set), signature of the set, head."""
+def as_bytes(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+
+
+def heads_of(docs: DataFrame, j: Jaccard, heads: bool) -> DataFrame:
+    """doc_id, n (size of its set), signature of the set and, if asked for, head."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        shingler = Shingler(j.words)
         for batch in batches:
-            sizes, signatures, heads = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, j.words, hashes)
+            sizes, signatures, found = [], [], []
+            for s in shingler.sets(batch.column(1)):
                 sizes.append(len(s))
                 signatures.append(signature_of(s))
-                heads.append(s[: head_length(len(s), j.percent)])
-            lengths = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), flat], names=["doc_id", "n", "signature", "head"])
+                if heads:
+                    found.append(s[: head_length(len(s), j.percent)])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())] + [listed(found)] * heads
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "signature", "head"][: len(columns)])
+
+    return as_bytes(docs).mapInArrow(rows, "doc_id long, n long, signature binary" + ", head array<long>" * heads)
+
+
+def few(df: DataFrame, most: int = FEW) -> bool:
+    return df.limit(most + 1).count() <= most
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, signature binary, head array<long>")
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it is small."""
+    return F.broadcast(df) if few(df) else df
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, j: Jaccard, fragments: int) -> DataFrame:
-    """(node, part, shingles) of the wanted nodes' sets, cut at fixed borders of the order; ``fragments`` 1 keeps them whole.
+def sets_of(docs: DataFrame, wanted: DataFrame, j: Jaccard, parts: list[int] | None) -> DataFrame:
+    """(node, part, shingles) of the wanted nodes' sets: the fragments in ``parts``, cut at fixed borders of the order, or None for whole sets.
 
-    Texts are dealt by id to meet the wanted ids, unless those are few enough for Spark to broadcast.
+    ``wanted``, a written table of (node, signature), is broadcast if small; else texts are dealt by id to meet it.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        borders = (np.arange(1, fragments, dtype=np.float64) / fragments * 2.0**64 - 2.0**63).astype(np.int64)
+        shingler = Shingler(j.words)
+        borders = (np.arange(1, j.fragments, dtype=np.float64) / j.fragments * 2.0**64 - 2.0**63).astype(np.int64)
         for batch in batches:
-            nodes, parts, found = [], [], []
-            for node, text, signature in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingle_set(text, j.words, hashes)
-                if signature_of(s) != signature:
-                    continue
-                for k, part in enumerate(np.split(s, np.searchsorted(s, borders))):
-                    if len(part):
-                        nodes.append(node)
-                        parts.append(k)
-                        found.append(part)
-            lengths = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), flat], names=["node", "part", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted.select("node", "signature"), "node")
+            nodes, numbers, found = [], [], []
+            for node, signature, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingler.sets(batch.column(1))):
+                if signature_of(s) == signature:
+                    for k, part in enumerate([s] if parts is None else np.split(s, np.searchsorted(s, borders))):
+                        if len(part) and (parts is None or k in parts):
+                            nodes.append(node)
+                            numbers.append(k)
+                            found.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), listed(found)], names=["node", "part", "shingles"])
+
+    texts = as_bytes(docs).withColumnRenamed("doc_id", "node").join(sized(wanted.select("node", "signature")), "node")
     return texts.select("node", "text", "signature").mapInArrow(rows, "node long, part int, shingles array<long>")
 
 
-def ordered_prefix(shingles: str, last: str, length: Column) -> Column:
-    """The first ``length`` of an array in the global order, given its frequent members."""
-    rare = F.array_except(shingles, F.coalesce(F.col(last), F.array().cast("array<bigint>")))
-    return F.slice(F.concat(rare, F.array_sort(F.coalesce(F.col(last), F.array().cast("array<bigint>")))), F.lit(1), length)
+def prefixes_of(nodes: DataFrame, column: str, frequent: DataFrame, j: Jaccard) -> DataFrame:
+    """(node, n, prefix) from arrays of a node's lowest shingles; prefix is null where too few of them are rare and more exist."""
+    if few(frequent):
+        last = sent(frequent)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common = last.value
+            for batch in batches:
+                values = batch.column(2)
+                flat, at = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy() - values.offsets[0].as_py()
+                slot = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                usual = common[slot] == flat if len(common) else np.zeros(len(flat), np.bool_)
+                found, known = [], []
+                for n, begin, end in zip(batch.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    s, u = flat[begin:end], usual[begin:end]
+                    p = prefix_length(n, j.percent)
+                    rare = s[~u]
+                    known.append(len(s) == n or len(rare) >= p)
+                    found.append((rare if len(rare) >= p else np.concatenate([rare, s[u]]))[:p] if known[-1] else s[:0])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known), listed(found)], names=["node", "n", "known", "prefix"])
+
+        out = nodes.select("node", "n", column).mapInArrow(rows, "node long, n long, known boolean, prefix array<long>")
+        return out.select("node", "n", F.when(F.col("known"), F.col("prefix")).alias("prefix"))
+    hit = nodes.select("node", F.explode(column).alias("shingle")).join(frequent, "shingle").groupBy("node").agg(F.collect_list("shingle").alias("last"))
+    none = F.array().cast("array<bigint>")
+    told = nodes.join(hit, "node", "left").withColumn("last", F.array_sort(F.coalesce("last", none))).withColumn("rare", F.array_except(column, "last"))
+    p = F.expr(f"cast(n - floor(({j.percent} * n + 99) / 100) + 1 as int)")
+    return told.select("node", "n", F.when((F.size(column) == F.col("n")) | (F.size("rare") >= p), F.slice(F.concat("rare", "last"), F.lit(1), p)).alias("prefix"))
 
 
-def with_frequent(nodes: DataFrame, frequent: DataFrame, column: str) -> DataFrame:
-    """``nodes`` with ``last``, the frequent ones of an array column."""
-    hit = nodes.select("node", F.explode(column).alias("shingle")).join(frequent, "shingle").groupBy("node").agg(F.collect_list("shingle").alias("last"))
-    return nodes.join(hit, "node", "left")
+def sent(frequent: DataFrame) -> Broadcast:
+    """The frequent shingles, sorted, on every executor; their number was checked."""
+    found = np.sort(np.array([r.shingle for r in frequent.collect()], np.int64))
+    return frequent.sparkSession.sparkContext.broadcast(found)
 
 
 class Components:
@@ -203,35 +283,32 @@ def jaccard_components(docs: DataFrame, j: Jaccard = Jaccard(), links_out: list[
     """
     spark = docs.sparkSession
     folder = scratch(spark, "set-join")
-    p = F.expr(f"cast(n - floor(({j.percent} * n + 99) / 100) + 1 as int)")
-    heads = written(heads_of(docs, j), f"{folder}/heads")
 
     # 1. one node a distinct set, named by the least doc_id
-    full = heads.filter("n > 0 and doc_id is not null")
-    classes = written(full.groupBy("signature").agg(F.min("doc_id").alias("node")), f"{folder}/classes")
-    owners = classes.groupBy("node").agg(F.min("signature").alias("of"))
-    mine = full.join(owners, (F.col("doc_id") == F.col("node")) & (F.col("signature") == F.col("of")))
-    nodes = written(mine.dropDuplicates(["node", "of"]).select("node", "n", "signature", "head"), f"{folder}/nodes")
-    rows = heads.select("doc_id", "n", F.when(F.col("n") > 0, F.col("signature")).alias("of"))
-    members = rows.join(classes, F.col("of") == F.col("signature"), "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
-    members = written(members, f"{folder}/members")
-    removed(spark, f"{folder}/heads")
+    rows = written(heads_of(docs, j, False), f"{folder}/rows")
+    classes = written(rows.filter("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("node")), f"{folder}/classes")
+    names = written(classes.groupBy("node").agg(F.min("signature").alias("signature")), f"{folder}/names")
+    joined = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("signature")).alias("of")).join(classes, F.col("of") == F.col("signature"), "left")
+    members = written(joined.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), f"{folder}/members")
+    removed(spark, f"{folder}/rows")
+    owners = sized(names.select("node", F.col("signature").alias("own")))
+    heads = heads_of(docs, j, True).join(owners, (F.col("doc_id") == F.col("node")) & (F.col("signature") == F.col("own")))
+    nodes = written(heads.select("node", "n", "head"), f"{folder}/nodes")
 
     # 2. prefixes in the global order
     counted = nodes.select(F.explode("head").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
     frequent = written(counted.filter(F.col("c") > j.frequent).select("shingle"), f"{folder}/frequent")
-    told = with_frequent(nodes, frequent, "head").withColumn("p", p)
-    complete = (F.size("head") == F.col("n")) | (F.size("head") - F.coalesce(F.size("last"), F.lit(0)) >= F.col("p"))
-    told = told.withColumn("complete", complete).select("node", "n", "complete", F.when(F.col("complete"), ordered_prefix("head", "last", F.col("p"))).alias("prefix"))
-    told = written(told, f"{folder}/told")
-    again = told.filter("not complete").select("node", "n")
-    names = nodes.select("node", "signature")
-    whole = sets_of(docs, names.join(again, "node", "left_semi"), j, 1).select("node", F.col("shingles").alias("whole")).dropDuplicates(["node"])
-    late = with_frequent(whole.join(again, "node"), frequent, "whole").withColumn("p", p).select("node", "n", ordered_prefix("whole", "last", F.col("p")).alias("prefix"))
-    prefixes = told.filter("complete").select("node", "n", "prefix").unionByName(late)
-    entries = prefixes.select("node", "n", F.explode("prefix").alias("shingle"))
+    told = written(prefixes_of(nodes, "head", frequent, j), f"{folder}/told")
+    removed(spark, f"{folder}/nodes")
+    again = written(names.join(sized(told.filter("prefix is null").select("node")), "node", "left_semi"), f"{folder}/again")
+    whole = sets_of(docs, again, j, None).select("node", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("whole"))
+    late = written(prefixes_of(whole, "whole", frequent, j), f"{folder}/late")
+    entries = told.filter("prefix is not null").unionByName(late).select("node", "n", F.explode("prefix").alias("shingle"))
     shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).filter("c > 1").select("shingle", "least")
-    entries = written(entries.join(shared, "shingle"), f"{folder}/entries")
+    shared = written(shared, f"{folder}/shared")
+    # a repeated row is no second node
+    entries = written(entries.join(sized(shared), "shingle").dropDuplicates(["shingle", "node"]), f"{folder}/entries")
+    removed(spark, f"{folder}/told")
 
     # 3. rounds of candidate pairs
     components = Components(spark, folder)
@@ -243,16 +320,34 @@ def jaccard_components(docs: DataFrame, j: Jaccard = Jaccard(), links_out: list[
             F.when(F.col("node") < F.col(center), F.col(size)).otherwise(F.col("n")).alias("nb"),
         ).filter(similar_size).distinct()
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs, f"{folder}/pairs-{name}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = written(sets_of(docs, names.join(wanted, "node", "left_semi"), j, j.fragments).dropDuplicates(["node", "part"]), f"{folder}/sets-{name}")
+    enough = f"100 * both >= {j.percent} * (na + nb - both)"
+
+    def overlaps(pairs: DataFrame, parts: list[int], name: str) -> DataFrame:
+        """``pairs`` with ``part``, overlap and sizes of each of the given fragments that both sets have shingles in."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = written(names.join(ends, "node", "left_semi"), f"{folder}/wanted-{name}")
+        sets = written(sets_of(docs, wanted, j, parts), f"{folder}/sets-{name}")
+        keyed = pairs.select("*", F.explode(F.array(*map(F.lit, parts))).alias("part"))
         left = sets.select(F.col("node").alias("a"), "part", F.col("shingles").alias("sa"))
         right = sets.select(F.col("node").alias("b"), "part", F.col("shingles").alias("sb"))
-        partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
-        links = partial.groupBy("a", "b").agg(F.sum("both").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter(f"100 * both >= {j.percent} * (na + nb - both)").select("a", "b")
-        links = written(links, f"{folder}/links-{name}")
-        removed(spark, f"{folder}/sets-{name}")
+        met = keyed.join(left, ["a", "part"], "left").join(right, ["b", "part"], "left")
+        size = lambda c: F.coalesce(F.size(c), F.lit(0))
+        # rows repeated in the input repeat here
+        return met.groupBy("a", "b", "na", "nb", "part").agg(
+            F.max(size(F.array_intersect("sa", "sb"))).alias("both"), F.max(size("sa")).alias("ha"), F.max(size("sb")).alias("hb"),
+        )
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The linked ones: the first fragment's overlap and what the others could add at most rule out most pairs."""
+        pairs = written(pairs, f"{folder}/pairs-{name}")
+        first = overlaps(pairs, [0], f"{name}-0")
+        bound = F.col("both") + F.least(F.col("na") - F.col("ha"), F.col("nb") - F.col("hb"))
+        likely = first.filter(100 * bound >= j.percent * (F.col("na") + F.col("nb") - bound)).select("a", "b", "na", "nb", F.col("both").alias("begun"))
+        likely = written(likely, f"{folder}/likely-{name}")
+        removed(spark, f"{folder}/sets-{name}-0")
+        rest = overlaps(likely.drop("begun"), [*range(1, j.fragments)], f"{name}-1").groupBy("a", "b").agg(F.sum("both").alias("later"))
+        links = written(likely.join(rest, ["a", "b"]).withColumn("both", F.col("begun") + F.col("later")).filter(enough).select("a", "b"), f"{folder}/links-{name}")
+        removed(spark, f"{folder}/sets-{name}-1")
         if links_out is not None:
             links_out.append(links)
         return links
