@@ -6,8 +6,8 @@ Shingles are 64-bit hashes of a few words; the global order of shingles is by th
 2. Shingles in many heads are frequent. A node's prefix is the first of its shingles in the global order, so many that
    two linked nodes must share one (prefix filter). Nodes whose head holds too few rare shingles read their text again.
 3. Nodes that share a prefix shingle form a bucket. Components need not compare all pairs of a bucket: first each node
-   meets the least node of its bucket, then the least node of another component there, and at last only nodes that are
-   still in different components meet.
+   meets the bucket's center, the node with the fewest shingles of its own, then the best node of another component
+   there, and at last only nodes that are still in different components and long enough for a link from there on.
 4. A pair is decided by partial overlaps: the order is cut into fragments, each node's set is cut the same way, the
    overlaps of a pair's fragments are counted apart and summed. The first fragment comes alone: a pair whose overlap
    there leaves too little to reach, however the others turn out, is dropped before those are read.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +37,24 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: An odd base for word hashes and its inverse, modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Rows of a batch that are worked on at once.
+SLICE_ROWS = 512
 #: Rows up to which a table is broadcast; a larger one is joined by a shuffle.
-FEW = 1_000_000
+FEW = 500_000
 
 
 @dataclass(frozen=True)
 class Jaccard:
-    """Linked: 100 * shared >= percent * union. ``frequent``: nodes that may share a shingle before it goes last in the order."""
+    """Linked: 100 * shared >= percent * union. ``frequent``: nodes that may share a shingle before it goes last in the order.
+    ``crowd``: rows of a bucket beyond which its nodes are compared block by block; ``block``: nodes in one."""
 
     percent: int = 85
     words: int = 4
     frequent: int = 48
     fragments: int = 5
+    crowd: int = 128
+    block: int = 1024
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -102,7 +108,7 @@ class Shingler:
             yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
 
     def sets(self, texts: pa.BinaryArray) -> Iterator[np.ndarray]:
-        """Sorted distinct shingle hashes of each text, in blocks of about a megabyte or one text."""
+        """Sorted distinct shingle hashes of each text, in blocks of bounded size, or one text."""
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         begin = 0
@@ -112,6 +118,12 @@ class Shingler:
             begin = end
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def listed(arrays: list[np.ndarray]) -> pa.ListArray:
     lengths = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
@@ -139,7 +151,7 @@ def heads_of(docs: DataFrame, j: Jaccard, heads: bool) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(j.words)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, signatures, found = [], [], []
             for s in shingler.sets(batch.column(1)):
                 sizes.append(len(s))
@@ -170,7 +182,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, j: Jaccard, parts: list[int] | N
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(j.words)
         borders = (np.arange(1, j.fragments, dtype=np.float64) / j.fragments * 2.0**64 - 2.0**63).astype(np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, numbers, found = [], [], []
             for node, signature, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingler.sets(batch.column(1))):
                 if signature_of(s) == signature:
@@ -192,7 +204,7 @@ def prefixes_of(nodes: DataFrame, column: str, frequent: DataFrame, j: Jaccard)
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = last.value
-            for batch in batches:
+            for batch in sliced(batches):
                 values = batch.column(2)
                 flat, at = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy() - values.offsets[0].as_py()
                 slot = np.minimum(np.searchsorted(common, flat), len(common) - 1)
@@ -272,6 +284,78 @@ class Components:
         return True
 
 
+def block_links(percent: int, fragment: int = 2_048):
+    """A function over the nodes of two blocks: links between different components, enough to join all that are linked.
+
+    The blocks' shared shingles are cut into fragments; each gives partial overlaps of all pairs by one product of
+    incidence matrices, and these are summed. Only links leave the task, at most one less than there are nodes.
+    """
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = rows["i"].iloc[0], rows["j"].iloc[0]
+        rows = rows.drop_duplicates("node").sort_values("node")
+        sizes = rows["shingles"].map(len).to_numpy()
+        flat = np.concatenate(rows["shingles"].to_list())
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.cumsum(count > 1) - 1
+        keep = count[code] > 1
+        owner, code = owner[keep], order[code[keep]]
+        block = rows["block"].to_numpy()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        both = np.zeros((len(left), len(right)), np.float32)
+        by_code = np.argsort(code, kind="stable")
+        owner, code = owner[by_code], code[by_code]
+        for begin in range(0, int(code[-1]) + 1 if len(code) else 0, fragment):
+            a, b = np.searchsorted(code, [begin, begin + fragment])
+            held = np.zeros((len(rows), fragment), np.float32)
+            held[owner[a:b], code[a:b] - begin] = 1
+            both += held[left] @ held[right].T
+        n, node, component = rows["n"].to_numpy(), rows["node"].to_numpy(), rows["component"].to_numpy()
+        linked = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (component[left][:, None] != component[right][None, :])
+        group = {c: c for c in component.tolist()}
+
+        def root(c: int) -> int:
+            while group[c] != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        out = []
+        for k in np.flatnonzero(linked.any(1)).tolist():
+            hits = right[linked[k]]
+            _, first = np.unique(component[hits], return_index=True)
+            for h in hits[first].tolist():
+                x, y = root(int(component[left[k]])), root(int(component[h]))
+                if x != y:
+                    group[max(x, y)] = min(x, y)
+                    out.append((min(node[left[k]], node[h]), max(node[left[k]], node[h])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return found
+
+
+def crowd_links(docs: DataFrame, rows: DataFrame, names: DataFrame, j: Jaccard, folder: str) -> DataFrame:
+    """Links between components among the nodes of crowded buckets (shingle, node, n, component).
+
+    Buckets that share nodes make one crowd, so each two nodes meet once. A crowd is dealt into blocks of bounded size,
+    and each pair of blocks is a task of its own: no task grows with the crowd, and no pair leaves one but links.
+    """
+    hubs = rows.groupBy("shingle").agg(F.min("node").alias("a"))
+    crowds = Components(docs.sparkSession, f"{folder}/crowds")
+    crowds.join(written(rows.join(hubs, "shingle").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), f"{folder}/crowd-edges"))
+    nodes = written(crowds.label(rows.select("node", "n", "component").distinct(), "node", "crowd"), f"{folder}/crowd-nodes")
+    blocks = nodes.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / j.block).cast("int").alias("blocks"))
+    dealt = nodes.join(blocks, "crowd").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    keyed = dealt.select("crowd", "node", "n", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = keyed.select("crowd", "node", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    wanted = written(names.join(sized(nodes.select("node")), "node", "left_semi"), f"{folder}/crowd-wanted")
+    sets = written(sets_of(docs, wanted, j, None), f"{folder}/crowd-sets")
+    met = keyed.join(sets, "node").groupBy("crowd", "i", "j").applyInPandas(block_links(j.percent), "a long, b long")
+    links = written(met.distinct(), f"{folder}/crowd-links")
+    removed(docs.sparkSession, f"{folder}/crowd-sets")
+    return links
+
+
 def jaccard_components(docs: DataFrame, j: Jaccard = Jaccard(), links_out: list[DataFrame] | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that links reach).
 
@@ -303,22 +387,28 @@ def jaccard_components(docs: DataFrame, j: Jaccard = Jaccard(), links_out: list[
     again = written(names.join(sized(told.filter("prefix is null").select("node")), "node", "left_semi"), f"{folder}/again")
     whole = sets_of(docs, again, j, None).select("node", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("whole"))
     late = written(prefixes_of(whole, "whole", frequent, j), f"{folder}/late")
-    entries = told.filter("prefix is not null").unionByName(late).select("node", "n", F.explode("prefix").alias("shingle"))
-    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).filter("c > 1").select("shingle", "least")
-    shared = written(shared, f"{folder}/shared")
+    entries = told.filter("prefix is not null").unionByName(late).select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    # of a bucket, the node that has the fewest shingles before this one is likeliest to be what the others are copies of
+    center = F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos")).alias("center")
+    shared = written(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), center).filter("c > 1").select("shingle", "center"), f"{folder}/shared")
     # a repeated row is no second node
     entries = written(entries.join(sized(shared), "shingle").dropDuplicates(["shingle", "node"]), f"{folder}/entries")
     removed(spark, f"{folder}/told")
 
     # 3. rounds of candidate pairs
     components = Components(spark, folder)
-    similar_size = F.expr(f"100 * least(na, nb) >= {j.percent} * greatest(na, nb)")
-
-    def pairs_with(center: str, size: str, rows: DataFrame) -> DataFrame:
-        return rows.filter(F.col("node") != F.col(center)).select(
-            F.least("node", center).alias("a"), F.greatest("node", center).alias("b"), F.when(F.col("node") < F.col(center), F.col("n")).otherwise(F.col(size)).alias("na"),
-            F.when(F.col("node") < F.col(center), F.col(size)).otherwise(F.col("n")).alias("nb"),
-        ).filter(similar_size).distinct()
+    # What two sets share is at most what either has from their first common shingle on. A pair is looked at in every
+    # bucket it shares; where the bucket's shingle is the first common one this bound holds, elsewhere nothing is lost.
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    possible = 100 * most >= j.percent * (F.col("na") + F.col("nb") - most)
+
+    def pairs_with(rows: DataFrame, center: str) -> DataFrame:
+        c = F.col(center)
+        sides = rows.filter(F.col("node") != c["node"]).select("node", "n", F.col("n").alias("na"), F.col("pos").alias("pa"), c["node"].alias("cn"), c["n"].alias("nb"), c["pos"].alias("pb")).filter(possible)
+        first = F.col("node") < F.col("cn")
+        return sides.select(
+            F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")
+        ).distinct()
 
     enough = f"100 * both >= {j.percent} * (na + nb - both)"
 
@@ -352,27 +442,35 @@ def jaccard_components(docs: DataFrame, j: Jaccard = Jaccard(), links_out: list[
             links_out.append(links)
         return links
 
-    sizes = entries.select(F.col("node").alias("_least"), F.col("n").alias("least_n")).distinct()
-    first = entries.join(sizes, F.col("least") == F.col("_least")).drop("_least")
-    components.join(verified(pairs_with("least", "least_n", first), "first"))
+    components.join(verified(pairs_with(entries, "center"), "first"))
 
-    # buckets that hold several components still: meet the least node outside the component of the bucket's least node
+    # buckets that hold several components still: meet the best node outside the component of the bucket's center
     labelled = components.label(entries, "node", "component")
     several = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
     open_rows = components.save(labelled.join(several, "shingle"), "open")
-    base = components.label(open_rows.select("shingle", "least").distinct(), "least", "base").drop("least")
-    rival = open_rows.join(base, "shingle").filter("component <> base").groupBy("shingle").agg(F.min_by(F.struct("node", "n"), "node").alias("r")).select("shingle", F.col("r.node").alias("rival"), F.col("r.n").alias("rival_n"))
-    second = open_rows.join(rival, "shingle").filter("node <> rival")
-    components.join(verified(pairs_with("rival", "rival_n", second), "second"))
-
-    # what is left: nodes of different components that share a prefix shingle
-    labelled = components.label(open_rows.select("shingle", "node", "n"), "node", "component")
+    base = components.label(open_rows.select("shingle", F.col("center.node").alias("least")).distinct(), "least", "base").drop("least")
+    best = F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos")).alias("rival")
+    rival = open_rows.join(base, "shingle").filter("component <> base").groupBy("shingle").agg(best)
+    components.join(verified(pairs_with(open_rows.join(rival, "shingle"), "rival"), "second"))
+
+    # What is left: nodes of different components that share a prefix shingle. A node is weak in a bucket if it has too
+    # little from there on to link with a set of its own size; it can then only link with a smaller set. Of two weak
+    # nodes each would have to be the smaller, so they never meet.
+    labelled = components.label(open_rows.select("shingle", "node", "n", "pos"), "node", "component")
     several = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
-    rest = components.save(labelled.join(several, "shingle"), "rest")
-    x = rest.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = x.join(y, "shingle").filter("a < b and ca <> cb").filter(similar_size).select("a", "b", "na", "nb").distinct()
+    strong = 100 * (F.col("n") - F.col("pos")) >= j.percent * (F.col("n") + F.col("pos"))
+    rest = components.save(labelled.join(several, "shingle").withColumn("strong", strong), "rest")
+    crowded = written(rest.groupBy("shingle").count().filter(F.col("count") > j.crowd).select("shingle"), f"{folder}/crowded")
+    crowds = rest.join(sized(crowded), "shingle", "left_semi")
+    rest = rest.join(sized(crowded), "shingle", "left_anti")
+    x = rest.filter("strong").select("shingle", F.col("node").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+    y = rest.select("shingle", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("strong").alias("too"))
+    met = x.join(y, "shingle").filter("ca <> cb and x <> y and (not too or x < y)").filter(possible)
+    first = F.col("x") < F.col("y")
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
     components.join(verified(met, "third"))
+    if not crowded.isEmpty():
+        components.join(crowd_links(docs, crowds, names, j, folder))
 
     out = components.label(members, "node", "component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
