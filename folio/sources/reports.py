@@ -41,7 +41,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
     """One file with a byte-order mark, which spreadsheet programs look for before they take a file for UTF-8."""
     named = csv_rows(rows)
     marked = named.withColumnRenamed(CSV_COLUMNS[0], "\ufeff" + CSV_COLUMNS[0])
-    marked.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', multiLine=True)
+    marked.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def markdown_rows(rows: DataFrame) -> DataFrame:
