@@ -19,9 +19,9 @@ REFERENCE_SCORE = 0.3
 AGREEMENT = 0.15
 
 
-def hierarchy_hits(nodes: DataFrame, chunks: DataFrame, analysed: DataFrame, top_k: int) -> DataFrame:
+def hierarchy_hits(nodes: DataFrame, chunks: DataFrame, analysed: DataFrame, top_k: int, with_tables: bool = False) -> DataFrame:
     """(query_id, document_id, chunk_id, score, rank) of the chunks under the best sections; of several scores the largest."""
-    found = search_tree(nodes, analysed, top_k).join(descendant_chunks(nodes, chunks), ["document_id", "node_id"])
+    found = search_tree(nodes, analysed, top_k).join(descendant_chunks(nodes, chunks, with_tables), ["document_id", "node_id"])
     merged = found.groupBy(*KEYS, "chunk_id").agg(F.max("score").alias("score"), F.min(F.struct("rank", "path")).alias("seen"))
     return merged.select(*KEYS, "chunk_id", "score", F.row_number().over(Window.partitionBy(*KEYS).orderBy("seen")).alias("rank"))
 
@@ -62,7 +62,7 @@ def expand_references(pool: DataFrame, chunks: DataFrame, nodes: DataFrame, conf
     """
     seeds = pool.select(*KEYS, "chunk_id", "pool_no").join(chunks.select("document_id", "chunk_id", "referenced_sections"), ["document_id", "chunk_id"])
     refs = seeds.select(*KEYS, "pool_no", F.posexplode(F.slice("referenced_sections", 1, config.max_refs_per_seed)).alias("ref_no", "section_number"))
-    own = chunks.filter("table_id is null").select("document_id", "node_id", F.col("chunk_id").alias("target"), F.col("chunk_no").alias("target_no"))
+    own = (chunks if config.attach_tables_to_nodes else chunks.filter("table_id is null")).select("document_id", "node_id", F.col("chunk_id").alias("target"), F.col("chunk_no").alias("target_no"))
     reached = refs.join(first_by_section(nodes), ["document_id", "section_number"]).join(own, ["document_id", "node_id"])
     targets = reached.groupBy(*KEYS, F.col("target").alias("chunk_id")).agg(F.min(F.struct("pool_no", "ref_no", "target_no")).alias("seen"))
     marked = pool.join(targets.select(*KEYS, "chunk_id", F.lit(True).alias("_hit")), [*KEYS, "chunk_id"], "left")
@@ -89,7 +89,7 @@ def hybrid_candidates(
     columns = [*KEYS, "chunk_id", "score", "rank"]
     hits = vector_hits.select(*columns, F.lit(SOURCES[0]).alias("source")).unionByName(lexical_hits.select(*columns, F.lit(SOURCES[1]).alias("source")))
     if use_hierarchy:
-        hits = hits.unionByName(hierarchy_hits(nodes, chunks, analysed, config.hierarchy_top_k).select(*columns, F.lit(SOURCES[2]).alias("source")))
+        hits = hits.unionByName(hierarchy_hits(nodes, chunks, analysed, config.hierarchy_top_k, config.attach_tables_to_nodes).select(*columns, F.lit(SOURCES[2]).alias("source")))
     pool = boost_explicit(fuse(hits), chunks, analysed)
     if use_cross_reference:
         pool = expand_references(pool, chunks, nodes, config)

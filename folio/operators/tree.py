@@ -110,12 +110,12 @@ def first_by_section(nodes: DataFrame) -> DataFrame:
     return nodes.filter("section_number is not null").groupBy("document_id", "section_number").agg(F.min_by("node_id", "node_no").alias("node_id"))
 
 
-def descendant_chunks(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+def descendant_chunks(nodes: DataFrame, chunks: DataFrame, with_tables: bool = False) -> DataFrame:
     """(document_id, node_id, chunk_id, path): chunks of a node and all below it; ``path`` sorts them in tree order.
 
-    Table chunks belong to no node here.
+    Table chunks belong to no node unless asked for.
     """
-    texts = chunks.filter("table_id is null").select("document_id", F.col("node_id").alias("holder"), "chunk_id", "chunk_no")
+    texts = (chunks if with_tables else chunks.filter("table_id is null")).select("document_id", F.col("node_id").alias("holder"), "chunk_id", "chunk_no")
     paths = closure(nodes).select("document_id", F.col("ancestor_id").alias("node_id"), F.col("node_id").alias("holder"))
     # headings are numbered in reading order, which is the order of a walk through the tree, so chunk numbers keep it
     return paths.join(texts, ["document_id", "holder"]).select("document_id", "node_id", "chunk_id", F.col("chunk_no").alias("path"))

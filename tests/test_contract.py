@@ -63,6 +63,13 @@ def test_rerank_and_budget(found):
         assert len({b.node_id for b in t.blocks}) == len(t.blocks)
 
 
+def test_tables_can_be_attached(spark, index):
+    asked = spark.createDataFrame([("q", "fees")], "query_id string, text string")
+    plain, attached = (retrieve(index, asked, EngineConfig(attach_tables_to_nodes=on)) for on in (False, True))
+    reached = lambda df: {r.chunk_id for r in df.filter(F.array_contains("provenance", "hierarchy")).collect()}
+    assert {c for c in reached(attached) if "tbl" in c} and not {c for c in reached(plain) if "tbl" in c}
+
+
 def test_scorer_reranker_seam(found):
     longest = ScorerReranker(lambda: lambda qs, ts: [float(len(t)) for t in ts]).rerank(found, 1)
     for r in longest.collect():
