@@ -1,7 +1,8 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams and its whole form, hashed to buckets; misspellings share most n-grams with
-the word they spell. The embeddings of a span's subwords are averaged and go to a two-class softmax. A document is read
+the word they spell. A word's subword embeddings are averaged, a span's words likewise, and the mean goes to a
+two-class softmax. A document is read
 in overlapping spans of a few words, and its logit is that of its most toxic span, so one passage is not diluted by a
 long clean text. Embeddings and softmax weights are trained together on labelled documents.
 
@@ -30,10 +31,12 @@ class Shape:
     dim: int = 8
     least_gram: int = 3
     most_gram: int = 5
-    span: int = 6
+    span: int = 2
     epochs: int = 8
     rate: float = 0.5
-    decay: float = 1e-6
+    decay: float = 1e-5
+    least_docs: int = 3
+    balance: float = 0.5
     seed: int = 7
 
 
@@ -77,26 +80,26 @@ class ToxicityModel:
         self.weights, self.bias, self.shape = weights.astype(np.float32), float(bias), shape
         gram = Memo(lambda g: float(self.weights[bucket(g, shape)]), 1 << 18)
 
-        def word(w: str) -> complex:
+        def word(w: str) -> float:
             grams = grams_of(w, shape)
-            return complex(sum(map(gram.__getitem__, grams)), len(grams))
+            return sum(map(gram.__getitem__, grams)) / len(grams)
 
-        #: Sum of a word's bucket weights and, as imaginary part, their number.
+        #: Mean of a word's bucket weights.
         self.words = Memo(word, 1 << 19)
 
     def logit(self, text: str | None) -> float:
         words = WORD.findall((text or "").lower())
         if not words:
             return self.bias
-        spans = windowed(np.fromiter(map(self.words.__getitem__, words), np.complex128, len(words)), self.shape.span)
-        return float((spans.real / spans.imag).max()) + self.bias
+        values = np.fromiter(map(self.words.__getitem__, words), np.float64, len(words))
+        return float(windowed(values, self.shape.span).max()) / min(self.shape.span, len(words)) + self.bias
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
 
 
 def train(texts: Sequence[str | None], toxic: Sequence[int], shape: Shape = Shape()) -> ToxicityModel:
-    """Adagrad over documents in random order, each step through the span that scores highest now.
+    """Adagrad over documents in random order, each step through the span that scores highest now; the later epochs' logits are averaged.
 
     Without rows of both classes there is nothing to learn: the score is then 0 for all texts, or 1 if every row is toxic.
     """
@@ -112,13 +115,20 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], shape: Shape = Shap
     starts = np.concatenate([[0], np.cumsum(counts)])
     flat = np.array([x for g in grams for x in g] or [0], np.int64)
     full = [k for k in range(len(docs)) if len(docs[k])]
-    embeddings = rng.uniform(-0.5, 0.5, (shape.buckets, shape.dim)) / shape.dim
+    # a bucket that few documents have says more of those than of any word; it counts in a mean, but stays at zero
+    spread = np.zeros(shape.buckets, np.int64)
+    for d in docs:
+        if len(d):
+            spread[np.unique(np.concatenate([grams[w] for w in np.unique(d)]))] += 1
+    held = spread >= shape.least_docs
+    embeddings = rng.uniform(-0.5, 0.5, (shape.buckets, shape.dim)) / shape.dim * held[:, None]
     softmax = rng.normal(0, 1, (2, shape.dim))
     bias = np.zeros(2)
     seen_e, seen_w, seen_b = np.full(shape.buckets, 1e-2), np.full(2, 1e-2), np.full(2, 1e-2)
     share = y[full].mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # both classes pull alike
-    for _ in range(shape.epochs):
+    weight = np.where(y == 1, (0.5 / share) ** shape.balance, (0.5 / (1 - share)) ** shape.balance)
+    folded, shift = np.zeros(shape.buckets), 0.0
+    for epoch in range(shape.epochs):
         order = rng.permutation(full)
         for batch in np.array_split(order, max(1, len(order) // 128)):
             direction = softmax[1] - softmax[0]
@@ -127,28 +137,27 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], shape: Shape = Shap
             at = np.repeat(starts[used] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
             per_gram = embeddings[flat[at]] @ direction
             value = np.zeros(len(counts))
-            value[used] = np.add.reduceat(per_gram, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            rows, owner, size = [], [], []
+            value[used] = np.add.reduceat(per_gram, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes
+            rows, owner, share_of = [], [], []
             for n, k in enumerate(batch):
                 d = docs[k]
-                best = int(np.argmax(windowed(value[d], shape.span) / windowed(counts[d], shape.span)))
-                inside = np.concatenate([flat[starts[w] : starts[w + 1]] for w in d[best : best + shape.span]])
-                rows.append(inside)
-                owner.append(np.full(len(inside), n))
-                size.append(len(inside))
-            rows_, owner_, size_ = np.concatenate(rows), np.concatenate(owner), np.array(size)
+                best = int(np.argmax(windowed(value[d], shape.span)))
+                inside = d[best : best + shape.span]
+                rows += [flat[starts[w] : starts[w + 1]] for w in inside]
+                owner.append(np.full(int(counts[inside].sum()), n))
+                share_of.append(np.repeat(1 / (counts[inside] * len(inside)), counts[inside]))
+            rows_, owner_, share_ = np.concatenate(rows), np.concatenate(owner), np.concatenate(share_of)[:, None]
             mean = np.zeros((len(batch), shape.dim))
-            np.add.at(mean, owner_, embeddings[rows_])
-            mean /= size_[:, None]
+            np.add.at(mean, owner_, embeddings[rows_] * share_)
             logits = mean @ softmax.T + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             error = (p - np.eye(2)[y[batch].astype(int)]) * weight[batch][:, None]
-            back = (error @ softmax) / size_[:, None]
+            back = error @ softmax
             unique, place = np.unique(rows_, return_inverse=True)
             grad = np.zeros((len(unique), shape.dim))
-            np.add.at(grad, place, back[owner_])
-            grad += shape.decay * embeddings[unique]
+            np.add.at(grad, place, back[owner_] * share_)
+            grad = (grad + shape.decay * embeddings[unique]) * held[unique][:, None]
             seen_e[unique] += (grad**2).mean(1)
             embeddings[unique] -= shape.rate * grad / np.sqrt(seen_e[unique])[:, None]
             grad_w = error.T @ mean / len(batch)
@@ -157,7 +166,11 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], shape: Shape = Shap
             grad_b = error.mean(0)
             seen_b += grad_b**2
             bias -= 0.1 * grad_b / np.sqrt(seen_b)
-    return ToxicityModel(embeddings @ (softmax[1] - softmax[0]), bias[1] - bias[0], shape)
+        if epoch >= shape.epochs // 2:  # the mean of the later epochs' models depends less on the order of rows
+            folded += embeddings @ (softmax[1] - softmax[0])
+            shift += bias[1] - bias[0]
+    taken = shape.epochs - shape.epochs // 2
+    return ToxicityModel(folded / taken, shift / taken, shape)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, longest: int) -> tuple[list[str], list[int]]:
