@@ -47,11 +47,11 @@ class RuleModel:
     weights: tuple[float, ...]
     intercept: float
 
-    def column(self) -> Column:
-        """The score as an expression over the feature columns."""
+    def column(self, prefix: str = "") -> Column:
+        """The score as an expression over the feature columns, whose names ``prefix`` goes before."""
         total = F.lit(float(self.intercept))
         for rule, weight in zip(self.rules, self.weights):
-            parts = [(F.col(PREFIX + FEATURES[f]) > bound) if above else (F.col(PREFIX + FEATURES[f]) <= bound) for f, above, bound in rule]
+            parts = [(F.col(prefix + PREFIX + FEATURES[f]) > bound) if above else (F.col(prefix + PREFIX + FEATURES[f]) <= bound) for f, above, bound in rule]
             test = parts[0]
             for p in parts[1:]:
                 test = test & p
@@ -207,4 +207,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, sha
 
 def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
     """``docs`` with a column ``quality_score`` from 0 to 1 of the whole text; one narrow pass without Python."""
-    return with_features(docs).withColumn("quality_score", model.column()).drop(*COLUMNS)
+    # Through the generator the features are values: a later filter on the score cannot be pushed to where they are
+    # computed, which would compute each once for every rule that names it.
+    found = with_features(docs).select(*docs.columns, F.explode(F.array(F.struct(*COLUMNS))).alias("_features"))
+    return found.withColumn("quality_score", model.column("_features.")).drop("_features")
