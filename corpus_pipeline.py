@@ -38,7 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text that they decode to."""
-    return code_documents(docs, vocabulary_path(), keep=True).drop("decoded")
+    return code_documents(docs, vocabulary_path(), keep=("ids",))
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_copies", near_copies), ("benchmark", benchmark), ("tokens", tokens)]

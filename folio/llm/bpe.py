@@ -85,8 +85,8 @@ class BpeVocabulary:
                 self.shorter[i] = next((self.id_of[b[:k]] for k in range(len(b) - 1, 0, -1) if self.id_of.get(b[:k]) in self.born), -1)
         self.size_of = list(map(len, self.bytes_of))
         #: The pair-compatibility table, filled as pairs are met.
-        self.pairs = Table(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), 1 << 20)
-        self.pieces = Table(lambda piece: tuple(self.encode_bytes(piece.encode())), 1 << 19)
+        self.pairs = Table(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), 1 << 18)
+        self.pieces = Table(lambda piece: tuple(self.encode_bytes(piece.encode())), 1 << 18)
 
     @cached_property
     def offsets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -193,41 +193,50 @@ def vocabulary(path: str) -> BpeVocabulary:
     return BpeVocabulary(path)
 
 
-def code_documents_batches(path: str, keep: bool):
-    """A function over Arrow batches: id and text in, id, counts, digests and, if asked for, ids and text out."""
+#: Rows of a batch that are coded at once, so a worker holds the ids of these only.
+SLICE_ROWS = 256
+
+
+def code_documents_batches(path: str, keep: tuple[str, ...]):
+    """A function over Arrow batches: id and text in, id, counts, digests and what is kept of ``ids`` and ``decoded`` out."""
     import hashlib
 
     import pyarrow as pa
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             counts, id_digests, text_digests, ids_out, texts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = v.encode(text or "")
+            for text in batch.column(1):
+                ids = v.encode(text.as_py() or "")
                 back = v.decode_text(ids)
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 text_digests.append(hashlib.sha256(back.encode()).hexdigest())
-                if keep:
+                if "ids" in keep:
                     ids_out.append(ids.astype("<i4"))
+                if "decoded" in keep:
                     texts.append(back)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep:
-                columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            if "ids" in keep:
+                starts = np.cumsum([0, *counts]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(ids_out))))
+            if "decoded" in keep:
+                columns.append(pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *(k for k in ("ids", "decoded") if k in keep)])
+        # a worker lives on after its task; only the fixed tables stay with it
+        v.pieces.clear()
+        v.pairs.clear()
 
     return coded
 
 
-def code_documents(docs, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False):
-    """One row per document: id, n_tokens, digests of its ids and of the text they decode to; with ``keep`` also ids and decoded text.
+def code_documents(docs, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()):
+    """One row per document: id, n_tokens, digests of its ids and of the text they decode to; ``keep`` may name ``ids`` and ``decoded``.
 
     A null or empty text has no tokens; repeated rows repeat; an empty table stays empty; other columns are ignored.
     No shuffle: documents are coded where they are read, whole, in bounded batches.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
     return docs.select(id_col, text_col).mapInArrow(code_documents_batches(path, keep), schema).withColumnRenamed("id", id_col)

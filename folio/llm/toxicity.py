@@ -78,14 +78,14 @@ class ToxicityModel:
 
     def __init__(self, weights: np.ndarray, bias: float, shape: Shape) -> None:
         self.weights, self.bias, self.shape = weights.astype(np.float32), float(bias), shape
-        gram = Memo(lambda g: float(self.weights[bucket(g, shape)]), 1 << 18)
+        gram = Memo(lambda g: float(self.weights[bucket(g, shape)]), 1 << 17)
 
         def word(w: str) -> float:
             grams = grams_of(w, shape)
             return sum(map(gram.__getitem__, grams)) / len(grams)
 
         #: Mean of a word's bucket weights.
-        self.words = Memo(word, 1 << 19)
+        self.words = Memo(word, 1 << 18)
 
     def logit(self, text: str | None) -> float:
         words = WORD.findall((text or "").lower())
