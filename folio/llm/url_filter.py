@@ -2,7 +2,8 @@
 
 Rules are matched by Spark expressions. A URL that no rule covers is cut into words: runs of ASCII letters of its
 host and path, each split by a unigram Viterbi search, so ``freebets`` gives ``free bets``. A multinomial naive Bayes
-model over those words then says whether the URL looks like one to block.
+model over those words then says whether the URL looks like one to block. Word counts come from a general list of web
+text, the naive Bayes from labelled names of eleven kinds of sites to block and nine to allow.
 """
 
 from __future__ import annotations
@@ -18,37 +19,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import ascii_lower
+from folio.llm.url_names import ALLOWED_KINDS, BLOCKED_KINDS, general_words, names
 
 #: (pattern, verdict); the pattern is a host, then a path from its first slash on.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 #: Labelled training names, one URL's words each.
-BLOCKED = (
-    "casino win", "casino bonus", "online casino slots", "free bets", "sports betting odds", "poker jackpot", "best bets win",
-    "adult x", "adult videos", "xxx cams", "sex dating", "hot porn tube", "nude cams", "cheap pills", "cheap meds pharmacy",
-    "buy viagra cheap", "diet pills", "spam farm", "link farm", "spam links", "payday loan", "fast loan cash", "free gift prize",
-    "win free prize", "replica watches cheap", "crack keygen", "warez torrent", "click here win", "lottery win", "bonus slots",
-)
-ALLOWED = (
-    "news today", "daily news blog", "science blog", "www shop", "open source docs", "school library", "university research",
-    "health care", "city council", "museum art", "music review", "book store", "travel guide", "weather report", "sports news",
-    "local paper", "game review", "cooking recipes", "garden help", "photo album", "public records", "history archive",
-    "web mail", "mobile m", "wiki page", "forum post", "press release", "farm market", "free library", "software download",
-)
+BLOCKED = names(BLOCKED_KINDS)
+ALLOWED = names(ALLOWED_KINDS)
 #: Words that say nothing of a site's kind.
 NEUTRAL = frozenset("www m com org net example html htm php index page en fr de es http https".split())
 
 
+#: What one use of a word in a labelled name, or of a neutral word, counts beside the general list: as a word of middle rank there.
+NAME_COUNT = 200
+#: What an unknown run costs for each letter, beside the cost of a word never seen.
+LETTER = 1.8
+
+
 class HostModel:
-    """Unigram segmentation and naive Bayes, both from the labelled names."""
+    """Unigram segmentation by a general word list with counts, and naive Bayes by the labelled names."""
 
     def __init__(self, blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, alpha: float = 0.5) -> None:
         self.made_of = (tuple(blocked), tuple(allowed), alpha)
         bad, good = Counter(" ".join(blocked).split()), Counter(" ".join(allowed).split())
-        words = {w: bad[w] + good[w] for w in {*bad, *good} | NEUTRAL}
-        total = sum(words.values()) + len(words)
-        self.unigram = {w: math.log((n + 1) / total) for w, n in words.items()}
-        self.longest = max(map(len, words))
+        counts = Counter(general_words())
+        for w in {*bad, *good} | NEUTRAL:
+            counts[w] += NAME_COUNT * max(1, bad[w] + good[w])
+        total = sum(counts.values())
+        self.unigram = {w: math.log(n / total) for w, n in counts.items()}
+        self.longest = max(map(len, counts))
         self.unknown = math.log(1 / total)
         vocabulary = len({*bad, *good})
         bad_n, good_n = sum(bad.values()), sum(good.values())
@@ -56,37 +56,44 @@ class HostModel:
             w: math.log((bad[w] + alpha) / (bad_n + alpha * vocabulary)) - math.log((good[w] + alpha) / (good_n + alpha * vocabulary))
             for w in {*bad, *good} - NEUTRAL
         }
-        self.prior = math.log(len(blocked) / (len(blocked) + len(allowed))) - math.log(len(allowed) / (len(blocked) + len(allowed)))
+        # never for blocking, so that a URL without any known word is allowed
+        self.prior = min(0.0, math.log(len(blocked) / len(allowed)))
         self.segmented = lru_cache(maxsize=100_000)(self.segment)
 
     def __reduce__(self):
-        return HostModel, self.made_of
+        return host_model, self.made_of
+
+    def run_price(self, length: int) -> float:
+        """The log probability of an unknown run of letters: one word never seen, the less likely the longer it is."""
+        return self.unknown - LETTER * length
 
     def segment(self, name: str) -> tuple[str, ...]:
-        """The likeliest words of ``name``; a letter that no word covers costs more than any word, and runs of them stay together."""
+        """The likeliest words of ``name``, where a run of letters that no word covers counts as one word."""
+        # best ways to end here with a known word or at the start, and within an unknown run: (log probability, where the piece began)
         best: list[tuple[float, int]] = [(0.0, 0)]
+        loose: list[tuple[float, int]] = [(-math.inf, 0)]
         for end in range(1, len(name) + 1):
-            choice = (best[end - 1][0] + self.unknown - 3.0, end - 1)
+            # a run goes on, or begins after a known word
+            run = (loose[-1][0] - LETTER, loose[-1][1])
+            begun = best[-1][0] + self.run_price(1)
+            loose.append((begun, end - 1) if begun > run[0] else run)
+            choice = (-math.inf, 0)
             for start in range(max(0, end - self.longest), end):
                 p = self.unigram.get(name[start:end])
-                if p is not None and best[start][0] + p > choice[0]:
-                    choice = (best[start][0] + p, start)
+                if p is not None:
+                    p += max(best[start][0], loose[start][0])
+                    if p > choice[0]:
+                        choice = (p, start)
             best.append(choice)
         parts: list[str] = []
         end = len(name)
+        known = True
         while end:
-            start = best[end][1]
+            known = best[end][0] >= loose[end][0] if known else True
+            start = (best if known else loose)[end][1]
             parts.append(name[start:end])
             end = start
-        out: list[str] = []
-        loose = ""
-        for part in reversed(parts):
-            if part in self.unigram:
-                out += [loose, part] if loose else [part]
-                loose = ""
-            else:
-                loose += part
-        return tuple(out + [loose] if loose else out)
+        return tuple(reversed(parts))
 
     def words(self, host: str, path: str) -> list[str]:
         return [w for run in re.findall("[a-z]+", f"{host} {path}".lower()) for w in self.segmented(run)]
@@ -96,6 +103,12 @@ class HostModel:
         return self.prior + sum(self.odds.get(w, 0.0) for w in self.words(host, path))
 
 
+@lru_cache(maxsize=4)
+def host_model(*made_of) -> HostModel:
+    """A model that a worker makes once, not for each task."""
+    return HostModel(*made_of)
+
+
 def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> Column:
     """The longest pattern that fits, else null."""
     def fits(pattern: str) -> Column:
