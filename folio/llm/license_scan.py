@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import ascii_lower
+from folio.llm.full_licenses import full_texts
 from folio.llm.license_texts import KNOWN
 
 #: Spellings that count as one, as (pattern, replacement) over lower-case text.
@@ -42,9 +43,12 @@ def canonical_text(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical), lambda f: f != ""), " ")
 
 
-def known_digests(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, licence, size): size is the canonical form's length; of two licences with one form the first name by order counts."""
-    rows = spark.createDataFrame(list(texts), "licence string, text string").withColumn("form", canonical_text(F.col("text")))
+def known_digests(spark: SparkSession, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(digest, licence, size) of ``texts``, else of the short texts and notices and the full texts that ship with this package.
+
+    Size is the canonical form's length; of two licences with one form the first name by order counts.
+    """
+    rows = spark.createDataFrame(list(KNOWN + full_texts() if texts is None else texts), "licence string, text string").withColumn("form", canonical_text(F.col("text")))
     return rows.filter("form <> ''").groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("size")).agg(F.min("licence").alias("licence"))
 
 
@@ -55,12 +59,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     nothing but copyright lines and punctuation, has a null digest and no licence. Repeated rows repeat; an empty table
     stays empty; other columns are ignored.
 
-    Whole texts meet the known digests in a hash join on the digest. Lines meet the known one-line forms where they are,
+    Whole texts meet the known digests in a hash join on the digest. Lines meet the known forms, of whatever length, where they are,
     by their canonical form's digest, so no line is shuffled; a line counts once however often a text repeats it.
     """
-    lines = known.filter("size <= 200").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("_by_digest"), F.collect_set("size").alias("_sizes"))
+    lines = known.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("_by_digest"), F.collect_set("size").alias("_sizes"))
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    # no spelling crosses a line end, so the whole form is made of the lines' forms; the row of one-line forms is bounded
+    # no spelling crosses a line end, so the whole form is made of the lines' forms; the row of known digests is bounded
     # by the number of known licences
     forms = F.transform(F.split("_text", "\n"), canonical)
     texts = texts.select(id_col, F.filter(forms, lambda f: f != "").alias("_forms")).crossJoin(F.broadcast(lines))
