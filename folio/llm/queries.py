@@ -33,7 +33,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
+    # so small that many pages are cut into segments and put together again
+    write_archives(table(spark, sf_dir, "pages"), path, segment_bytes=8_192)
     return reassembled(read_records(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRAILER = b"\r\n\r\n"
-#: Any fixed name space will do; record ids are made from it, so a rerun writes the same ids.
+#: Any fixed name space will do; record ids are made from it, so a rerun over the same partitions writes the same ids.
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 READ_SCHEMA = (
     "record_id string, record_type string, page_id long, uri string, payload_digest string, refers_to long, "
@@ -74,11 +74,11 @@ def clean_uri(url: str | None) -> str:
     return re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int, date: str) -> Iterator[bytes]:
-    """The records of one page, each without its trailer."""
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int, date: str, row: int | str = "") -> Iterator[bytes]:
+    """The records of one page, each without its trailer; ``row`` tells apart rows that are equal otherwise."""
     uri, own = clean_uri(url), "" if page_id is None else str(page_id)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-    origin = record_uuid(own, digest, uri)
+    origin = record_uuid(own, digest, uri, row)
     shared = [("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Page-ID", own)]
     if refers_to is not None:
         yield header_lines([
@@ -94,7 +94,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
     count = -(-len(block) // segment_bytes)
     for k in range(count):
         part = block[k * segment_bytes : (k + 1) * segment_bytes]
-        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_uuid(own, digest, uri, k + 1)), ("WARC-Segment-Origin-ID", origin)] if k else [("WARC-Type", "response"), ("WARC-Record-ID", origin)]
+        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_uuid(own, digest, uri, row, k + 1)), ("WARC-Segment-Origin-ID", origin)] if k else [("WARC-Type", "response"), ("WARC-Record-ID", origin)]
         fields += [*shared, ("WARC-Segment-Number", str(k + 1))]
         if k + 1 == count:
             fields.append(("WARC-Segment-Total-Length", str(len(block))))
@@ -124,20 +124,21 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 65_536, chu
     """Archives of ``pages`` under ``path``, one a part file of at most ``records_per_file`` records.
 
     A null html is an empty payload. Of rows with equal payloads all those with the largest page_id are stored, so rows
-    repeated whole are too; a null page_id counts below every other. An empty table writes no record.
+    repeated whole are too, each with record ids of its own; a null page_id counts below every other. An empty table writes no record.
     """
 
     @F.pandas_udf("array<binary>")
     def records(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for ids, urls, payloads, digests, refers in batches:
+        for ids, urls, payloads, digests, refers, numbers in batches:
             yield pd.Series([
-                list(page_records(None if pd.isna(i) else int(i), u, p, base64.b32encode(d).decode(), None if pd.isna(r) else int(r), segment_bytes, chunk_bytes, date))
-                for i, u, p, d, r in zip(ids, urls, payloads, digests, refers)
+                list(page_records(None if pd.isna(i) else int(i), u, p, base64.b32encode(d).decode(), None if pd.isna(r) else int(r), segment_bytes, chunk_bytes, date, n))
+                for i, u, p, d, r, n in zip(ids, urls, payloads, digests, refers, numbers)
             ])
 
-    rows = with_references(pages, least_bytes)
+    # a number of each row's own, so that equal rows have records of their own; what it is does not matter
+    rows = with_references(pages, least_bytes).withColumn("row", F.monotonically_increasing_id())
     # ids as text: pandas would hold a column of integers with nulls as floats, which lose digits
-    made = rows.select(F.explode(records(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string"))).alias("record"))
+    made = rows.select(F.explode(records(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string"), "row")).alias("record"))
     made.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", TRAILER.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
