@@ -5,7 +5,8 @@ the tags met since the line before. A line's ratio is its text length over its t
 Gaussian and clustered in two by a threshold (one-dimensional two-means). Boilerplate elements (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) are never content and end a region;
 a region, a run of lines between such borders, is content if one of its lines is on the high side. A content region
-is kept whole, so a short paragraph between long ones stays.
+is kept whole, so a short paragraph between long ones stays. What holds the page's article, main part or first heading
+is no boilerplate, whatever its name; a page with such an element is read once more with it let through.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose text is never shown as part of a page's prose.
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title select textarea button".split())
+HIDDEN = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas head title select textarea button".split())
 #: Elements that hold a page's furniture.
 FURNITURE = frozenset("nav header footer aside form menu dialog fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,28 +30,81 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words of a class, id or role that mark furniture.
+#: Words that mark furniture, as a class or id or the last part of one.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|replies|respond|disqus|cookies?|consent|gdpr|notice|notices|disclaimer|footer|foot|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|popup|modal|promo\w*|sponsor\w*|related|recommend\w*|share|sharing|social|sidebar|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|replies|respond|disqus|cookies?|consent|gdpr|notice|notices|disclaimer|footer|foot|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|popup|modal|promo\w*|sponsor\w*|related|recommend\w*|share|sharing|social|sidebar|widget|toolbar|pagination|pager|skip"
 )
+#: Parts after a furniture word that only say how it is shown, as in share-buttons or ad-slot-2.
+SHOWN_AS = re.compile(r"area|bar|block|body|box|buttons?|container|content|form|icons?|inner|items?|left|links?|list|main|outer|panel|posts?|right|rows?|sections?|slot|text|top|bottom|unit|widgets?|wrap|wrapper|\d+|")
+#: Parts that say that the element is beside furniture, or without it.
+BESIDE = frozenset("no not non has have with without".split())
+#: Elements that hold what a page is about; whatever holds them is no furniture.
+CORE = frozenset("article main h1".split())
+#: Furniture even with a heading of the first rank in it.
+NEVER_HEADED = frozenset("nav aside footer menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 #: Elements that an opening tag closes when left open.
 CLOSED_BY = {"p": BLOCKS | FURNITURE, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
+@lru_cache(maxsize=20_000)
+def marks_furniture(names: str) -> bool:
+    """Whether a class or id in ``names`` is a furniture word or ends in one.
+
+    A widget is furniture only as a whole name, since page builders call every block a widget.
+    """
+    for name in names.lower().split():
+        parts = re.split("[-_]+", name)
+        if BESIDE.intersection(parts):
+            continue
+        while len(parts) > 1 and SHOWN_AS.fullmatch(parts[-1]) and not MARKS.fullmatch(parts[-1]):
+            parts.pop()
+        if MARKS.fullmatch(parts[-1]) and (parts[-1] != "widget" or len(parts) == 1):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, region) lines; text in furniture or hidden elements only moves the region on."""
+    """Collects (text, tags, region) lines; text in furniture or hidden elements only moves the region on.
 
-    def __init__(self) -> None:
+    ``spared`` has the numbers of the start tags that open no furniture whatever they look like; ``holders`` says which
+    these are, once the page is read.
+    """
+
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.spared = spared
+        self.starts = 0
+        self.free_core = False
+        self.held: dict[str, list[frozenset[int]]] = {tag: [] for tag in CORE}
+        self.open: list[tuple[str, bool, int, bool]] = []
         self.barred = 0
         self.region = 0
         self.tags = 0
         self.parts: list[str] = []
         self.lines: list[tuple[str, int, int]] = []
 
+    def meets_core(self, tag: str) -> None:
+        """Notes what bars an article, a main part or a heading of the first rank; hidden ones stay hidden."""
+        if not self.barred:
+            self.free_core |= tag != "h1"
+            return
+        bars = [(name, number, unseen) for name, bar, number, unseen in self.open if bar]
+        if not any(unseen for *_, unseen in bars) and not (tag == "h1" and any(name in NEVER_HEADED for name, *_ in bars)):
+            self.held[tag].append(frozenset(number for _, number, _ in bars))
+
+    def holders(self) -> frozenset[int]:
+        """Numbers of the barred elements that hold a heading, a main part, or, where none is free, an article.
+
+        Beside a free article those in furniture are teasers. Of several the ones in the fewest barred elements count.
+        """
+        out: set[int] = set()
+        for tag, chains in self.held.items():
+            if chains and not (tag == "article" and self.free_core):
+                least = min(map(len, chains))
+                out.update(*(c for c in chains if len(c) == least))
+        return frozenset(out)
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
@@ -58,7 +113,7 @@ class Lines(HTMLParser):
             self.tags = 0
 
     def pop(self) -> None:
-        tag, bar = self.open.pop()
+        tag, bar, *_ = self.open.pop()
         if bar:
             self.barred -= 1
             if not self.barred:
@@ -67,6 +122,7 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        self.starts += 1
         while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
             self.flush()
             self.pop()
@@ -80,18 +136,26 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         marked = dict(attrs)
-        bar = tag in HIDDEN or tag in FURNITURE or (tag not in ("html", "body", "article", "main") and self.is_marked(marked))
+        if tag in CORE:
+            self.meets_core(tag)
+        unseen = tag in HIDDEN or self.is_unseen(marked)
+        bar = tag in HIDDEN or tag in FURNITURE or (tag not in ("html", "body", "article", "main") and (self.is_marked(marked) or unseen))
+        bar = bar and self.starts not in self.spared
         if bar and not self.barred:
             if tag not in HIDDEN:
                 self.flush()
                 self.region += 1
-        self.open.append((tag, bar))
+        self.open.append((tag, bar, self.starts, unseen))
         self.barred += bar
 
     @staticmethod
     def is_marked(marked: dict[str, str | None]) -> bool:
         names = f"{marked.get('class') or ''} {marked.get('id') or ''}"
-        return bool(MARKS.search(names)) or (marked.get("role") or "").lower() in ROLES or "hidden" in marked or marked.get("aria-hidden") == "true"
+        return marks_furniture(names) or (marked.get("role") or "").lower() in ROLES
+
+    @staticmethod
+    def is_unseen(marked: dict[str, str | None]) -> bool:
+        return "hidden" in marked or marked.get("aria-hidden") == "true"
 
     def close_paragraph(self) -> None:
         """A block ends an open paragraph and whatever inline elements it left open."""
@@ -159,11 +223,18 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def read_lines(html: str, spared: frozenset[int] = frozenset()) -> Lines:
+    parser = Lines(spared)
+    parser.feed(html)
+    parser.close()
+    return parser
+
+
 def main_text(html: str | None, sigma: float = 1.0, least: float = 0.5) -> str:
     """Blocks of the content regions in page order, joined by an empty line; ``least``: share of the threshold that a region's best line must reach."""
-    parser = Lines()
-    parser.feed(html or "")
-    parser.close()
+    parser = read_lines(html or "")
+    if spared := parser.holders():
+        parser = read_lines(html or "", spared)
     lines = parser.lines
     if not lines:
         return ""
