@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
+from folio.sources.scratch import stored
 
 
 def grams(text: Column) -> Column:
@@ -125,74 +123,164 @@ def blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, n
         yield np.array(names), np.stack(rows)
 
 
-GRAM_WORD = re.compile(r"\b\w\w+\b")
+def summed(lists: str) -> Column:
+    """Sums of lists of vectors, which are held as the bytes of doubles; null for a missing list."""
+
+    @F.pandas_udf("binary")
+    def total(parts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.sum([np.frombuffer(v) for v in x], axis=0).tobytes() for x in parts])
+
+    return total(F.col(lists))
 
 
 @dataclass(frozen=True)
 class Lsa:
-    """A projection of TF-IDF vectors: ``index`` gives a gram's row of ``loadings``, which have the inverse document frequencies in them."""
+    """A projection of TF-IDF vectors: ``loadings`` has (gram, loading), the bytes of floats with the inverse document frequency in them."""
 
-    sent: Broadcast
+    loadings: DataFrame
     dims: int
 
-    def encode(self, rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-        """(keys, vec) of unit length; a text without known grams has the zero vector. One narrow pass."""
-        sent = self.sent
-
-        @F.pandas_udf("array<double>")
-        def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index, loadings = sent.value
-            for texts in batches:
-                yield pd.Series([project(t or "", index, loadings).tolist() for t in texts])
-
-        return rows.select(*keys, encoded(F.col(text)).alias("vec"))
+    def encode(self, rows: DataFrame, keys: list[str], text: str, most_held: int = 65_536) -> DataFrame:
+        """(keys, vec) of unit length, one row per input row; a text without known grams has the zero vector.
 
+        Grams meet their loadings in a join; each task adds up what it has of a text, at most ``most_held`` texts at a
+        time, so that few vectors per text are shuffled.
+        """
+        dims = self.dims
 
-def project(text: str, index: dict[str, int], loadings: np.ndarray) -> np.ndarray:
-    words = GRAM_WORD.findall(text.lower())
-    counts = Counter(words)
-    counts.update(map(" ".join, zip(words, words[1:])))
-    known = [(index[g], n) for g, n in counts.items() if g in index]
-    if not known:
-        return np.zeros(loadings.shape[1])
-    at, n = np.array(known).T
-    v = (1 + np.log(n)) @ loadings[at].astype(np.float64)
-    norm = np.linalg.norm(v)
-    return v / norm if norm > 1e-12 else np.zeros_like(v)
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index: dict[str, int] = {}
+            total = np.zeros((0, dims))
 
+            def out() -> pd.DataFrame:
+                return pd.DataFrame({"_row": list(index), "part": [v.tobytes() for v in total[: len(index)]]})
 
-def fit_lsa(chunks: DataFrame, config: EngineConfig = EngineConfig(), most_chunks: int = 500) -> Lsa:
-    """Truncated SVD of the TF-IDF matrix through the inner products of chunks.
+            for batch in batches:
+                at = np.array([index.setdefault(r, len(index)) for r in batch["_row"]], int)
+                if len(index) > len(total):
+                    total = np.concatenate([total, np.zeros((max(len(index) - len(total), len(total)), dims))])
+                add_rows(total, at, np.frombuffer(b"".join(batch["loading"]), np.float32).reshape(-1, dims) * batch["w"].to_numpy()[:, None])
+                if len(index) > most_held:
+                    yield out()
+                    index, total = {}, np.zeros((0, dims))
+            yield out()
 
-    Fitted on at most ``most_chunks`` chunks, those whose ids hash lowest, which bounds what comes to the driver and what
-    is broadcast; document frequencies are those of all chunks, and all chunks are encoded.
+        @F.pandas_udf("array<double>")
+        def to_unit(sums: pd.Series) -> pd.Series:
+            out = []
+            for x in sums:
+                v = np.zeros(dims) if x is None else np.frombuffer(x)
+                norm = np.linalg.norm(v)
+                out.append((v / norm if norm > 1e-12 else np.zeros(dims)).tolist())
+            return pd.Series(out)
+
+        # rows are told apart by keys and text, so rows that are equal in both share a vector
+        named = rows.select(*keys, F.col(text).alias("_text")).withColumn("_row", F.sha2(F.to_json(F.struct(*keys, "_text")), 256))
+        found = gram_counts(named.dropDuplicates(["_row"]), ["_row"], "_text").join(self.loadings, "gram").select("_row", (1 + F.log("tf")).alias("w"), "loading")
+        sums = found.mapInPandas(partial, "_row string, part binary").groupBy("_row").agg(F.collect_list("part").alias("parts")).select("_row", summed("parts").alias("sum"))
+        return named.select(*keys, "_row").join(sums, "_row", "left").select(*keys, to_unit("sum").alias("vec"))
+
+
+def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each of ``rows`` to the row of ``total`` that ``at`` names."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        names, starts = np.unique(at[order], return_index=True)
+        total[names] += np.add.reduceat(rows[order], starts)
+
+
+def posting_slices(batch: pd.DataFrame, most: int = 50_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, chunk numbers, weights, postings per row) of grams in a row, with not many more than ``most`` postings at once."""
+    sizes = np.array([len(x) for x in batch["at"]], int)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1, [len(sizes)]])
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        if high > low:
+            yield slice(low, high), np.concatenate(batch["at"].to_numpy()[low:high]), np.concatenate(batch["w"].to_numpy()[low:high]), sizes[low:high]
+
+
+def gram_sums(at: np.ndarray, w: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(w[:, None] * y[at], np.cumsum(sizes) - sizes)
+
+
+def times_own_transpose(inverted: DataFrame, y: np.ndarray, block: int = 4_096) -> np.ndarray:
+    """A A' y, where ``inverted`` has A's columns: a gram's chunks and weights. One narrow pass; each task's sums are added by blocks of chunks."""
+    sent = inverted.sparkSession.sparkContext.broadcast(y.astype(np.float32))
+    n, width = y.shape
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((n, width))
+        for batch in batches:
+            for _, at, w, sizes in posting_slices(batch):
+                add_rows(out, at, w[:, None] * np.repeat(gram_sums(at, w, sizes, sent.value), sizes, axis=0))
+        for k in range(0, n, block):
+            yield pd.DataFrame({"block": [k], "part": [out[k : k + block].tobytes()]})
+
+    parts = inverted.select("at", "w").mapInPandas(product, "block long, part binary").groupBy("block").agg(F.collect_list("part").alias("parts"))
+    out = np.zeros((n, width))
+    for r in parts.select("block", summed("parts").alias("sum")).toLocalIterator():
+        out[r.block : r.block + block] = np.frombuffer(r["sum"]).reshape(-1, width)
+    sent.unpersist()
+    return out
+
+
+def leading(times: Callable[[np.ndarray], np.ndarray], block: np.ndarray, dims: int, tolerance: float, most_blocks: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenvectors and eigenvalues of a symmetric matrix that ``times`` multiplies with; ``block``: the random start.
+
+    When the basis has ``most_blocks`` blocks it is made anew from the best directions found, and the iteration goes on.
+    """
+    n, width = block.shape
+    basis, images = np.zeros((n, 0)), np.zeros((n, 0))
+    while True:
+        for _ in range(2):
+            block = block - basis @ (basis.T @ block)
+            block = np.linalg.qr(block)[0] if n else block
+        block = block[:, : n - basis.shape[1]]
+        image = times(block)
+        basis, images = np.hstack([basis, block]), np.hstack([images, image])
+        small = basis.T @ images
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1]
+        top = order[:dims]
+        left, found = basis @ vectors[:, top], np.maximum(values[top], 0)
+        residual = np.linalg.norm(images @ vectors[:, top] - left * found, axis=0)
+        if basis.shape[1] >= n or (residual <= tolerance * found + 1e-12).all():
+            return left, found
+        block = image - basis @ (basis.T @ image)
+        if basis.shape[1] >= most_blocks * width:
+            best = vectors[:, order[: 3 * width]]
+            basis, images = basis @ best, images @ best
+
+
+def fit_lsa(chunks: DataFrame, config: EngineConfig = EngineConfig(), tolerance: float = 1e-3) -> Lsa:
+    """Truncated SVD of the TF-IDF matrix of all chunks, by randomized block Krylov iteration.
+
+    The matrix is held by grams and multiplied in passes over its partitions, until no singular direction's residual is
+    over ``tolerance`` of its eigenvalue. Each task holds some hundred numbers a chunk and the driver some thousand, never
+    the vocabulary, whose loadings are a table. If there are fewer chunks than columns of the sketch, the result is exact.
     """
+    spark = chunks.sparkSession
     model = fit_tfidf(chunks, config)
-    sample = chunks.select("chunk_id", "source_text").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(most_chunks)
-    weighted = gram_counts(sample, ["chunk_id"], "source_text").join(model.vocabulary, "gram").toPandas()
-    weighted = weighted.sort_values(["chunk_id", "gram"])
-    row, ids = pd.factorize(weighted["chunk_id"], sort=True)
-    col, vocabulary = pd.factorize(weighted["gram"], sort=True)
-    idf = np.zeros(len(vocabulary))
-    idf[col] = weighted["idf"].to_numpy(float)
-    w = (1 + np.log(weighted["tf"].to_numpy(float))) * weighted["idf"].to_numpy(float)
-    w /= np.sqrt(np.bincount(row, w * w, minlength=len(ids)))[row]
-    starts = np.searchsorted(row, np.arange(len(ids)))
-    gram = np.zeros((len(ids), len(ids)))
-    for k in range(len(ids)):
-        mine = np.zeros(len(vocabulary))
-        mine[col[row == k]] = w[row == k]
-        gram[k] = np.add.reduceat(w * mine[col], starts)
-    dims = max(2, min(config.lsa_dims, len(vocabulary) - 1, len(ids) - 1))
-    values, left = np.linalg.eigh(gram) if len(ids) else (np.zeros(0), np.zeros((0, 0)))
-    top = np.argsort(values)[::-1][:dims]
-    values, left = np.maximum(values[top], 0), left[:, top]
-    factors = left * np.where(values > 1e-12, 1 / np.sqrt(np.maximum(values, 1e-12)), 0)
-    loadings = np.zeros((len(vocabulary), dims), np.float32)
-    for k in range(factors.shape[1]):
-        loadings[:, k] = np.bincount(col, w * factors[row, k], minlength=len(vocabulary)) * idf
-    index = {g: k for k, g in enumerate(vocabulary)}
-    return Lsa(chunks.sparkSession.sparkContext.broadcast((index, loadings)), dims)
+    weighted = stored(model.vectors(chunks, ["chunk_id"], "source_text"), "lsa-weights")
+    ids = weighted.select("chunk_id").distinct().sort("chunk_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    numbered = stored(spark.createDataFrame(ids, f"chunk_id {weighted.schema['chunk_id'].dataType.simpleString()}, at int"), "lsa-chunks")
+    postings = weighted.join(numbered, "chunk_id").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("p"))
+    inverted = stored(postings.join(model.vocabulary, "gram").select("gram", "idf", F.col("p.at").alias("at"), F.col("p.weight").alias("w")), "lsa-postings")
+    n, grams_n = numbered.count(), inverted.count()
+    dims = max(2, min(config.lsa_dims, grams_n - 1, n - 1))
+    width = min(n, dims + 16)
+    block = np.random.default_rng(config.lsa_seed).normal(size=(n, width))
+    left, values = leading(lambda y: times_own_transpose(inverted, y), block, dims, tolerance)
+    factors = np.zeros((n, dims), np.float32)
+    factors[:, : len(values)] = left * np.where(values > 1e-12, 1 / np.sqrt(np.maximum(values, 1e-12)), 0)
+    sent = spark.sparkContext.broadcast(factors)
+
+    def loaded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows, at, w, sizes in posting_slices(batch):
+                made = (gram_sums(at, w, sizes, sent.value) * batch["idf"].to_numpy()[rows, None]).astype(np.float32)
+                yield pd.DataFrame({"gram": batch["gram"].to_numpy()[rows], "loading": [v.tobytes() for v in made]})
+
+    return Lsa(stored(inverted.mapInPandas(loaded, "gram string, loading binary"), "lsa-loadings"), dims)
 
 
 #: Takes texts, gives vectors; the seam for a neural encoder.
