@@ -22,6 +22,25 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, if no lower bound is set: a batch of long texts has few rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it if ``df`` has a column so called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder for intermediate tables in the shared folder named by ``spark.checkpoint.dir``.
 

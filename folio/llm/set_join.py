@@ -3,11 +3,13 @@
 Shingles are 64-bit hashes of a few words; the global order of shingles is by their hash, with frequent shingles last.
 
 1. Documents with one shingle set are one node. A node keeps only its ``head``, the lowest hashes of its set.
-2. Shingles in many heads are frequent. A node's prefix is the first of its shingles in the global order, so many that
-   two linked nodes must share one (prefix filter). Nodes whose head holds too few rare shingles read their text again.
+2. Shingles in many heads are frequent; they go last in the order, the more frequent the later. A node's prefix is the
+   first of its shingles in the global order, so many that two linked nodes must share one (prefix filter). Nodes whose
+   head holds too few rare shingles read their text again.
 3. Nodes that share a prefix shingle form a bucket. Components need not compare all pairs of a bucket: first each node
    meets the bucket's center, the node with the fewest shingles of its own, then the best node of another component
-   there, and at last only nodes that are still in different components and long enough for a link from there on.
+   there, and at last only nodes that are still in different components and long enough for a link from there on. In
+   a crowded bucket these meet block by block, among nodes of like size.
 4. A pair is decided by partial overlaps: the order is cut into fragments, each node's set is cut the same way, the
    overlaps of a pair's fragments are counted apart and summed. The first fragment comes alone: a pair whose overlap
    there leaves too little to reach, however the others turn out, is dropped before those are read.
@@ -17,6 +19,7 @@ Shingles are 64-bit hashes of a few words; the global order of shingles is by th
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import removed, scratch, written
+from folio.llm.common import removed, scratch, small_batches, written
 
 #: A-Z to a-z, and what is white space, by byte.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -47,7 +50,8 @@ FEW = 500_000
 @dataclass(frozen=True)
 class Jaccard:
     """Linked: 100 * shared >= percent * union. ``frequent``: nodes that may share a shingle before it goes last in the order.
-    ``crowd``: rows of a bucket beyond which its nodes are compared block by block; ``block``: nodes in one."""
+    ``crowd``: rows of a bucket beyond which its nodes are compared block by block; ``block``, ``block_shingles``: about how
+    many nodes and shingles one holds, or one node."""
 
     percent: int = 85
     words: int = 4
@@ -55,6 +59,7 @@ class Jaccard:
     fragments: int = 5
     crowd: int = 128
     block: int = 1024
+    block_shingles: int = 1_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -146,8 +151,8 @@ def as_bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
-def heads_of(docs: DataFrame, j: Jaccard, heads: bool) -> DataFrame:
-    """doc_id, n (size of its set), signature of the set and, if asked for, head."""
+def heads_of(docs: DataFrame, j: Jaccard) -> DataFrame:
+    """doc_id, n (size of its set), signature of the set, and head."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(j.words)
@@ -156,12 +161,11 @@ def heads_of(docs: DataFrame, j: Jaccard, heads: bool) -> DataFrame:
             for s in shingler.sets(batch.column(1)):
                 sizes.append(len(s))
                 signatures.append(signature_of(s))
-                if heads:
-                    found.append(s[: head_length(len(s), j.percent)])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())] + [listed(found)] * heads
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "signature", "head"][: len(columns)])
+                found.append(s[: head_length(len(s), j.percent)])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), listed(found)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "signature", "head"])
 
-    return as_bytes(docs).mapInArrow(rows, "doc_id long, n long, signature binary" + ", head array<long>" * heads)
+    return as_bytes(docs).mapInArrow(rows, "doc_id long, n long, signature binary, head array<long>")
 
 
 def few(df: DataFrame, most: int = FEW) -> bool:
@@ -198,12 +202,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, j: Jaccard, parts: list[int] | N
 
 
 def prefixes_of(nodes: DataFrame, column: str, frequent: DataFrame, j: Jaccard) -> DataFrame:
-    """(node, n, prefix) from arrays of a node's lowest shingles; prefix is null where too few of them are rare and more exist."""
+    """(node, n, prefix) from arrays of a node's lowest shingles; prefix is null where too few of them are rare and more exist.
+
+    Rare shingles come in the order of their hashes, then frequent ones by tier and hash.
+    """
     if few(frequent):
         last = sent(frequent)
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            common = last.value
+            common, tiers = last.value
             for batch in sliced(batches):
                 values = batch.column(2)
                 flat, at = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy() - values.offsets[0].as_py()
@@ -215,22 +222,26 @@ def prefixes_of(nodes: DataFrame, column: str, frequent: DataFrame, j: Jaccard)
                     p = prefix_length(n, j.percent)
                     rare = s[~u]
                     known.append(len(s) == n or len(rare) >= p)
-                    found.append((rare if len(rare) >= p else np.concatenate([rare, s[u]]))[:p] if known[-1] else s[:0])
+                    if known[-1] and len(rare) < p:
+                        rare = np.concatenate([rare, s[u][np.lexsort((s[u], tiers[slot[begin:end][u]]))]])
+                    found.append(rare[:p] if known[-1] else s[:0])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known), listed(found)], names=["node", "n", "known", "prefix"])
 
         out = nodes.select("node", "n", column).mapInArrow(rows, "node long, n long, known boolean, prefix array<long>")
         return out.select("node", "n", F.when(F.col("known"), F.col("prefix")).alias("prefix"))
-    hit = nodes.select("node", F.explode(column).alias("shingle")).join(frequent, "shingle").groupBy("node").agg(F.collect_list("shingle").alias("last"))
+    hit = nodes.select("node", F.explode(column).alias("shingle")).join(frequent, "shingle").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("tier", "shingle"))).alias("tiered"))
     none = F.array().cast("array<bigint>")
-    told = nodes.join(hit, "node", "left").withColumn("last", F.array_sort(F.coalesce("last", none))).withColumn("rare", F.array_except(column, "last"))
+    told = nodes.join(hit, "node", "left").withColumn("last", F.coalesce(F.col("tiered.shingle"), none)).withColumn("rare", F.array_except(column, "last"))
     p = F.expr(f"cast(n - floor(({j.percent} * n + 99) / 100) + 1 as int)")
     return told.select("node", "n", F.when((F.size(column) == F.col("n")) | (F.size("rare") >= p), F.slice(F.concat("rare", "last"), F.lit(1), p)).alias("prefix"))
 
 
 def sent(frequent: DataFrame) -> Broadcast:
-    """The frequent shingles, sorted, on every executor; their number was checked."""
-    found = np.sort(np.array([r.shingle for r in frequent.collect()], np.int64))
-    return frequent.sparkSession.sparkContext.broadcast(found)
+    """The frequent shingles, sorted, and their tiers, on every executor; their number was checked."""
+    rows = frequent.select("shingle", "tier").toArrow()
+    found, tiers = (rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(2))
+    order = np.argsort(found)
+    return frequent.sparkSession.sparkContext.broadcast((found[order].astype(np.int64), tiers[order].astype(np.int8)))
 
 
 class Components:
@@ -277,7 +288,9 @@ class Components:
         if self.labels is None:
             labels = roots.select(F.col("old").alias("node"), F.col("new").alias("component"))
         else:
-            moved = self.labels.join(roots, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+            # a giant component's rows share one key: a small table of roots is broadcast to them
+            roots = written(roots, f"{self.folder}/roots-{self.round}")
+            moved = self.labels.join(sized(roots), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
             fresh = roots.join(self.labels.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
             labels = moved.unionByName(fresh)
         self.labels = self.save(labels, "labels")
@@ -285,14 +298,15 @@ class Components:
 
 
 def block_links(percent: int, fragment: int = 2_048):
-    """A function over the nodes of two blocks: links between different components, enough to join all that are linked.
+    """A function over the nodes of two blocks of a bucket: links between different components, enough to join all that are linked.
 
     The blocks' shared shingles are cut into fragments; each gives partial overlaps of all pairs by one product of
     incidence matrices, and these are summed. Only links leave the task, at most one less than there are nodes.
+    Two nodes with one ``met`` have met in that bucket, an earlier one than this, and are left out here.
     """
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = rows["i"].iloc[0], rows["j"].iloc[0]
+        low, high, bucket = rows["i"].iloc[0], rows["j"].iloc[0], rows["shingle"].iloc[0]
         rows = rows.drop_duplicates("node").sort_values("node")
         sizes = rows["shingles"].map(len).to_numpy()
         flat = np.concatenate(rows["shingles"].to_list())
@@ -311,8 +325,9 @@ def block_links(percent: int, fragment: int = 2_048):
             held = np.zeros((len(rows), fragment), np.float32)
             held[owner[a:b], code[a:b] - begin] = 1
             both += held[left] @ held[right].T
-        n, node, component = rows["n"].to_numpy(), rows["node"].to_numpy(), rows["component"].to_numpy()
+        n, node, component, met = (rows[c].to_numpy() for c in ("n", "node", "component", "met"))
         linked = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (component[left][:, None] != component[right][None, :])
+        linked &= (met[left][:, None] != met[right][None, :]) | (met[left] == bucket)[:, None]
         group = {c: c for c in component.tolist()}
 
         def root(c: int) -> int:
@@ -335,22 +350,34 @@ def block_links(percent: int, fragment: int = 2_048):
 
 
 def crowd_links(docs: DataFrame, rows: DataFrame, names: DataFrame, j: Jaccard, folder: str) -> DataFrame:
-    """Links between components among the nodes of crowded buckets (shingle, node, n, component).
+    """Links between components among the nodes of crowded buckets (shingle, node, n, pos, component).
 
-    Buckets that share nodes make one crowd, so each two nodes meet once. A crowd is dealt into blocks of bounded size,
-    and each pair of blocks is a task of its own: no task grows with the crowd, and no pair leaves one but links.
+    Only nodes of one bucket meet, and only those of like size: sizes are cut into bands such that linked nodes lie in
+    one band or in neighbouring ones. A band is dealt into blocks of bounded size, and each pair of blocks is a task of
+    its own. A bucket whose nodes have all met in another that comes before it in the order is left out.
     """
-    hubs = rows.groupBy("shingle").agg(F.min("node").alias("a"))
-    crowds = Components(docs.sparkSession, f"{folder}/crowds")
-    crowds.join(written(rows.join(hubs, "shingle").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), f"{folder}/crowd-edges"))
-    nodes = written(crowds.label(rows.select("node", "n", "component").distinct(), "node", "crowd"), f"{folder}/crowd-nodes")
-    blocks = nodes.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / j.block).cast("int").alias("blocks"))
-    dealt = nodes.join(blocks, "crowd").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    keyed = dealt.select("crowd", "node", "n", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = keyed.select("crowd", "node", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    wanted = written(names.join(sized(nodes.select("node")), "node", "left_semi"), f"{folder}/crowd-wanted")
+    first = rows.groupBy("node").agg(F.min_by("shingle", "pos").alias("met"))
+    known = written(rows.join(first, "node"), f"{folder}/crowd-rows")
+    needed = known.groupBy("shingle").agg(F.min("met").alias("lo"), F.max("met").alias("hi")).filter("lo <> hi or lo = shingle").select("shingle")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / j.percent) * (1 + 1e-9))).cast("int") if j.percent < 100 else F.col("n").cast("int")
+    nodes = written(known.join(needed, "shingle").withColumn("band", band), f"{folder}/crowd-nodes")
+    share = F.greatest(F.count(F.lit(1)) / j.block, F.sum("n") / j.block_shingles)
+    blocks = written(nodes.groupBy("shingle", "band").agg(F.ceil(share).cast("int").alias("blocks")), f"{folder}/crowd-blocks")
+    above = blocks.select("shingle", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = blocks.select("shingle", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    around = blocks.join(above, ["shingle", "band"], "left").join(below, ["shingle", "band"], "left").na.fill(0, ["above", "below"])
+    dealt = nodes.join(sized(written(around, f"{folder}/crowd-around")), ["shingle", "band"]).withColumn("block", F.expr("band * 1000000000L + pmod(xxhash64(node), blocks)"))
+    # a node goes to every pair of blocks that its own is in: with each of its band, and of the bands beside it
+    others = F.expr(
+        "concat(transform(sequence(0, blocks - 1), k -> band * 1000000000L + k),"
+        " if(above > 0, transform(sequence(0, above - 1), k -> (band + 1) * 1000000000L + k), array()),"
+        " if(below > 0, transform(sequence(0, below - 1), k -> (band - 1) * 1000000000L + k), array()))"
+    )
+    keyed = dealt.select("shingle", "node", "n", "component", "met", "block", F.explode(others).alias("other"))
+    keyed = keyed.select("shingle", "node", "n", "component", "met", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    wanted = written(names.join(nodes.select("node").distinct(), "node", "left_semi"), f"{folder}/crowd-wanted")
     sets = written(sets_of(docs, wanted, j, None), f"{folder}/crowd-sets")
-    met = keyed.join(sets, "node").groupBy("crowd", "i", "j").applyInPandas(block_links(j.percent), "a long, b long")
+    met = keyed.join(sets.select("node", "shingles"), "node").groupBy("shingle", "i", "j").applyInPandas(block_links(j.percent), "a long, b long")
     links = written(met.distinct(), f"{folder}/crowd-links")
     removed(docs.sparkSession, f"{folder}/crowd-sets")
     return links
@@ -366,26 +393,28 @@ def jaccard_components(docs: DataFrame, j: Jaccard = Jaccard(), links_out: list[
     frequent shingles only move to the end of the order. ``links_out`` gets the tables of verified links between nodes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = scratch(spark, "set-join")
 
     # 1. one node a distinct set, named by the least doc_id
-    rows = written(heads_of(docs, j, False), f"{folder}/rows")
+    rows = written(heads_of(docs, j), f"{folder}/rows")
     classes = written(rows.filter("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("node")), f"{folder}/classes")
     names = written(classes.groupBy("node").agg(F.min("signature").alias("signature")), f"{folder}/names")
     joined = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("signature")).alias("of")).join(classes, F.col("of") == F.col("signature"), "left")
     members = written(joined.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), f"{folder}/members")
-    removed(spark, f"{folder}/rows")
     owners = sized(names.select("node", F.col("signature").alias("own")))
-    heads = heads_of(docs, j, True).join(owners, (F.col("doc_id") == F.col("node")) & (F.col("signature") == F.col("own")))
+    heads = rows.join(owners, (F.col("doc_id") == F.col("node")) & (F.col("signature") == F.col("own")))
     nodes = written(heads.select("node", "n", "head"), f"{folder}/nodes")
+    removed(spark, f"{folder}/rows")
 
     # 2. prefixes in the global order
     counted = nodes.select(F.explode("head").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
-    frequent = written(counted.filter(F.col("c") > j.frequent).select("shingle"), f"{folder}/frequent")
+    frequent = written(counted.filter(F.col("c") > j.frequent).select("shingle", F.floor(F.log2("c")).cast("int").alias("tier")), f"{folder}/frequent")
     told = written(prefixes_of(nodes, "head", frequent, j), f"{folder}/told")
     removed(spark, f"{folder}/nodes")
     again = written(names.join(sized(told.filter("prefix is null").select("node")), "node", "left_semi"), f"{folder}/again")
-    whole = sets_of(docs, again, j, None).select("node", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("whole"))
+    # a table between two steps in Python, so that a task has one worker
+    whole = written(sets_of(docs, again, j, None).select("node", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("whole")), f"{folder}/whole")
     late = written(prefixes_of(whole, "whole", frequent, j), f"{folder}/late")
     entries = told.filter("prefix is not null").unionByName(late).select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     # of a bucket, the node that has the fewest shingles before this one is likeliest to be what the others are copies of
@@ -394,6 +423,7 @@ def jaccard_components(docs: DataFrame, j: Jaccard = Jaccard(), links_out: list[
     # a repeated row is no second node
     entries = written(entries.join(sized(shared), "shingle").dropDuplicates(["shingle", "node"]), f"{folder}/entries")
     removed(spark, f"{folder}/told")
+    removed(spark, f"{folder}/whole")
 
     # 3. rounds of candidate pairs
     components = Components(spark, folder)
@@ -460,7 +490,8 @@ def jaccard_components(docs: DataFrame, j: Jaccard = Jaccard(), links_out: list[
     several = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
     strong = 100 * (F.col("n") - F.col("pos")) >= j.percent * (F.col("n") + F.col("pos"))
     rest = components.save(labelled.join(several, "shingle").withColumn("strong", strong), "rest")
-    crowded = written(rest.groupBy("shingle").count().filter(F.col("count") > j.crowd).select("shingle"), f"{folder}/crowded")
+    size = rest.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.max("strong").alias("any"))
+    crowded = written(size.filter((F.col("c") > j.crowd) & F.col("any")).select("shingle"), f"{folder}/crowded")
     crowds = rest.join(sized(crowded), "shingle", "left_semi")
     rest = rest.join(sized(crowded), "shingle", "left_anti")
     x = rest.filter("strong").select("shingle", F.col("node").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))

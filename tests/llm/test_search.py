@@ -113,7 +113,7 @@ def corpus(seed: int, groups: int, copies: int) -> list[tuple[int, str | None]]:
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize(("seed", "j"), [(1, Jaccard()), (2, Jaccard(percent=80, words=5, frequent=2, crowd=3, block=4)), (3, Jaccard(frequent=1, fragments=2, crowd=1, block=2)), (4, Jaccard(percent=50, words=1))])
+@pytest.mark.parametrize(("seed", "j"), [(1, Jaccard()), (2, Jaccard(percent=80, words=5, frequent=2, crowd=3, block=4)), (3, Jaccard(frequent=1, fragments=2, crowd=1, block=2)), (4, Jaccard(percent=50, words=1)), (5, Jaccard(percent=60, words=1, frequent=1, crowd=2, block=3, block_shingles=40))])
 def test_components_match_brute_force(spark, seed, j):
     rows = corpus(seed, 14, 12)
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n long, node string")
@@ -134,12 +134,41 @@ def test_set_join_edge_cases(spark):
 def test_block_links_join_all_that_is_linked():
     import pandas as pd
 
-    rows = pd.DataFrame({"i": 0, "j": 1, "node": [1, 2, 3, 4], "n": [4, 4, 4, 4], "component": [1, 2, 3, 4], "block": [0, 1, 0, 1], "shingles": [[1, 2, 3, 4], [1, 2, 3, 4], [9, 8, 7, 6], [9, 8, 7, 5]]})
+    rows = pd.DataFrame({"i": 0, "j": 1, "node": [1, 2, 3, 4], "n": [4, 4, 4, 4], "component": [1, 2, 3, 4], "block": [0, 1, 0, 1], "shingle": 7, "met": 7, "shingles": [[1, 2, 3, 4], [1, 2, 3, 4], [9, 8, 7, 6], [9, 8, 7, 5]]})
     assert block_links(100)(rows).values.tolist() == [[1, 2]]
     assert block_links(60)(rows).values.tolist() == [[1, 2], [3, 4]]
+    # two that have met in an earlier bucket do not meet again
+    assert block_links(60)(rows.assign(met=[5, 5, 6, 7])).values.tolist() == [[3, 4]]
 
 
 def test_result_does_not_depend_on_partitions(spark):
     rows = corpus(9, 10, 8)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(jaccard_components(docs.repartition(7)).collect()) == sorted(jaccard_components(docs.orderBy(F.desc("doc_id")).coalesce(1)).collect())
+
+
+def mixtures(seed: int, n: int) -> list[tuple[int, str]]:
+    """Texts that are made of common passages only, so that all their shingles are frequent and most pairs are just short of a link."""
+    rng = random.Random(seed)
+    passages = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(12)]
+    return [(k, " ".join(rng.sample(passages, 8))) for k in range(n)]
+
+
+@pytest.mark.parametrize("crowd", [8, 10_000])
+def test_crowds_of_common_passages(spark, crowd):
+    rows = mixtures(3, 160)
+    j = Jaccard(percent=70, words=4, frequent=4, crowd=crowd, block=16)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), j).collect()}
+    assert got == brute(rows, j.words, j.percent)
+
+
+def test_many_nodes_with_one_passage(spark):
+    """A passage that all texts share makes no crowd, and two groups that one text bridges stay one bucket each."""
+    rng = random.Random(6)
+    passage = " ".join(f"q{k}" for k in range(30))
+    rows = [(k, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for k in range(20_000)]
+    docs = spark.createDataFrame(rows + [(20_000 + k, rows[k][1]) for k in range(50)], "doc_id long, text string")
+    links = []
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, links_out=links).collect()}
+    assert all(c == (i - 20_000 if i >= 20_000 else i) for i, c in got.items()) and len(got) == 20_050
+    assert sum(x.count() for x in links) == 0
