@@ -17,6 +17,8 @@ import ahocorasick
 import numpy as np
 import regex
 
+from folio.llm.common import small_batches
+
 #: How the vocabulary's text is cut before merges; fixed with the vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -174,7 +176,11 @@ class BpeVocabulary:
                     out += chain.from_iterable(map(self.pieces.__getitem__, cut))
         return np.array(out, "<u4")
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def decode(self, ids: np.ndarray, most: int = 1 << 16) -> bytes:
+        """Bytes of ``ids``, at most ``most`` at once, so that a long text needs no more than its own bytes beside."""
+        return b"".join(self.gathered(ids[at : at + most]) for at in range(0, len(ids), most))
+
+    def gathered(self, ids: np.ndarray) -> bytes:
         """Bytes of ``ids``: one gather over the token bytes, with places worked out from the offset table."""
         buffer, starts = self.offsets
         first = starts[ids]
@@ -237,6 +243,7 @@ def code_documents(docs, path: str, id_col: str = "doc_id", text_col: str = "tex
     A null or empty text has no tokens; repeated rows repeat; an empty table stays empty; other columns are ignored.
     No shuffle: documents are coded where they are read, whole, in bounded batches.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
     return docs.select(id_col, text_col).mapInArrow(code_documents_batches(path, keep), schema).withColumnRenamed("id", id_col)

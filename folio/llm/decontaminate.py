@@ -6,6 +6,9 @@ at least m - q + 1 - k * q q-grams, and these lie on neighbouring diagonals (pos
 item), at most 2k + 1 of them. So shared q-grams are counted per item and band of diagonals, bands overlapping by half;
 bands that reach the lemma's bound are candidates, and a banded alignment decides.
 
+An item for which the lemma's bound would fall under one gets shorter q-grams, so the declared budget holds for all items;
+items shorter than a q-gram have no edits and are found as they are.
+
 Texts are compared in a plain form: lower case, each run of other than letters and digits one space.
 """
 
@@ -13,7 +16,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,17 +25,28 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import scratch, small_batches, unused, written
+
 PLAIN = re.compile(r"[\W_]+")
 MATCHES = "array<struct<item_id: bigint, start: int, end: int, edits: int>>"
 
 
 @dataclass(frozen=True)
 class Budget:
-    """``edit_rate``: edits allowed per character of an item. ``block_chars``: characters of benchmark text in one block."""
+    """``q``: longest q-gram. ``edit_rate``: edits allowed per character of an item, under a half. ``block_chars``: characters of benchmark text in one block."""
 
     q: int = 8
     edit_rate: float = 0.1
-    block_chars: int = 4_000_000
+    block_chars: int = 1_000_000
+
+    def edits(self, size: int) -> int:
+        """Edits allowed for an item of ``size`` characters; the rate counts as a decimal, so a tenth of 30 is 3."""
+        return int(Fraction(str(self.edit_rate)) * size)
+
+    def gram(self, size: int) -> int:
+        """The longest q-gram, up to q, of which a match of an item of ``size`` characters must share one; q if it has no edits."""
+        edits = self.edits(size)
+        return max(1, min(self.q, size // (edits + 1))) if edits else self.q
 
 
 def plain(text: str | None) -> str:
@@ -93,8 +108,22 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, most:
     return (int(row[best]), min(len(text), int(at[best] + len(item)))) if row[best] <= most else None
 
 
+class Index:
+    """A block of items: one q-gram index for each length of q-grams that its items need, nearly always one."""
+
+    def __init__(self, items: Sequence[tuple[int, str]], b: Budget) -> None:
+        by_gram: dict[int, list[tuple[int, str]]] = {}
+        for i, t in items:
+            by_gram.setdefault(b.gram(len(plain(t))), []).append((i, t))
+        self.blocks = [Block(held, replace(b, q=q)) for q, held in sorted(by_gram.items())]
+
+    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        p = plain(text)
+        return sorted(m for block in self.blocks for m in block.matches(p))
+
+
 class Block:
-    """Q-gram index of a block of items."""
+    """Q-gram index of items of which every match shares a q-gram; items shorter than one have no edits."""
 
     def __init__(self, items: Sequence[tuple[int, str]], b: Budget) -> None:
         self.b = b
@@ -102,8 +131,7 @@ class Block:
         self.texts = [plain(t) for _, t in items]
         self.codes = [codes(t) for t in self.texts]
         sizes = np.array([len(c) for c in self.codes], np.int64)
-        #: Edits allowed; fewer where the lemma's bound would fall under one shared q-gram.
-        self.edits = np.maximum(0, np.minimum((sizes * b.edit_rate).astype(np.int64), (sizes - b.q) // b.q))
+        self.edits = np.array([b.edits(int(n)) for n in sizes], np.int64)
         self.bound = sizes - b.q + 1 - self.edits * b.q
         #: How far from its first gram an item's match may end.
         self.reach = int(sizes.max(initial=0) + 2 * self.edits.max(initial=0) + 2)
@@ -119,9 +147,8 @@ class Block:
         self.seen = np.zeros(1 << 22, np.bool_)
         self.seen[(self.grams >> np.uint64(42)).astype(np.int64)] = True
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, edits), the best region of each item and band, in the plain form's positions; start is approximate by the edits."""
-        p = plain(text)
+    def matches(self, p: str) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, end, edits), the best region of each item in a plain text, in its positions; start is approximate by the edits."""
         found = [(self.ids[k], at, at + len(self.texts[k]), 0) for k in self.short if (at := f" {p} ".find(f" {self.texts[k]} ")) >= 0]
         c = codes(p)
         h = gram_hashes(c, self.b.q)
@@ -205,31 +232,70 @@ def searched(block: Broadcast, b: Budget) -> Callable[[Column], Column]:
 
     @F.pandas_udf(MATCHES)
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Block(block.value, b)
+        index = Index(block.value, b)
         for texts in batches:
             yield texts.map(lambda t: [dict(zip(("item_id", "start", "end", "edits"), m)) for m in index.matches(t)], na_action=None)
 
     return matches
 
 
-def matches_column(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", b: Budget = Budget()) -> Column:
-    """The matches of each whole text: array of (item_id, start, end, edits), sorted.
+def found_in(docs: DataFrame, benchmark: DataFrame, out: str, text_col: str = "text", b: Budget = Budget()) -> DataFrame:
+    """``docs`` with ``out``, a free name: the matches of each whole text, an array of (item_id, start, end, edits), sorted.
 
-    A null or empty text matches nothing, an empty or null item is found nowhere, an item given twice counts once, and
-    an empty benchmark matches nothing. No document is shuffled, whatever the benchmark's size: each block is one
-    broadcast index of bounded size and one pass over the text.
+    One block of items is one narrow pass over the texts, with one broadcast index of bounded size. Of several blocks each
+    is a pass of its own, whose few hits are written; a task never holds more than one block's index. Hits then meet their
+    texts by digest, so documents are shuffled only if there are too many hits to broadcast.
     """
-    columns = [searched(docs.sparkSession.sparkContext.broadcast(sorted(block)), b)(F.col(text_col)) for block in item_blocks(benchmark, b)]
-    if not columns:
-        return F.array().cast(MATCHES)
-    return F.array_sort(F.concat(*columns)) if len(columns) > 1 else columns[0]
-
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder, passes, last = scratch(spark, "contamination"), [], None
+    for block in item_blocks(benchmark, b):
+        if last is not None:
+            passes.append(hits_of(docs, last, text_col, b, f"{folder}/{len(passes)}"))
+        last = sorted(block)
+    if last is None:
+        return docs.withColumn(out, F.array().cast(MATCHES))
+    if not passes:
+        return docs.withColumn(out, searched(spark.sparkContext.broadcast(last), b)(F.col(text_col)))
+    passes.append(hits_of(docs, last, text_col, b, f"{folder}/{len(passes)}"))
+    every = spark.read.schema(passes[0].schema).parquet(*(f"{folder}/{k}" for k in range(len(passes))))
+    digest, hits = unused(docs, "digest"), unused(docs, "hits")
+    every = every.groupBy(F.col("digest").alias(digest)).agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias(hits))
+    every = written(every, f"{folder}/all")
+    if every.limit(MOST_HITS + 1).count() <= MOST_HITS:
+        every = F.broadcast(every)
+    key = F.sha2(F.col(text_col).cast("binary"), 256)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    met = docs.join(every, key == F.col(digest), "left")
+    return met.select(*columns, F.coalesce(hits, F.array().cast(MATCHES)).alias(out))
+
+
+#: Texts with a match up to which they are broadcast.
+MOST_HITS = 100_000
+
+
+def hits_of(docs: DataFrame, block: list[tuple[int, str]], text_col: str, b: Budget, path: str) -> DataFrame:
+    """(digest, matches) of the texts with a match in ``block``, each text once, written."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    found = docs.select(F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"), searched(sent, b)(F.col(text_col)).alias("matches"))
+    hits = written(found.filter(F.size("matches") > 0).dropDuplicates(["digest"]), path)
+    sent.unpersist()
+    return hits
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, b: Budget = Budget(), out: str = "matches") -> DataFrame:
+    """``docs`` with a column ``out``, the matches of each whole text among the benchmark's items; see found_in.
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, b: Budget = Budget()) -> DataFrame:
-    """``docs`` with a column ``matches``; see matches_column."""
-    return docs.withColumn("matches", matches_column(docs, benchmark, "text", b))
+    A null or empty text matches nothing, an empty or null item is found nowhere, an item given twice counts once, and
+    an empty benchmark matches nothing. Of equally good regions the first counts. Repeated rows repeat, an empty table
+    stays empty, all columns of the input are kept; a clash with ``out`` raises ValueError, unused() finds a free name.
+    """
+    if unused(docs, out) != out:
+        raise ValueError(f"docs has a column {out}")
+    return found_in(docs, benchmark, out, "text", b)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, b: Budget = Budget()) -> DataFrame:
-    """The documents in which no item is found, unchanged."""
-    return docs.filter(F.size(matches_column(docs, benchmark, "text", b)) == 0)
+    """The documents in which no item is found, unchanged; cases as in find_contamination."""
+    name = unused(docs, "matches")
+    return found_in(docs, benchmark, name, "text", b).filter(F.size(name) == 0).drop(name)

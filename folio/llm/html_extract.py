@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import small_batches
+
 #: Elements whose text is never shown as part of a page's prose.
 HIDDEN = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas head title select textarea button".split())
 #: Elements that hold a page's furniture.
@@ -76,8 +79,16 @@ class Lines(HTMLParser):
         self.spared = spared
         self.starts = 0
         self.free_core = False
-        self.held: dict[str, list[frozenset[int]]] = {tag: [] for tag in CORE}
+        #: For each kind of core element the sets of barred elements around one, of those with the fewest.
+        self.held: dict[str, set[frozenset[int]]] = {tag: set() for tag in CORE}
         self.open: list[tuple[str, bool, int, bool]] = []
+        #: How many elements of each name are open, so that an end tag without a start costs no search.
+        self.names: Counter[str] = Counter()
+        #: Places in ``open`` of paragraphs and of what no paragraph's end reaches beyond.
+        self.borders: list[int] = []
+        #: The barred elements among ``open``, as (name, number, unseen), and their numbers while these stay the same.
+        self.bars: list[tuple[str, int, bool]] = []
+        self.bar_numbers: frozenset[int] | None = None
         self.barred = 0
         self.region = 0
         self.tags = 0
@@ -89,9 +100,15 @@ class Lines(HTMLParser):
         if not self.barred:
             self.free_core |= tag != "h1"
             return
-        bars = [(name, number, unseen) for name, bar, number, unseen in self.open if bar]
-        if not any(unseen for *_, unseen in bars) and not (tag == "h1" and any(name in NEVER_HEADED for name, *_ in bars)):
-            self.held[tag].append(frozenset(number for _, number, _ in bars))
+        least = len(next(iter(self.held[tag]), ()))
+        if least and len(self.bars) > least:
+            return
+        if self.bar_numbers is None:
+            self.bar_numbers = frozenset(number for _, number, _ in self.bars)
+        if not any(unseen for *_, unseen in self.bars) and not (tag == "h1" and any(name in NEVER_HEADED for name, *_ in self.bars)):
+            if len(self.bars) < least:
+                self.held[tag].clear()
+            self.held[tag].add(self.bar_numbers)
 
     def holders(self) -> frozenset[int]:
         """Numbers of the barred elements that hold a heading, a main part, or, where none is free, an article.
@@ -100,9 +117,8 @@ class Lines(HTMLParser):
         """
         out: set[int] = set()
         for tag, chains in self.held.items():
-            if chains and not (tag == "article" and self.free_core):
-                least = min(map(len, chains))
-                out.update(*(c for c in chains if len(c) == least))
+            if not (tag == "article" and self.free_core):
+                out.update(*chains)
         return frozenset(out)
 
     def flush(self) -> None:
@@ -114,7 +130,12 @@ class Lines(HTMLParser):
 
     def pop(self) -> None:
         tag, bar, *_ = self.open.pop()
+        self.names[tag] -= 1
+        if self.borders and self.borders[-1] == len(self.open):
+            self.borders.pop()
         if bar:
+            self.bars.pop()
+            self.bar_numbers = None
             self.barred -= 1
             if not self.barred:
                 self.region += tag not in HIDDEN
@@ -145,8 +166,14 @@ class Lines(HTMLParser):
             if tag not in HIDDEN:
                 self.flush()
                 self.region += 1
+        if tag == "p" or tag in BLOCKS or tag in FURNITURE or tag in HIDDEN:
+            self.borders.append(len(self.open))
         self.open.append((tag, bar, self.starts, unseen))
+        self.names[tag] += 1
         self.barred += bar
+        if bar:
+            self.bars.append((tag, self.starts, unseen))
+            self.bar_numbers = None
 
     @staticmethod
     def is_marked(marked: dict[str, str | None]) -> bool:
@@ -159,16 +186,12 @@ class Lines(HTMLParser):
 
     def close_paragraph(self) -> None:
         """A block ends an open paragraph and whatever inline elements it left open."""
-        for depth in range(len(self.open) - 1, -1, -1):
-            tag = self.open[depth][0]
-            if tag == "p":
-                if not self.barred:
-                    self.flush()
-                while len(self.open) > depth:
-                    self.pop()
-                return
-            if tag in BLOCKS or tag in FURNITURE or tag in HIDDEN:
-                return
+        if self.borders and self.open[self.borders[-1]][0] == "p":
+            depth = self.borders[-1]
+            if not self.barred:
+                self.flush()
+            while len(self.open) > depth:
+                self.pop()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -177,9 +200,9 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        depth = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
-        if depth is None:
+        if not self.names[tag]:
             return
+        depth = next(k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag)
         if not self.barred and (tag in BLOCKS or tag in FURNITURE):
             self.flush()
         while len(self.open) > depth:
@@ -249,9 +272,11 @@ def main_text(html: str | None, sigma: float = 1.0, least: float = 0.5) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:
     """One row per page: id, url, main text and its code points.
 
-    A null or empty page has an empty text; repeated rows repeat; an empty table stays empty; other columns are ignored.
+    A null or empty page has an empty text, as has one of furniture only; repeated rows repeat; an empty table stays empty; other columns are ignored.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for html in batches:

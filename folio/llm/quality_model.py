@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import unused
 from folio.llm.text_stats import removed_count, with_words
 
 FEATURES = (
@@ -165,49 +166,64 @@ def lasso(z: np.ndarray, y: np.ndarray, shape: Shape) -> tuple[np.ndarray, float
 STOP_WORDS = "the of and to in that is for der die und das ist nicht de la le les et que en el los un una".split()
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of FEATURES. A null text counts as empty; an empty one has zero in every rate."""
-    df = with_words(docs.withColumn("_t", F.coalesce(F.col("text"), F.lit(""))), "_t", "_w")
-    n, chars = F.size("_w"), F.length("_t")
+def features(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns of FEATURES, each under a name that begins with PREFIX; such names and ``_text`` must be free.
+
+    A null text counts as empty; an empty one has zero in every rate.
+    """
+    df = with_words(docs.withColumn(PREFIX + "text", F.coalesce(F.col("text"), F.lit(""))), PREFIX + "text", PREFIX + "words")
+    text, words = F.col(PREFIX + "text"), F.col(PREFIX + "words")
+    n, chars = F.size(words), F.length(text)
     over = lambda c, d: F.when(d > 0, c / d).otherwise(0.0).cast("double")
-    lines = F.filter(F.split("_t", "\n"), lambda x: x != "")
-    df = df.withColumn("_l", lines)
+    df = df.withColumn(PREFIX + "lines", F.filter(F.split(text, "\n"), lambda x: x != ""))
+    lines = F.col(PREFIX + "lines")
     stop = F.array(*map(F.lit, STOP_WORDS))
-    same = F.expr("size(filter(sequence(1, greatest(size(_w) - 1, 1)), k -> get(_w, k) = get(_w, k - 1)))")
+    same = F.expr("size(filter(sequence(1, greatest(size({0}) - 1, 1)), k -> get({0}, k) = get({0}, k - 1)))".format(PREFIX + "words"))
     found = {
         "words_log": F.log1p(n.cast("double")),
-        "word_length": over(F.length(F.array_join("_w", "")), n),
-        "symbol_rate": over(removed_count(F.col("_t"), "[#*$%&<>]"), n),
-        "mark_rate": over(chars - F.length(F.replace(F.col("_t"), F.lit("!"), F.lit(""))), n),
-        "bar_rate": over(chars - F.length(F.replace(F.col("_t"), F.lit("|"), F.lit(""))), n),
-        "digit_rate": over(removed_count(F.col("_t"), "[0-9]"), chars),
-        "upper_rate": over(removed_count(F.col("_t"), "[A-Z]"), chars),
-        "stop_rate": over(F.size(F.array_intersect(F.transform("_w", lambda w: F.lower(w)), stop)), F.least(n, F.lit(len(STOP_WORDS)))),
-        "distinct_rate": over(F.size(F.array_distinct("_w")), n),
+        "word_length": over(F.length(F.array_join(words, "")), n),
+        "symbol_rate": over(removed_count(text, "[#*$%&<>]"), n),
+        "mark_rate": over(chars - F.length(F.replace(text, F.lit("!"), F.lit(""))), n),
+        "bar_rate": over(chars - F.length(F.replace(text, F.lit("|"), F.lit(""))), n),
+        "digit_rate": over(removed_count(text, "[0-9]"), chars),
+        "upper_rate": over(removed_count(text, "[A-Z]"), chars),
+        "stop_rate": over(F.size(F.array_intersect(F.transform(words, lambda w: F.lower(w)), stop)), F.least(n, F.lit(len(STOP_WORDS)))),
+        "distinct_rate": over(F.size(F.array_distinct(words)), n),
         "same_next_rate": over(same, n),
-        "line_words_log": F.log1p(over(n, F.size("_l"))),
-        "dup_line_rate": over(F.size("_l") - F.size(F.array_distinct("_l")), F.size("_l")),
+        "line_words_log": F.log1p(over(n, F.size(lines))),
+        "dup_line_rate": over(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
     }
-    return df.withColumns({PREFIX + k: v for k, v in found.items()}).drop("_t", "_w", "_l")
+    return df.withColumns({PREFIX + k: v for k, v in found.items()}).drop(PREFIX + "text", PREFIX + "words", PREFIX + "lines")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, shape: Shape = Shape()) -> RuleModel:
     """A model from at most ``most_rows`` labelled documents of each class, those whose ids hash lowest, but for the held-out ones.
 
     Held out are rows whose crc32 of the id as text leaves 2 by 4. A document with several labels counts as bad if one
-    says so. Only labels steer training; lang, source, doc_id and labels are no features.
+    says so; of several texts of an id the one with the least features counts, repeated rows count once. Rows without an
+    id or a label and labels without a document are ignored; without rows of both classes see train. Only labels steer
+    training; lang, source, doc_id and labels are no features.
     """
     ids = labels.filter("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 4 != 2").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = [ids.filter(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for k in (0, 1)]
     # both limits together bound what is broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
-    found = with_features(rows).select("doc_id", "quality", *COLUMNS).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    one = features(rows).groupBy("doc_id", "quality").agg(F.min(F.struct(*COLUMNS)).alias("least")).select("doc_id", "quality", "least.*")
+    found = one.toPandas().sort_values("doc_id")
     return train(found[COLUMNS].to_numpy(np.float64), found["quality"].to_numpy(), shape)
 
 
-def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with a column ``quality_score`` from 0 to 1 of the whole text; one narrow pass without Python."""
-    # Through the generator the features are values: a later filter on the score cannot be pushed to where they are
-    # computed, which would compute each once for every rule that names it.
-    found = with_features(docs).select(*docs.columns, F.explode(F.array(F.struct(*COLUMNS))).alias("_features"))
-    return found.withColumn("quality_score", model.column("_features.")).drop("_features")
+def score_quality(docs: DataFrame, model: RuleModel, out: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``out`` from 0 to 1 of the whole text; one narrow pass without Python.
+
+    A null or empty text gets the score of its features, which are zero. Repeated rows repeat, an empty table stays empty,
+    all columns of the input are kept, whatever their names; a clash with ``out`` raises ValueError, unused() finds a free name.
+    """
+    if unused(docs, out) != out:
+        raise ValueError(f"docs has a column {out}")
+    # The row travels as one column, so that no name of it meets those of the features. Through the generator the features
+    # are values: a later filter on the score cannot be pushed to where they are computed, which would compute each once
+    # for every rule that names it.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    found = features(rows).select("row", F.explode(F.array(F.struct(*COLUMNS))).alias("f"))
+    return found.select(*(F.col(f"row.`{c}`") for c in docs.columns), model.column("f.").alias(out))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm.license_scan import BETWEEN, COPYRIGHT_LINE, EQUIVALENT
+from folio.llm.license_scan import ACROSS, BETWEEN, EQUIVALENT, HOLDER
 from folio.llm.license_texts import KNOWN
 from folio.llm.quality_rules import GRIDS, Risk
 
@@ -23,7 +23,7 @@ def op4() -> str:
     tests = sum(len(grid) for _, grid in GRIDS.values())
     grid = ", ".join(f"('{name}', {k}, {cut}::double)" for name, (_, cuts) in GRIDS.items() for k, cut in enumerate(cuts))
     rate = "case stat " + " ".join(f"when '{name}' then {num}" for name, (num, _) in GRIDS.items()) + " end / n_words::double"
-    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({r.risk}::double) + (n - i) * ln(1 - {r.risk}::double))))"
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({r.share}::double) + (n - i) * ln(1 - {r.share}::double))))"
     return rf"""with w as (select row_number() over () as row_id, doc_id, lang, coalesce(text, '') as text, {WORDS.format("text")} as w from documents),
     win as (select row_id, i, array_to_string(w[i:i+4], ' ') as g from (select row_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) > 5)),
     rep as (select row_id, i from (select *, count(*) over (partition by row_id, g) as c from win) where c > 1),
@@ -35,8 +35,9 @@ def op4() -> str:
     grid(stat, step, cut) as (values {grid}),
     good as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
     held as (select j.* from judged j where not base_failed and doc_id in (select doc_id from good)),
-    counts as (select lang, stat, step, cut, count(*) as n, count(*) filter ({rate} > cut) as k from held, grid group by all),
-    proven as (select lang, stat, min(cut) as cut from counts where k < n * {r.risk} and {tail} <= {r.error} / ({tests} * (select count(distinct coalesce(lang, '')) from held)) group by all),
+    trials as (select doc_id, lang, stat, step, cut, max({rate}) as rate from held, grid group by all),
+    counts as (select lang, stat, step, cut, count(*) as n, count(*) filter (rate > cut) as k from trials group by all),
+    proven as (select lang, stat, min(cut) as cut from counts where k < n * {r.share} and {tail} <= {r.error} / ({tests} * (select count(distinct coalesce(lang, '')) from held)) group by all),
     broken as (select distinct row_id from judged j join proven p on j.lang is not distinct from p.lang where n_words > 0 and {rate} > p.cut)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and row_id not in (select row_id from broken) as kept from judged"""
 
@@ -59,20 +60,30 @@ def quoted(text: str) -> str:
 
 
 def op10() -> str:
-    def canonical(c: str) -> str:
-        c = f"regexp_replace({ASCII_LOWER.format(c)}, '{COPYRIGHT_LINE}', '')"
-        for pattern, to in EQUIVALENT:
+    def replaced(c: str, pairs) -> str:
+        for pattern, to in pairs:
             c = f"regexp_replace({c}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
-        return f"trim(regexp_replace({c}, '{BETWEEN}', ' ', 'g'))"
+        return c
 
-    forms = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {canonical('x')}), lambda x: x <> '')"
+    def words(c: str) -> str:
+        return f"trim(regexp_replace({replaced(c, EQUIVALENT)}, '{BETWEEN}', ' ', 'g'))"
+
+    def forms(c: str) -> str:
+        lines = f"string_split({ASCII_LOWER.format("coalesce(text, '')")}, chr(10))"
+        return f"list_filter(list_transform({lines}, lambda x: {words(c)}), lambda x: x <> '')"
+
+    def joined(c: str) -> str:
+        return f"trim({replaced(f"array_to_string({c}, ' ')", ACROSS)})"
+
+    holders, whole = forms(f"regexp_replace(x, '{HOLDER}', '\\1')"), forms("x")
     rows = ", ".join(f"('{name}', {quoted(text)})" for name, text in KNOWN)
     return f"""with known_in(licence, text) as (values {rows}),
-    known as (select sha256(array_to_string({forms}, ' ')) as digest, length(array_to_string({forms}, ' ')) as size, min(licence) as licence from known_in group by all),
-    d as (select row_number() over () as row_id, doc_id, {forms} as f from documents),
-    lines as (select row_id, string_agg(distinct k.licence, ',' order by k.licence) as line_licences from (select distinct row_id, unnest(f) as x from d) l join known k on k.digest = sha256(l.x) and k.size <= 200 group by 1)
-    select doc_id, case when len(f) > 0 then sha256(array_to_string(f, ' ')) end as digest, k.licence, coalesce(l.line_licences, '') as line_licences
-    from d left join lines l using (row_id) left join known k on k.digest = case when len(f) > 0 then sha256(array_to_string(f, ' ')) end"""
+    known as (select sha256(form) as digest, min(licence) as licence from (select licence, {joined(holders)} as form from known_in union all select licence, {joined(whole)} from known_in) where form <> '' group by 1),
+    d as (select row_number() over () as row_id, doc_id, {holders} as f, {whole} as w from documents),
+    lines as (select row_id, string_agg(distinct k.licence, ',' order by k.licence) as line_licences from (select distinct row_id, unnest(f) as x from d) l join known k on k.digest = sha256(l.x) group by 1),
+    digests as (select row_id, doc_id, case when {joined("f")} <> '' then sha256({joined("f")}) end as digest, sha256({joined("w")}) as with_holders from d)
+    select doc_id, e.digest, coalesce(a.licence, b.licence) as licence, coalesce(l.line_licences, '') as line_licences
+    from digests e left join lines l using (row_id) left join known a on a.digest = e.digest left join known b on b.digest = e.with_holders"""
 
 
 def oracle_sql() -> dict[str, str]:

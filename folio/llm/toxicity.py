@@ -13,15 +13,19 @@ a bucket: a span's logit is the mean of its buckets' numbers. This is the same m
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import small_batches, unused
+
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -98,7 +102,33 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
 
 
+#: A text's distinct words, and its distinct spans as rows of places among them; -1 fills up the only span of a shorter text.
+Bag = tuple[Sequence[str], np.ndarray]
+
+
+def bag_of(text: str | None, span: int) -> Bag:
+    """What training needs of a text, whatever its length: each word and each span once, in the order in which they come."""
+    index: dict[str, int] = {}
+    at = np.array([index.setdefault(w, len(index)) for w in WORD.findall((text or "").lower())], np.int32)
+    if len(at) < span:
+        spans = np.full((min(1, len(at)), span), -1, np.int32)
+        spans[:, : len(at)] = at
+        return list(index), spans
+    spans = np.lib.stride_tricks.sliding_window_view(at, span)
+    _, first = np.unique(spans, axis=0, return_index=True)
+    return list(index), spans[np.sort(first)]
+
+
 def train(texts: Sequence[str | None], toxic: Sequence[int], shape: Shape = Shape()) -> ToxicityModel:
+    return train_bags([bag_of(t, shape.span) for t in texts], toxic, shape)
+
+
+def spread_out(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, in a row."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def train_bags(bags: Sequence[Bag], toxic: Sequence[int], shape: Shape = Shape()) -> ToxicityModel:
     """Adagrad over documents in random order, each step through the span that scores highest now; the later epochs' logits are averaged.
 
     Without rows of both classes there is nothing to learn: the score is then 0 for all texts, or 1 if every row is toxic.
@@ -108,18 +138,23 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], shape: Shape = Shap
         return ToxicityModel(np.zeros(shape.buckets), -500.0 if not len(y) or y[0] == 0 else 500.0, shape)
     rng = np.random.default_rng(shape.seed)
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in WORD.findall((t or "").lower())], np.int64) for t in texts]
-    places = Memo(lambda g: bucket(g, shape), 1 << 18)
-    grams = [list(map(places.__getitem__, grams_of(w, shape))) for w in index]
-    counts = np.array([len(g) for g in grams] or [0])
+    words = [np.array([index.setdefault(w, len(index)) for w in held], np.int32) for held, _ in bags]
+    docs = [np.where(spans >= 0, w[spans], -1) if len(w) else spans for w, (_, spans) in zip(words, bags)]
+    places = Memo(lambda g: bucket(g, shape), 1 << 17)
+    buckets, counts = array("i"), array("i")
+    for w in index:
+        grams = grams_of(w, shape)
+        counts.append(len(grams))
+        buckets.extend(map(places.__getitem__, grams))
+    places.clear()
+    flat, counts = np.array(buckets, np.int32), np.array(counts, np.int64)
     starts = np.concatenate([[0], np.cumsum(counts)])
-    flat = np.array([x for g in grams for x in g] or [0], np.int64)
     full = [k for k in range(len(docs)) if len(docs[k])]
     # a bucket that few documents have says more of those than of any word; it counts in a mean, but stays at zero
     spread = np.zeros(shape.buckets, np.int64)
-    for d in docs:
-        if len(d):
-            spread[np.unique(np.concatenate([grams[w] for w in np.unique(d)]))] += 1
+    for w in words:
+        if len(w):
+            spread[np.unique(flat[spread_out(starts[w], counts[w])])] += 1
     held = spread >= shape.least_docs
     embeddings = rng.uniform(-0.5, 0.5, (shape.buckets, shape.dim)) / shape.dim * held[:, None]
     softmax = rng.normal(0, 1, (2, shape.dim))
@@ -132,19 +167,18 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], shape: Shape = Shap
         order = rng.permutation(full)
         for batch in np.array_split(order, max(1, len(order) // 128)):
             direction = softmax[1] - softmax[0]
-            used = np.unique(np.concatenate([docs[k] for k in batch]))
+            used = np.unique(np.concatenate([words[k] for k in batch]))
             sizes = counts[used]
-            at = np.repeat(starts[used] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            per_gram = embeddings[flat[at]] @ direction
-            value = np.zeros(len(counts))
-            value[used] = np.add.reduceat(per_gram, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes
+            per_gram = embeddings[flat[spread_out(starts[used], sizes)]] @ direction
+            value = np.zeros(len(counts) + 1)  # the last one stands for -1
+            value[used] = np.add.reduceat(per_gram, np.cumsum(sizes) - sizes) / sizes
             rows, owner, share_of = [], [], []
             for n, k in enumerate(batch):
-                d = docs[k]
-                best = int(np.argmax(windowed(value[d], shape.span)))
-                inside = d[best : best + shape.span]
-                rows += [flat[starts[w] : starts[w + 1]] for w in inside]
-                owner.append(np.full(int(counts[inside].sum()), n))
+                spans = docs[k]
+                inside = spans[int(np.argmax(value[spans].sum(1)))]
+                inside = inside[inside >= 0]
+                rows.append(flat[spread_out(starts[inside], counts[inside])])
+                owner.append(np.full(len(rows[-1]), n))
                 share_of.append(np.repeat(1 / (counts[inside] * len(inside)), counts[inside]))
             rows_, owner_, share_ = np.concatenate(rows), np.concatenate(owner), np.concatenate(share_of)[:, None]
             mean = np.zeros((len(batch), shape.dim))
@@ -173,30 +207,50 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], shape: Shape = Shap
     return ToxicityModel(folded / taken, shift / taken, shape)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, longest: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most so many labelled rows of each class, those whose ids hash lowest, none over ``longest`` code points."""
+def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, span: int) -> tuple[list[Bag], list[int]]:
+    """Bags and labels of at most so many labelled rows of each class, those whose ids hash lowest.
+
+    Words and spans are cut out where the texts are, so no text comes to the driver. Of several texts of an id the least counts.
+    """
     ids = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [ids.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, most_toxic), (0, most_clean))]
     # both limits together bound what is broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    found = sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
-    return [r.text for r in found], [r.toxic for r in found]
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                words, spans = bag_of(batch.column(2)[at].as_py(), span)
+                columns = [*(batch.column(k).slice(at, 1) for k in range(2)), pa.array([words], pa.list_(pa.string())), pa.array([spans.ravel()], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "words", "spans"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(cut, f"doc_id {kind}, toxic int, words array<string>, spans array<int>").toArrow().sort_by("doc_id")
+    bags = [(w.as_py(), np.array(s.values, np.int32).reshape(-1, span)) for w, s in zip(found.column("words"), found.column("spans"))]
+    return bags, found.column("toxic").to_pylist()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1_500, most_clean: int = 3_000, longest: int = 50_000, shape: Shape = Shape()) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1_500, most_clean: int = 3_000, shape: Shape = Shape()) -> ToxicityModel:
     """A model from labelled documents, but for those held out: rows whose crc32 of the id as text leaves no rest by 5.
 
-    ``most_toxic``, ``most_clean`` and ``longest`` bound the training rows and their texts; scoring has no bound.
-    A document with several labels counts as toxic if one of them says so.
+    ``most_toxic`` and ``most_clean`` bound the training rows, of whatever length; scoring has no bound.
+    A document with several labels counts as toxic if one of them says so. Repeated rows count once; rows without an id
+    or a label, labels without a document and all other columns are ignored; without rows of both classes see train_bags.
     """
-    return train(*labelled(docs, labels, most_toxic, most_clean, longest), shape)
+    small_batches(docs.sparkSession)
+    return train_bags(*labelled(docs, labels, most_toxic, most_clean, shape.span), shape)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with a column ``toxicity`` from 0 to 1, of the whole text; a null, empty or wordless text has the score of no words.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``out`` from 0 to 1, of the whole text; a null, empty or wordless text has the score of no words.
 
-    One narrow pass in bounded batches; the weights travel as one broadcast of fixed size.
+    One narrow pass in bounded batches; the weights travel as one broadcast of fixed size. Repeated rows repeat, an empty
+    table stays empty, all columns of the input are kept; a clash with ``out`` raises ValueError, unused() finds a free name.
     """
+    if unused(docs, out) != out:
+        raise ValueError(f"docs has a column {out}")
+    small_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.shape))
 
     @F.pandas_udf("double")
@@ -205,4 +259,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for texts in batches:
             yield texts.map(held.score, na_action=None).astype("float64")
 
-    return docs.withColumn("toxicity", scored(F.col("text")))
+    return docs.withColumn(out, scored(F.col("text")))

@@ -3,7 +3,8 @@
 Writing. Payload digests pick, for each group of equal payloads, the row that is stored whole (``response``); the rest
 become ``revisit`` records that refer to it. A stored payload is framed as a chunked HTTP response. Blocks over
 ``segment_bytes`` are cut into a first record and continuation records. Every record is one row of the text sink, whose
-line separator is the record trailer, so each part file is a gzip archive that any WARC reader can read.
+line separator is the record trailer, so each part file is a gzip stream of records; it is one gzip member, where others
+write a member a record. A revisit names the page it refers to in a header of its own, WARC-Refers-To-Page.
 
 Reading. Each archive is inflated and parsed as a stream. Whole records are decoded where they are read. Segments are
 grouped by their origin record's id, ordered by number, checked against the total length, then decoded.
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.common import small_batches
+
 TRAILER = b"\r\n\r\n"
 #: Any fixed name space will do; record ids are made from it, so a rerun over the same partitions writes the same ids.
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -120,13 +123,18 @@ def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return hashed.join(revisits, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left").drop("of_page", "of_digest")
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = 65_536, chunk_bytes: int = 8_192, least_bytes: int = 0, records_per_file: int = 5_000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Archives of ``pages`` under ``path``, one a part file of at most ``records_per_file`` records.
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = 65_536, chunk_bytes: int = 8_192, least_bytes: int = 0, file_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
+    """Archives of ``pages`` under ``path``, one a part file, of not many more than ``file_bytes`` before compression.
+
+    No record's block is over ``segment_bytes``, so a number of records bounds a file, and a reader may hold one whole.
 
     A null html is an empty payload. Of rows with equal payloads all those with the largest page_id are stored, so rows
     repeated whole are too, each with record ids of its own; a null page_id counts below every other. An empty table writes no record.
     """
 
+    small_batches(pages.sparkSession)
+    records_per_file = max(1, file_bytes // (segment_bytes + 1_024))
+
     @F.pandas_udf("array<binary>")
     def records(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for ids, urls, payloads, digests, refers, numbers in batches:
@@ -227,6 +235,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pd.DataFrame(out, columns=names).astype({k: "Int64" for k in ("page_id", "refers_to", "segment", "total", "length")})
 
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInPandas(rows, READ_SCHEMA)
 

@@ -66,3 +66,9 @@ def test_documents(spark, theirs):
         assert r.n_tokens == len(ids) and r.ids == ids and r.decoded == text
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert code_documents(docs.filter("false"), PATH).count() == 0
+
+
+def test_decoding_in_slices(ours):
+    text = "Añ €𝄞 words " * 50
+    ids = ours.encode(text)
+    assert ours.decode(ids, most=1) == ours.decode(ids, most=7) == ours.decode(ids) == text.encode()

@@ -36,3 +36,18 @@ def test_teasers_and_hidden_articles_stay_out():
 
 def test_math_stays():
     assert main_text(f"<p>{LONG} So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p>") == f"{LONG} So x=1 holds."
+
+
+def test_time_grows_with_the_page():
+    """Tags left open, end tags without a start, and articles in barred elements cost no search each."""
+    import time
+
+    def seconds(n: int) -> float:
+        pages = ["<div>" + "<b>x" * n + "</i>" * n, "<p>" + "<b>" * n + "<div>y" * n, "<nav>" * 50 + "<article>" * n, "<body>" + "<span><p>z</i>" * n, "<div>" + "<b>" * n + "<table><tr><td>c" * n]
+        began = time.perf_counter()
+        for page in pages:
+            main_text(page)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(16_000) < 40 * max(seconds(1_000), 0.01)  # 16 times the tags; 256 times if each were a search

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm.quality_model import COLUMNS, fit_quality, score_quality, train, with_features
+from folio.llm.quality_model import COLUMNS, features, fit_quality, score_quality, train
 from folio.llm.quality_rules import Risk, binomial_tail, document_statistics, judge_quality, thresholds
 from folio.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 from folio.llm.toxicity import train as train_toxicity
@@ -63,10 +63,33 @@ def test_thresholds_hold_their_risk(spark):
     cuts = {r.of_stratum: r for r in thresholds(stats, labels, Risk(risk=0.02)).collect()}
     assert cuts["en"].word_length_cut == 8.0 and cuts["en"].symbol_rate_cut == 0.05
     assert cuts["de"].word_length_cut is None  # twenty labels prove nothing
+    # a document that repeats is one trial
+    twice = stats.unionByName(stats).unionByName(stats)
+    assert sorted(thresholds(twice, labels, Risk(risk=0.02)).collect(), key=str) == sorted(thresholds(stats, labels, Risk(risk=0.02)).collect(), key=str)
     judged = judge_quality(stats, labels, Risk(risk=0.02))
     assert judged.filter("not kept").count() == 5 and judged.filter("not kept and stratum = 'de'").count() == 0
 
 
+def test_all_rules_together_hold_the_risk(spark):
+    """Five rules that each reject other documents: no one of them may take the whole risk."""
+    names = ("n_symbols", "n_marks", "word_chars", "n_dup_lines", "n_repeat_words")
+    rows = []
+    for k in range(20_000):
+        v = dict.fromkeys(names, 0) | {"word_chars": 400}
+        if k % 1000 < 75:  # each rule alone would reject 1.5 %, all together 7.5 %
+            v[names[k % 5]] = 1600 if names[k % 5] == "word_chars" else 18
+        rows.append((k, "en", 100, *(v[n] for n in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks"))))
+    stats = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_marks long")
+    labels = spark.createDataFrame([(k, 1) for k in range(20_000)], "doc_id long, quality int")
+    assert judge_quality(stats, labels, Risk(risk=0.02)).filter("not kept").count() <= 400
+
+
+def test_statistics_are_computed_once(spark, edges):
+    """Thresholds over statistics that were not stored: their plan holds no more window hashes than the statistics' own."""
+    plan = thresholds(document_statistics(edges), spark.createDataFrame([], "doc_id long, quality int"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") <= 2
+
+
 def test_rules_edge_cases(spark, edges):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     stats = document_statistics(edges)
@@ -92,7 +115,7 @@ def test_quality_on_held_out(spark):
     held = found[[crc32(str(i).encode()) % 4 == 2 for i in found.doc_id]]
     assert auc(held.quality_score.to_numpy(), held.quality.to_numpy()) > 0.9
     # the compiled column gives what numpy gives
-    x = with_features(rows).orderBy("doc_id").select(*COLUMNS).toPandas().to_numpy(float)
+    x = features(rows).orderBy("doc_id").select(*COLUMNS).toPandas().to_numpy(float)
     assert np.allclose(model.score(x), found.sort_values("doc_id").quality_score, atol=1e-9)
     assert 0 < len(model.rules) < 200
 
@@ -128,8 +151,12 @@ def test_toxicity_knows_misspellings():
 def test_models_without_both_classes(spark, edges, given):
     labels = spark.createDataFrame([(4, v, v) for v in given] + [(5, None, None)], "doc_id long, quality int, toxic int")
     quality = score_quality(edges, fit_quality(edges, labels)).collect()
-    toxic = score_toxicity(edges.drop("toxicity"), fit_toxicity(edges, labels)).collect()
+    toxic = score_toxicity(edges, fit_toxicity(edges, labels), "t").collect()
     assert len(quality) == len(toxic) == len(EDGES)
     assert {round(r.quality_score, 6) for r in quality} == {0.0 if given == [0] else 1.0}
-    assert {round(r.toxicity, 6) for r in toxic} == {1.0 if given == [1] else 0.0}
-    assert "word_length" in quality[0] and score_quality(edges.filter("false"), train(np.zeros((0, 12)), [])).count() == 0
+    assert {round(r.t, 6) for r in toxic} == {1.0 if given == [1] else 0.0}
+    assert {r.toxicity for r in toxic} == {0.5} and {r.word_length for r in quality} == {1.0}
+    for scored in (lambda d: score_toxicity(d, fit_toxicity(edges, labels), "Lang"), lambda d: score_quality(d, fit_quality(edges, labels), "lang")):
+        with pytest.raises(ValueError):
+            scored(edges)
+    assert score_quality(edges.filter("false"), train(np.zeros((0, 12)), [])).count() == 0

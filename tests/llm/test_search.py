@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm.decontaminate import Block, Budget, decontaminated, find_contamination, plain
+from folio.llm.decontaminate import Block, Budget, Index, decontaminated, find_contamination, plain
 from folio.llm.near_copies import one_of_each_group
 from folio.llm.set_join import Jaccard, block_links, jaccard_components
 
@@ -30,19 +30,27 @@ def prose(rng: random.Random, n: int) -> str:
 def test_blocks_find_what_brute_force_finds():
     rng = random.Random(2)
     items = [(k, prose(rng, rng.randint(6, 40))) for k in range(20)] + [(90, "x y"), (91, ""), (92, "!!")]
-    block = Block(items, Budget())
-    for _ in range(120):
-        k, text = rng.choice(items[:20])
+    # every length from the first with an edit on
+    items += [(100 + n, plain(prose(rng, 20))[:n]) for n in range(8, 42)]
+    items = [(i, t) for i, t in items if i < 100 or len(plain(t)) == i - 100]
+    index = Index(items, Budget())
+    tried = [x for x in items if x[0] < 20 or x[0] >= 100]
+    cut = 0
+    for _ in range(300):
+        k, text = rng.choice(tried)
         p = list(plain(text))
-        for _ in range(rng.randint(0, len(p) // 8)):
+        for _ in range(rng.randint(0, len(p) // 9)):
             at = rng.randrange(len(p))
             p[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "zz"])
         doc = plain(f"{prose(rng, rng.randint(0, 30))} {''.join(p)} {prose(rng, rng.randint(0, 30))}")
-        got = {i: e for i, _, _, e in block.matches(doc)}
-        for i, t in items[:20]:
-            d, most = least_edits(plain(t), doc), int(block.edits[block.ids.index(i)])
-            assert (got.get(i) == d) if d <= most else (i not in got), (i, d, most)
-    assert [m[0] for m in block.matches("so X, Y. end")] == [90]
+        got = {i: e for i, _, _, e in index.matches(doc)}
+        for i, t in tried:
+            size = len(plain(t))
+            d, most = least_edits(plain(t), doc), size // 10  # the declared tenth
+            assert (got.get(i) == d) if d <= most else (i not in got), (i, d, most, doc)
+            cut += 0 < d <= most and size in (*range(10, 16), *range(20, 24), 30, 31)
+    assert cut > 10  # lengths that need shorter q-grams were met with edits
+    assert [m[0] for m in Index(items[:23], Budget()).matches("so X, Y. end")] == [90]
 
 
 def test_long_texts_are_searched_in_stretches():
@@ -67,7 +75,11 @@ def test_find_contamination(spark):
         b = Budget(block_chars=block_chars)
         got = [(r.doc_id, [m.item_id for m in r.matches]) for r in find_contamination(docs, benchmark, b).collect()]
         assert sorted(got, key=str) == sorted([(1, [7]), (2, []), (3, []), (4, []), (5, [7]), (5, [7]), (None, [7]), (6, [7])], key=str)
-        assert sorted(r.doc_id for r in decontaminated(docs, benchmark, b).collect()) == [2, 3, 4]
+        clean = decontaminated(docs.withColumn("matches", F.lit("mine")), benchmark, b)
+        assert sorted((r.doc_id, r.matches) for r in clean.collect()) == [(2, "mine"), (3, "mine"), (4, "mine")]
+    assert "ArrowEvalPython" not in find_contamination(docs, benchmark, Budget(block_chars=10))._jdf.queryExecution().toString()  # blocks are no chain of workers
+    with pytest.raises(ValueError):
+        find_contamination(docs.withColumn("Matches", F.lit(1)), benchmark)
     assert decontaminated(docs, benchmark.filter("false")).columns == docs.columns and decontaminated(docs, benchmark.filter("false")).count() == 8
     assert find_contamination(docs.filter("false"), benchmark).count() == 0
 
