@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.bpe import code_documents
-from folio.llm.common import scratch, table, written
+from folio.llm.common import scratch, table, unused, written
 from folio.llm.decontaminate import decontaminated
 from folio.llm.near_copies import one_of_each_group
 from folio.llm.quality_model import fit_quality, score_quality
@@ -15,29 +15,47 @@ from folio.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5."""
+    """Documents that score under 0.5 for toxicity, whole rows unchanged, whatever their columns are called.
+
+    A null, empty or wordless text has the score of no words; repeated rows are judged alike; an empty table stays empty.
+    """
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).filter("toxicity < 0.5").drop("toxicity")
+    score = unused(docs, "toxicity_score")
+    return score_toxicity(docs, model, score).filter(F.col(score) < 0.5).drop(score)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more."""
+    """Documents that score 0.7 or more for quality, whole rows unchanged, whatever their columns are called.
+
+    A null or empty text has the score of features that are zero; repeated rows are judged alike; an empty table stays empty.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).filter("quality_score >= 0.7").drop("quality_score")
+    score = unused(docs, "quality_score")
+    return score_quality(docs, model, score).filter(F.col(score) >= 0.7).drop(score)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least doc_id."""
+    """One document of each group of near copies, the one with the least doc_id; rows stay whole.
+
+    A text without words and a row without an id stay; repeated rows of a kept id stay as they are; an empty table stays empty.
+    """
     return one_of_each_group(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item, rows whole and unchanged.
+
+    A null or empty text holds none and stays; repeated rows are judged alike; an empty table stays empty, and an empty
+    benchmark drops nothing.
+    """
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text that they decode to."""
+    """doc_id, number of tokens, digests of the ids and of the text that they decode to, and the token ids of each row.
+
+    A null or empty text has none; repeated rows repeat; an empty table stays empty; other columns are left behind.
+    """
     return code_documents(docs, vocabulary_path(), keep=("ids",))
 
 
