@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: the patterns that cut texts into tokens, numbers, headings, references and citations
 #: Unicode white space, with the four separators that plain ``\s`` leaves out.
 SPACES = "(?U)[\\s\\x1c-\\x1f]+"
 TOKEN = "[a-zA-Z0-9$%]+"
@@ -35,7 +36,7 @@ def strings(values: tuple[str, ...]) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACES.replace('(?U)', '(?U)')}|{SPACES.removeprefix('(?U)')}$", "")
+    return F.regexp_replace(c, f"^{SPACES}|{SPACES.removeprefix('(?U)')}$", "")
 
 
 def split_words(c: Column) -> Column:

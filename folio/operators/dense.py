@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
-from folio.sources.scratch import stored
+from folio.sources.scratch import by_key, stored
 
 
 def grams(text: Column) -> Column:
@@ -26,40 +27,48 @@ def gram_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class TfIdf:
-    """A fitted vocabulary: ``vocabulary`` has (gram, idf)."""
+class GramIndex:
+    """TF-IDF vectors of chunks by gram. ``grams``: (gram, chunk_id, w), not yet of unit length, and ``vocabulary``:
+    (gram, idf, df), both in the order of grams; ``norms``: (chunk_id, norm), of chunks with any known gram."""
 
+    grams: DataFrame
     vocabulary: DataFrame
+    norms: DataFrame
 
     def vectors(self, rows: DataFrame, keys: list[str], text: str) -> DataFrame:
         """(keys, gram, weight) of unit length; grams that the vocabulary lacks are left out, a text without any has no row."""
         weighted = gram_counts(rows, keys, text).join(self.vocabulary, "gram").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-        norm = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return weighted.join(norm, keys).select(*keys, "gram", (F.col("w") / F.col("norm")).alias("weight"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+        return weighted.select(*keys, "gram", (F.col("w") / norm).alias("weight"))
 
 
-def fit_tfidf(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> TfIdf:
-    """Smooth inverse document frequencies of the grams in at most a share of all chunks."""
-    counts = gram_counts(chunks, ["chunk_id"], "source_text").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.crossJoin(F.broadcast(n)).filter(F.col("df") <= F.lit(config.tfidf_max_df) * F.col("n"))  # one row
-    return TfIdf(kept.select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
-
+def index_grams(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> GramIndex:
+    """Smooth inverse document frequencies of the grams in at most a share of all chunks, and the chunks' weights.
 
-def cosine_search(chunks: DataFrame, queries: DataFrame, top_k: int, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by TF-IDF cosine: an equi-join on grams, so chunks that share none never meet a query."""
-    model = fit_tfidf(chunks, config)
-    q = model.vectors(queries, ["query_id"], "text").withColumnRenamed("weight", "qw")
-    c = model.vectors(chunks, ["chunk_id"], "source_text")
-    scored = q.join(c, "gram").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
+    Texts are dealt by chunk before grams are cut out, so counting them needs no shuffle; the counts are dealt once, by gram.
+    """
+    dealt = chunks.select("chunk_id", "source_text").repartition(F.col("chunk_id"))
+    counts = stored(by_key(gram_counts(dealt, ["chunk_id"], "source_text"), "gram", "chunk_id"), "gram-counts")
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    df = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).filter(F.col("df") <= F.lit(config.tfidf_max_df) * F.col("n"))  # one row
+    vocabulary = stored(by_key(df.select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "df"), "gram"), "vocabulary")
+    weighted = stored(counts.join(vocabulary, "gram").select("gram", "chunk_id", ((1 + F.log("tf")) * F.col("idf")).alias("w")), "gram-weights")
+    norms = weighted.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return GramIndex(weighted, vocabulary, stored(norms, "norms"))
+
+
+def search_grams(index: GramIndex, queries: DataFrame, top_k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by TF-IDF cosine: an equi-join on the questions' grams, so chunks that share none never meet a question."""
+    asked = stored(index.vectors(queries, ["query_id"], "text").withColumnRenamed("weight", "qw"), "asked-grams")
+    sums = asked.join(index.grams, "gram").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    scored = sums.join(index.norms, "chunk_id").select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top_k)
 
 
-def unit(vector: Column) -> Column:
-    """A vector at length one; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+def cosine_search(chunks: DataFrame, queries: DataFrame, top_k: int, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Index and search in one go; see index_grams and search_grams."""
+    return search_grams(index_grams(chunks, config), queries, top_k)
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, top_k: int, block_bytes: int = 64 << 20, digits: int = 6, group: str | None = None) -> DataFrame:
@@ -135,16 +144,35 @@ def summed(lists: str) -> Column:
 
 @dataclass(frozen=True)
 class Lsa:
-    """A projection of TF-IDF vectors: ``loadings`` has (gram, loading), the bytes of floats with the inverse document frequency in them."""
+    """A projection of TF-IDF vectors to ``dims`` numbers.
+
+    ``inverted``: (gram, idf, at, w), the numbers and unit weights of a gram's chunks, and ``factors``: the chunks' left singular
+    vectors over their singular values, sent to every executor; together they give any gram's loading. ``chunk_vectors``:
+    (chunk_id, vec), the unit vectors of the chunks that the fit was made of, which need no loadings.
+    """
 
-    loadings: DataFrame
+    inverted: DataFrame
+    factors: Broadcast
+    chunk_vectors: DataFrame
     dims: int
 
+    def loadings(self, wanted: DataFrame) -> DataFrame:
+        """(gram, loading), the bytes of floats with the inverse document frequency in them, of the grams in ``wanted``."""
+        factors = self.factors
+
+        def loaded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for rows, at, w, sizes in posting_slices(batch):
+                    made = (gram_sums(at, w, sizes, factors.value) * batch["idf"].to_numpy()[rows, None]).astype(np.float32)
+                    yield pd.DataFrame({"gram": batch["gram"].to_numpy()[rows], "loading": [v.tobytes() for v in made]})
+
+        return self.inverted.join(wanted, "gram", "left_semi").select("gram", "idf", "at", "w").mapInPandas(loaded, "gram string, loading binary")
+
     def encode(self, rows: DataFrame, keys: list[str], text: str, most_held: int = 65_536) -> DataFrame:
         """(keys, vec) of unit length, one row per input row; a text without known grams has the zero vector.
 
         Grams meet their loadings in a join; each task adds up what it has of a text, at most ``most_held`` texts at a
-        time, so that few vectors per text are shuffled.
+        time, so that few vectors per text are shuffled. Only loadings of the texts' grams are worked out.
         """
         dims = self.dims
 
@@ -176,7 +204,8 @@ class Lsa:
 
         # rows are told apart by keys and text, so rows that are equal in both share a vector
         named = rows.select(*keys, F.col(text).alias("_text")).withColumn("_row", F.sha2(F.to_json(F.struct(*keys, "_text")), 256))
-        found = gram_counts(named.dropDuplicates(["_row"]), ["_row"], "_text").join(self.loadings, "gram").select("_row", (1 + F.log("tf")).alias("w"), "loading")
+        counts = stored(gram_counts(named.dropDuplicates(["_row"]), ["_row"], "_text"), "lsa-grams")
+        found = counts.join(self.loadings(counts.select("gram").distinct()), "gram").select("_row", (1 + F.log("tf")).alias("w"), "loading")
         sums = found.mapInPandas(partial, "_row string, part binary").groupBy("_row").agg(F.collect_list("part").alias("parts")).select("_row", summed("parts").alias("sum"))
         return named.select(*keys, "_row").join(sums, "_row", "left").select(*keys, to_unit("sum").alias("vec"))
 
@@ -251,36 +280,49 @@ def leading(times: Callable[[np.ndarray], np.ndarray], block: np.ndarray, dims:
             basis, images = basis @ best, images @ best
 
 
-def fit_lsa(chunks: DataFrame, config: EngineConfig = EngineConfig(), tolerance: float = 1e-3) -> Lsa:
+def fit_lsa(chunks: DataFrame, config: EngineConfig = EngineConfig(), tolerance: float = 1e-3, index: GramIndex | None = None) -> Lsa:
     """Truncated SVD of the TF-IDF matrix of all chunks, by randomized block Krylov iteration.
 
     The matrix is held by grams and multiplied in passes over its partitions, until no singular direction's residual is
-    over ``tolerance`` of its eigenvalue. Each task holds some hundred numbers a chunk and the driver some thousand, never
-    the vocabulary, whose loadings are a table. If there are fewer chunks than columns of the sketch, the result is exact.
+    over ``tolerance`` of its eigenvalue. A gram of a single chunk, as most pairs of words are, adds only to that chunk's
+    place on the diagonal of the product; these are summed once and left out of the passes, which is exact. Each task holds
+    some hundred numbers a chunk and the driver some thousand, never the vocabulary. If there are fewer chunks than
+    columns of the sketch, the result is exact. ``index``: that of ``chunks``, if there is one.
     """
     spark = chunks.sparkSession
-    model = fit_tfidf(chunks, config)
-    weighted = stored(model.vectors(chunks, ["chunk_id"], "source_text"), "lsa-weights")
-    ids = weighted.select("chunk_id").distinct().sort("chunk_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    numbered = stored(spark.createDataFrame(ids, f"chunk_id {weighted.schema['chunk_id'].dataType.simpleString()}, at int"), "lsa-chunks")
-    postings = weighted.join(numbered, "chunk_id").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("p"))
-    inverted = stored(postings.join(model.vocabulary, "gram").select("gram", "idf", F.col("p.at").alias("at"), F.col("p.weight").alias("w")), "lsa-postings")
-    n, grams_n = numbered.count(), inverted.count()
+    index = index or index_grams(chunks, config)
+    kind = index.norms.schema["chunk_id"].dataType.simpleString()
+    ids = index.norms.select("chunk_id", "norm").sort("chunk_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    numbered = stored(spark.createDataFrame(ids, f"chunk_id {kind}, norm double, at int"), "lsa-chunks")
+    weighted = index.grams.join(numbered, "chunk_id").select("gram", "at", (F.col("w") / F.col("norm")).alias("w"))
+    postings = weighted.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("p"))
+    inverted = stored(by_key(postings.join(index.vocabulary, "gram").select("gram", "idf", F.col("p.at").alias("at"), F.col("p.w").alias("w")), "gram"), "lsa-postings")
+    n, grams_n = numbered.count(), index.vocabulary.count()
     dims = max(2, min(config.lsa_dims, grams_n - 1, n - 1))
     width = min(n, dims + 16)
+    # grams of one chunk: their part of A A' is diagonal
+    alone = inverted.filter(F.size("at") == 1).groupBy(F.element_at("at", 1).alias("k")).agg(F.sum(F.element_at("w", 1) * F.element_at("w", 1)).alias("s")).toArrow()
+    diagonal = np.zeros(n)
+    diagonal[alone.column("k").to_numpy()] = alone.column("s").to_numpy()
+    shared = stored(inverted.filter(F.size("at") > 1).select("at", "w"), "lsa-shared")
     block = np.random.default_rng(config.lsa_seed).normal(size=(n, width))
-    left, values = leading(lambda y: times_own_transpose(inverted, y), block, dims, tolerance)
+    left, values = leading(lambda y: times_own_transpose(shared, y) + diagonal[:, None] * y, block, dims, tolerance)
     factors = np.zeros((n, dims), np.float32)
     factors[:, : len(values)] = left * np.where(values > 1e-12, 1 / np.sqrt(np.maximum(values, 1e-12)), 0)
-    sent = spark.sparkContext.broadcast(factors)
+    places = np.zeros((n, dims))
+    places[:, : len(values)] = left * np.sqrt(values)
+    norms = np.linalg.norm(places, axis=1, keepdims=True)
+    sent, own = spark.sparkContext.broadcast(factors), spark.sparkContext.broadcast(np.where(norms > 1e-12, places / np.maximum(norms, 1e-12), 0))
 
-    def loaded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for rows, at, w, sizes in posting_slices(batch):
-                made = (gram_sums(at, w, sizes, sent.value) * batch["idf"].to_numpy()[rows, None]).astype(np.float32)
-                yield pd.DataFrame({"gram": batch["gram"].to_numpy()[rows], "loading": [v.tobytes() for v in made]})
+    @F.pandas_udf("array<double>")
+    def vector(at: pd.Series) -> pd.Series:
+        return pd.Series(list(own.value[at.to_numpy()]))
 
-    return Lsa(stored(inverted.mapInPandas(loaded, "gram string, loading binary"), "lsa-loadings"), dims)
+    # a chunk without known grams is in no row of the matrix
+    known = chunks.select("chunk_id").join(numbered.select("chunk_id", "at"), "chunk_id", "left")
+    zero = F.array_repeat(F.lit(0.0), dims)
+    vectors = known.filter("at is not null").select("chunk_id", vector("at").alias("vec")).unionByName(known.filter("at is null").select("chunk_id", zero.alias("vec")))
+    return Lsa(inverted, sent, stored(vectors, "lsa-vectors"), dims)
 
 
 #: Takes texts, gives vectors; the seam for a neural encoder.
@@ -288,12 +330,14 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def encode_with(encoder: Callable[[], Encoder], rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, vec) from an encoder that each task makes once, in batches of Arrow records."""
+    """(keys, vec) of unit length from an encoder that each task makes once, in batches of Arrow records; a zero vector stays, a null text counts as empty."""
 
     @F.pandas_udf("array<double>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = encoder()
         for texts in batches:
-            yield pd.Series([list(map(float, v)) for v in run(texts.fillna("").tolist())])
+            found = np.asarray(run(texts.fillna("").tolist()), np.float64).reshape(len(texts), -1)
+            norms = np.linalg.norm(found, axis=1, keepdims=True)
+            yield pd.Series(list(found / np.where(norms > 0, norms, 1.0)))
 
-    return rows.select(*keys, unit(encoded(F.col(text))).alias("vec"))
+    return rows.select(*keys, encoded(F.col(text)).alias("vec"))

@@ -128,14 +128,34 @@ def search_tree(nodes: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     as substrings; repeated keywords count again. ``queries`` has query_id, document_id (null: any), keywords,
     candidate_topics and explicit_section_refs. Ranks are per query and document.
     """
-    text = F.lower(F.concat("title", F.lit(" "), F.coalesce("summary", F.lit(""))))
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))))
     places = nodes.filter(F.col("node_id") != ROOT).select("document_id", "node_id", "node_no", "section_number", text.alias("text"))
     scope = F.col("document_id") if "document_id" in queries.columns else F.lit(None).cast("string")
     q = queries.select("query_id", scope.alias("of"), "keywords", "candidate_topics", "explicit_section_refs")
-    met = places.join(q, F.col("of").isNull() | (F.col("of") == F.col("document_id")))
+    bound = places.join(q.filter("of is not null"), F.col("of") == F.col("document_id"))
+    met = bound.unionByName(places_of_words(places, q.filter("of is null")))
     score = (
         F.when(F.array_contains("explicit_section_refs", F.col("section_number")), 10.0).otherwise(0.0)
         + 3.0 * F.expr("size(filter(candidate_topics, x -> contains(text, x)))") + F.expr("size(filter(keywords, x -> contains(text, x)))")
     )
     ranked = Window.partitionBy("query_id", "document_id").orderBy(F.desc("score"), "node_no")
     return met.withColumn("score", score).filter("score > 0").withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_k).select("query_id", "document_id", "node_id", "score", "rank")
+
+
+def places_of_words(places: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each query with the places that can score for it in any document: those of a section that it names, or that hold one of its words.
+
+    A word meets the texts that have its first three letters in a row, in a join by these; only words under three letters,
+    of which there are few, are looked for in every text.
+    """
+    words = queries.select("query_id", F.explode(F.array_distinct(F.concat("keywords", "candidate_topics"))).alias("word")).filter("word <> ''")
+    distinct = words.select("word").distinct()
+    anchors = distinct.filter(F.length("word") >= 3).select("word", F.substring("word", 1, 3).alias("anchor"))
+    cut = F.array_distinct(F.expr("transform(sequence(1, greatest(length(text) - 2, 1)), k -> substr(text, k, 3))"))
+    anchored = places.select("document_id", "node_id", "text", F.explode(cut).alias("anchor")).join(anchors, "anchor")
+    short = places.join(F.broadcast(distinct.filter(F.length("word") < 3)), F.contains("text", F.col("word")))  # as many as letters make at most
+    holds = anchored.filter(F.contains("text", F.col("word"))).select("document_id", "node_id", "word").unionByName(short.select("document_id", "node_id", "word"))
+    by_word = words.join(holds, "word").select("query_id", "document_id", "node_id")
+    named = queries.select("query_id", F.explode("explicit_section_refs").alias("section_number")).join(places.select("document_id", "node_id", "section_number"), "section_number")
+    pairs = by_word.unionByName(named.select("query_id", "document_id", "node_id")).distinct()
+    return places.join(pairs, ["document_id", "node_id"]).join(queries, "query_id").select(*places.columns, *queries.columns)

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import approx_tokens, citation, cross_references, numbers, stripped, token_set, tokens, word_count
 from folio.operators.chunking import fixed_windows
-from folio.operators.dense import cosine_search, fit_lsa, vector_search
-from folio.operators.lexical import bm25_search
+from folio.operators.dense import GramIndex, fit_lsa, index_grams, search_grams, vector_search
+from folio.operators.fusion import SOURCES, fuse, ranked
+from folio.operators.lexical import LexicalIndex, index_terms, search_terms
 from folio.operators.lines import body_font_sizes, lines_of_markup, lines_of_texts, nonblank
 from folio.operators.metrics import mean_metrics, retrieval_metrics
 from folio.operators.query import COMPARISON, INTENTS, TEMPORAL, analyze_queries
 from folio.operators.rerank import FeatureReranker
 from folio.operators.structure import detect_structure
-from folio.operators.tree import build_nodes, with_children, with_page_ranges, with_summaries
+from folio.operators.tree import build_nodes, search_tree, with_children, with_page_ranges, with_summaries
 from folio.sources.scratch import stored
 
 TOP_K = 10
@@ -34,6 +36,52 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+@dataclass(frozen=True)
+class SearchTables:
+    """The windows of a corpus and the indexes over them, as tables in the shared folder."""
+
+    windows: DataFrame
+    lexical: LexicalIndex
+    grams: GramIndex
+
+
+#: Search tables by session, corpus path and state of its files: an index is built once and searched by many queries.
+BUILT: dict[tuple, SearchTables] = {}
+
+
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}{{,/*}}"))
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found or ()))
+
+
+def search_tables(spark: SparkSession, sf_dir: str) -> SearchTables:
+    key = (spark.sparkContext.applicationId, sf_dir, file_state(spark, f"{sf_dir}/documents.parquet"))
+    if key not in BUILT:
+        chunks = stored(windows(spark, sf_dir), "windows")
+        BUILT[key] = SearchTables(chunks, index_terms(chunks, per_document=False), index_grams(chunks))
+    return BUILT[key]
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the search index over the corpus's windows: windows, postings, tokens, terms, grams by window, vocabulary."""
+    built = search_tables(spark, sf_dir)
+    sums = {
+        "n_windows": (built.windows, F.count(F.lit(1))), "n_postings": (built.lexical.postings, F.count(F.lit(1))), "n_tokens": (built.lexical.postings, F.sum("tf")), "n_terms": (built.lexical.weights, F.count(F.lit(1))),
+        "n_gram_postings": (built.grams.grams, F.count(F.lit(1))), "n_grams": (built.grams.vocabulary, F.count(F.lit(1))),
+    }
+    parts = [df.agg(how.cast("long").alias("n")).select(F.lit(name).alias("part"), "n") for name, (df, how) in sums.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def lexical_hits(spark: SparkSession, sf_dir: str, top_k: int = TOP_K) -> DataFrame:
+    return search_terms(search_tables(spark, sf_dir).lexical, questions(spark, sf_dir), top_k)
+
+
 def lines_nonblank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = nonblank(lines_of_texts(table(spark, sf_dir, "documents")))
     return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
@@ -64,11 +112,14 @@ def heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_blocks(spark, sf_dir).select("document_id", "block_no", "block_type", "depth", "section_number", "title")
 
 
-def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = page_blocks(spark, sf_dir)
     documents = blocks.select("document_id").distinct().withColumn("document_name", F.concat(F.lit("page "), "document_id"))
-    nodes = with_summaries(with_children(with_page_ranges(stored(build_nodes(blocks, documents), "nodes"))))
-    return nodes.select("document_id", "node_id", "node_no", "title", "parent_id", F.length("raw_text").alias("n_text"), "summary")
+    return with_summaries(with_children(with_page_ranges(stored(build_nodes(blocks, documents), "nodes"))))
+
+
+def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_nodes(spark, sf_dir).select("document_id", "node_id", "node_no", "title", "parent_id", F.length("raw_text").alias("n_text"), "summary")
 
 
 def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,12 +131,12 @@ def window_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25_search(windows(spark, sf_dir), questions(spark, sf_dir), TOP_K, per_document=False)
+    found = lexical_hits(spark, sf_dir)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cosine_search(windows(spark, sf_dir), questions(spark, sf_dir), TOP_K)
+    found = search_grams(search_tables(spark, sf_dir).grams, questions(spark, sf_dir), TOP_K)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -96,13 +147,30 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsa_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = windows(spark, sf_dir)
-    model = fit_lsa(chunks)
-    vectors = model.encode(chunks.select(F.col("chunk_id").alias("id"), "source_text"), ["id"], "source_text")
+    built = search_tables(spark, sf_dir)
+    model = fit_lsa(built.windows, index=built.grams)
+    vectors = model.chunk_vectors.withColumnRenamed("chunk_id", "id")
     found = vector_search(vectors, model.encode(questions(spark, sf_dir), ["query_id"], "text"), TOP_K)
     return found.select("query_id", F.col("id").alias("chunk_id"), F.round("score", 4).alias("score"), "rank")
 
 
+def corpus_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and TF-IDF hits of each question over the whole corpus, fused into one ranking."""
+    dense = search_grams(search_tables(spark, sf_dir).grams, questions(spark, sf_dir), TOP_K)
+    columns = ["query_id", F.lit("*").alias("document_id"), "chunk_id", "score", "rank"]  # one pseudo-document holds the corpus
+    hits = dense.select(*columns, F.lit(SOURCES[0]).alias("source")).unionByName(lexical_hits(spark, sf_dir).select(*columns, F.lit(SOURCES[1]).alias("source")))
+    found = ranked(fuse(stored(hits, "hits")))
+    return found.select("query_id", "chunk_id", F.round("fused_score", 6).alias("fused_score"), F.array_join("provenance", ",").alias("provenance"), "rank")
+
+
+def page_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best sections of every page for each benchmark item and for the last question of each conversation."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    asked = questions(spark, sf_dir).select(F.concat(F.lit("item "), "query_id").alias("query_id"), "text").unionByName(turns.select(F.concat(F.lit("conversation "), "conv_id").alias("query_id"), "text"))
+    found = search_tree(stored(page_nodes(spark, sf_dir), "nodes"), stored(analyze_queries(asked), "asked"), 3)
+    return found.select("query_id", "document_id", "node_id", "score", "rank")
+
+
 def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
     return analyze_queries(turns).select(
@@ -112,8 +180,8 @@ def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 hits in the form of candidates: the score scaled to 0..1 per question stands for the fused one."""
-    chunks, asked = windows(spark, sf_dir), questions(spark, sf_dir)
-    hits = bm25_search(chunks, asked, TOP_K, per_document=False)
+    chunks, asked = search_tables(spark, sf_dir).windows, questions(spark, sf_dir)
+    hits = stored(lexical_hits(spark, sf_dir), "hits")
     top = hits.groupBy("query_id").agg(F.max("score").alias("hi"))
     named = hits.join(top, "query_id").join(chunks.drop("document_id"), "chunk_id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
     # rankings here are over the whole corpus, so one pseudo-document holds all candidates
@@ -127,7 +195,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relevance(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A window counts as relevant if its document holds the benchmark item word for word."""
-    hits = bm25_search(windows(spark, sf_dir), questions(spark, sf_dir), TOP_K, per_document=False)
+    hits = lexical_hits(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("source_text"))
     return hits.join(docs, "document_id").withColumn("token_count", F.lit(1)), questions(spark, sf_dir).withColumn("groups", F.array(F.array("text")))
 
@@ -140,10 +208,10 @@ def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metrics of lexical and TF-IDF search over the same windows and questions."""
-    chunks, asked = windows(spark, sf_dir), questions(spark, sf_dir)
+    built, asked = search_tables(spark, sf_dir), questions(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("source_text"))
-    lexical = bm25_search(chunks, asked, 5, per_document=False).select("query_id", "document_id", "rank", F.lit("bm25").alias("baseline_id"))
-    dense = cosine_search(chunks, asked, 5).select("query_id", F.regexp_extract("chunk_id", "^(.*)-fixed-", 1).alias("document_id"), "rank", F.lit("tfidf").alias("baseline_id"))
+    lexical = lexical_hits(spark, sf_dir, 5).select("query_id", "document_id", "rank", F.lit("bm25").alias("baseline_id"))
+    dense = search_grams(built.grams, asked, 5).select("query_id", F.regexp_extract("chunk_id", "^(.*)-fixed-", 1).alias("document_id"), "rank", F.lit("tfidf").alias("baseline_id"))
     ranked = lexical.unionByName(dense).join(docs, "document_id").withColumn("token_count", F.lit(1))
     means = mean_metrics(retrieval_metrics(ranked, asked.withColumn("groups", F.array(F.array("text"))), 5, ("baseline_id", "query_id")), "baseline_id")
     return means.select("baseline_id", *(F.round(c, 6).alias(c) for c in ("mean_precision", "mean_hit", "mean_mrr", "mean_ndcg")), "n_questions")
@@ -208,15 +276,21 @@ def like_any(text: str, words: tuple[str, ...]) -> str:
     return "(" + " or ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-def analysis_sql() -> str:
+def analysis_ctes(source: str) -> str:
+    """CTEs q, t and u: ``source``, which gives a column ``low``, with the question's keywords, references and topics."""
     from folio.functions.text import STOP_QUERY
 
     topics = ", ".join(f"case when contains(low, '{stem}') then {list(t)!r} else [] end" for stem, t in INTENTS)
     stems = " + ".join(f"contains(low, '{stem}')::int" for stem, _ in INTENTS)
-    return rf"""with q as (select conv_id, turn, lower(coalesce(text, '')) as low from conversations where role = 'user'),
+    return rf"""q as ({source}),
     t as (select *, list_filter(regexp_extract_all(low, '[a-zA-Z'']+'), lambda w: length(w) > 2 and not list_contains({list(STOP_QUERY)!r}, w)) as kw,
       list_sort(list_distinct(regexp_extract_all(low, 'section\s+(\d+(?:\.\d+){{0,3}})', 1))) as refs, flatten([{topics}]) as every, {stems} as stems from q),
-    u as (select *, list_filter(every, lambda x, i: list_position(every, x) = i) as topics from t)
+    u as (select *, list_filter(every, lambda x, i: list_position(every, x) = i) as topics from t)"""
+
+
+def analysis_sql() -> str:
+    source = "select conv_id, turn, lower(coalesce(text, '')) as low from conversations where role = 'user'"
+    return rf"""with {analysis_ctes(source)}
     select conv_id, turn, array_to_string(kw, ' ') as keywords, array_to_string(refs, ' ') as refs, array_to_string(topics, ', ') as topics, {like_any("low", COMPARISON)} as is_comparison,
       {like_any("low", TEMPORAL)} as is_temporal, stems >= 2 or (contains(low, ' and ') and len(topics) >= 2) as is_multi_hop from u"""
 
@@ -236,7 +310,7 @@ def rerank_sql() -> str:
     r as (select *, 0.4 * shared / greatest(1, len(qs)) + 0.15 * shared / greatest(1, len(cs)) + 0.25 * least(1.0, phrases / 2.0) + 0.1 * fused as rs, shared / greatest(1, len(qs)) as recall from f),
     k as (select *, row_number() over (partition by query_id order by round(rs, 9) desc, rank) as rerank_no from r)
     select query_id, chunk_id, round(rs, 6) as rerank_score,
-      case when phrases > 0 and recall > 0.5 then phrases || ' exact phrase match(es); covers most query terms' when phrases > 0 then phrases || ' exact phrase match(es)' when recall > 0.5 then 'covers most query terms' else 'weak lexical overlap' end as rationale,
+      case when phrases > 0 and recall > 0.5 then phrases || ' shared phrase(s); more than half of the words' when phrases > 0 then phrases || ' shared phrase(s)' when recall > 0.5 then 'more than half of the words' else 'few shared words' end as rationale,
       rerank_no from k where rerank_no <= 6"""
 
 
@@ -260,6 +334,21 @@ cos as (select q.key::bigint as query_id, c.key as chunk_id, sum(q.w * c.w) as s
 coshits as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from cos) where rank <= 10)
 """
 
+TREES_SQL = """
+n as (select *, sum((block_type = 'heading')::int) over (partition by document_id order by block_no) as node_no from blocks),
+heads as (select document_id, node_no, coalesce(title, text) as title, depth, section_number from n where block_type = 'heading'),
+tree as (select h.*, (select max(g.node_no) from heads g where g.document_id = h.document_id and g.node_no < h.node_no and g.depth < h.depth) as up from heads h),
+every_node as (select document_id, node_no, title, section_number, case when up is null then 'root' else document_id || '-node-' || up end as parent_id, document_id || '-node-' || node_no as node_id from tree
+  union all select distinct document_id, 0, 'page ' || document_id, null, null, 'root' from blocks),
+bodies as (select document_id, node_no, trim(string_agg(text, chr(10) order by block_no)) as raw from n where block_type = 'paragraph' group by all),
+kids as (select document_id, parent_id as node_id, string_agg(title, ', ' order by node_no) as titles from every_node where parent_id is not null group by all),
+trees as (select e.document_id, e.node_id, e.node_no, e.title, e.parent_id, e.section_number, length(coalesce(b.raw, '')) as n_text,
+  case when e.node_id = 'root' then case when k.titles is null then e.title else e.title || '. Covers: ' || k.titles || '.' end
+    when k.titles is not null then substr(e.title || '. Includes: ' || k.titles || '.', 1, 240)
+    when length(coalesce(b.raw, '')) > 240 then substr(b.raw, 1, 240) || '…' else coalesce(b.raw, '') end as summary
+from every_node e left join bodies b using (document_id, node_no) left join kids k on k.document_id = e.document_id and k.node_id = e.node_id)
+"""
+
 ORACLES: dict[str, str] = {
     **LINES_ORACLE,
     "text_functions": rf"""select doc_id, n_words, greatest(1, floor(n_words * 1.3::double)::int) as n_tokens, len(t) as n_search_tokens, len(list_distinct(t)) as n_distinct_tokens, numbers, array_to_string(refs, ' ') as refs from (
@@ -270,6 +359,9 @@ ORACLES: dict[str, str] = {
     "heading_classify": f"with {LINES_SQL}, {FONT_SQL}, {BLOCKS_SQL} select document_id, block_no, block_type, depth, section_number, title from blocks",
     "fixed_window_chunks": f"with {WINDOWS_SQL} select chunk_id, win + 1 as chunk_no, floor(n * 1.3::double)::int as token_count, 1 as page_start, 1 as page_end, md5(source_text) as text_md5 from windows",
     "window_citations": f"with {WINDOWS_SQL} select chunk_id, '[Source: document ' || doc_id || ', Page 1]' as citation from windows",
+    "search_index": f"""with {WINDOWS_SQL}, {BM25_SQL}, {GRAMS_SQL}
+      select 'n_windows' as part, count(*)::bigint as n from windows union all select 'n_postings', count(*)::bigint from terms union all select 'n_tokens', sum(tf)::bigint from terms union all select 'n_terms', count(*)::bigint from df
+      union all select 'n_gram_postings', count(*)::bigint from wt where kind = 'c' union all select 'n_grams', count(*)::bigint from vocab""",
     "bm25_topk": f"with {WINDOWS_SQL}, {BM25_SQL} select query_id, chunk_id, round(score, 6) as score, rank from hits",
     "tfidf_cosine_topk": f"with {WINDOWS_SQL}, {GRAMS_SQL} select query_id, chunk_id, round(score, 6) as score, rank from coshits",
     "vector_topk": """with p as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: z[1]::double * z[2]::double)), 6) as score from embeddings q, embeddings v where q.vec_id % 100 = 0)
@@ -286,25 +378,23 @@ ORACLES: dict[str, str] = {
       select baseline_id, round(avg(p), 6) as mean_precision, round(avg(hit), 6) as mean_hit, round(avg(rr), 6) as mean_mrr,
         round(avg(case when r > 0 then dcg / list_sum(list_transform(range(1, r::bigint + 1), lambda i: 1 / log2(i + 1.0))) else 0 end), 6) as mean_ndcg, count(*) as n_questions from m group by baseline_id""",
     "quality_rollup": "select lang, count(*) as n, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic, grouping(lang)::int as overall from documents join labels using (doc_id) group by rollup(lang)",
-    "page_trees": f"""with {LINES_SQL}, {FONT_SQL}, {BLOCKS_SQL},
-      n as (select *, sum((block_type = 'heading')::int) over (partition by document_id order by block_no) as node_no from blocks),
-      heads as (select document_id, node_no, coalesce(title, text) as title, depth from n where block_type = 'heading'),
-      tree as (select h.*, (select max(g.node_no) from heads g where g.document_id = h.document_id and g.node_no < h.node_no and g.depth < h.depth) as up from heads h),
-      every as (select document_id, node_no, title, case when up is null then 'root' else document_id || '-node-' || up end as parent_id, document_id || '-node-' || node_no as node_id from tree
-        union all select distinct document_id, 0, 'page ' || document_id, null, 'root' from blocks),
-      bodies as (select document_id, node_no, trim(string_agg(text, chr(10) order by block_no)) as raw from n where block_type = 'paragraph' group by all),
-      kids as (select document_id, parent_id as node_id, string_agg(title, ', ' order by node_no) as titles from every where parent_id is not null group by all)
-      select e.document_id, e.node_id, e.node_no, e.title, e.parent_id, length(coalesce(b.raw, '')) as n_text,
-        case when e.node_id = 'root' then case when k.titles is null then e.title else e.title || '. Covers: ' || k.titles || '.' end
-          when k.titles is not null then substr(e.title || '. Includes: ' || k.titles || '.', 1, 240)
-          when length(coalesce(b.raw, '')) > 240 then substr(b.raw, 1, 240) || '…' else coalesce(b.raw, '') end as summary
-      from every e left join bodies b using (document_id, node_no) left join kids k on k.document_id = e.document_id and k.node_id = e.node_id""",
+    "page_trees": f"with {LINES_SQL}, {FONT_SQL}, {BLOCKS_SQL}, {TREES_SQL} select * exclude (section_number) from trees",
+    "corpus_fusion": f"""with {WINDOWS_SQL}, {BM25_SQL}, {GRAMS_SQL},
+      every as (select query_id, chunk_id, 0 as o, score, rank from coshits union all select query_id, chunk_id, 1, score, rank from hits),
+      scaled as (select *, case when max(score) over w = min(score) over w then 1.0::double else (score - min(score) over w) / (max(score) over w - min(score) over w) end as s from every window w as (partition by query_id, o)),
+      pool as (select query_id, chunk_id, avg(s) * (1 + 0.15 * (count(*) - 1)) as fused, min(o * 1000 + rank) as seen, string_agg(case o when 0 then 'vector' else 'lexical' end, ',' order by o) as provenance from scaled group by all)
+      select query_id, chunk_id, round(fused, 6) as fused_score, provenance, row_number() over (partition by query_id order by round(fused, 9) desc, seen) as rank from pool""",
+    "page_tree_search": f"""with {LINES_SQL}, {FONT_SQL}, {BLOCKS_SQL}, {TREES_SQL},
+      {analysis_ctes("select 'item ' || item_id as query_id, lower(coalesce(text, '')) as low from benchmark union all select 'conversation ' || conv_id, lower(coalesce(max_by(text, turn), '')) from conversations where role = 'user' group by conv_id")},
+      places as (select document_id, node_id, node_no, section_number, lower(coalesce(title, '') || ' ' || coalesce(summary, '')) as body from trees where node_id <> 'root'),
+      scored as (select query_id, document_id, node_id, node_no, case when list_contains(refs, section_number) then 10.0 else 0.0 end + 3.0 * len(list_filter(topics, lambda x: contains(body, x))) + len(list_filter(kw, lambda x: contains(body, x))) as score from places, u)
+      select query_id, document_id, node_id, score::double as score, rank from (select *, row_number() over (partition by query_id, document_id order by score desc, node_no) as rank from scored where score > 0) where rank <= 3""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        lines_nonblank, text_functions, page_lines, body_font_mode, heading_classify, page_trees, fixed_window_chunks, window_citations, bm25_topk, tfidf_cosine_topk, vector_topk, lsa_topk,
-        query_analysis, rerank_topk, bm25_metrics, search_comparison, quality_rollup,
+        lines_nonblank, text_functions, page_lines, body_font_mode, heading_classify, page_trees, fixed_window_chunks, window_citations, search_index, bm25_topk, tfidf_cosine_topk, vector_topk, lsa_topk,
+        corpus_fusion, page_tree_search, query_analysis, rerank_topk, bm25_metrics, search_comparison, quality_rollup,
     )
     return {f.__name__: f for f in found}

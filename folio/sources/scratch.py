@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -24,3 +25,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Parts that the rows of one key are dealt to at most.
+SPREAD = 64
+
+
+def by_key(df: DataFrame, key: str, spread: str | None = None) -> DataFrame:
+    """``df`` dealt by ``key`` and sorted by it in each partition, so that a reader of few keys skips most row groups.
+
+    With ``spread``, another column, the rows of a key that very many rows have go to several partitions.
+    """
+    salt = [F.pmod(F.xxhash64(spread), F.lit(SPREAD))] if spread else []
+    return df.repartition(F.col(key), *salt).sortWithinPartitions(key)

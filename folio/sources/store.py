@@ -1,31 +1,55 @@
-"""Saved indexes: one Parquet table each of documents, nodes and chunks, partitioned by document."""
+"""Saved indexes: Parquet tables of documents, nodes and chunks, in the order of document ids, and of the search index."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from folio.operators.dense import GramIndex
+from folio.operators.lexical import LexicalIndex
 from folio.plans.ingest import Index
+from folio.sources.scratch import by_key
 
 TABLES = ("documents", "nodes", "chunks")
+#: In the order of terms and grams.
+LEXICAL, GRAMS = ("postings", "weights"), ("grams", "vocabulary", "norms")
 
 
 def save_index(index: Index, path: str, mode: str = "overwrite") -> None:
+    """Rows sorted by document over few files: no folder per document, and one document's part is found by row groups' bounds."""
     for name in TABLES:
-        getattr(index, name).write.mode(mode).partitionBy("document_id").parquet(f"{path}/{name}")
+        by_key(getattr(index, name), "document_id").write.mode(mode).parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str, document_id: str | None = None) -> Index:
-    """The whole index, or one document's part, for which only its partitions are read."""
+    """The whole index, or one document's part, for which only row groups that may hold it are read."""
     def one(name: str):
-        # ids that look like numbers must stay text
-        df = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
-        df = df.withColumn("document_id", F.col("document_id").cast("string"))
+        # ids are text in the files themselves, so those that look like numbers stay as they are
+        df = spark.read.parquet(f"{path}/{name}")
         return df.filter(F.col("document_id") == document_id) if document_id is not None else df
     return Index(*map(one, TABLES))
 
 
+def save_search(path: str, lexical: LexicalIndex, grams: GramIndex, mode: str = "overwrite") -> None:
+    """The search index beside a saved index, as built; searches read the terms and grams of their questions."""
+    for name in LEXICAL:
+        getattr(lexical, name).write.mode(mode).parquet(f"{path}/lexical-{'document' if lexical.per_document else 'corpus'}/{name}")
+    for name in GRAMS:
+        getattr(grams, name).write.mode(mode).parquet(f"{path}/grams/{name}")
+
+
+def load_search(spark: SparkSession, path: str) -> tuple[LexicalIndex, GramIndex]:
+    per_document = exists(spark, f"{path}/lexical-document")
+    folder = f"{path}/lexical-{'document' if per_document else 'corpus'}"
+    lexical = LexicalIndex(*(spark.read.parquet(f"{folder}/{name}") for name in LEXICAL), per_document)
+    return lexical, GramIndex(*(spark.read.parquet(f"{path}/grams/{name}") for name in GRAMS))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def index_exists(spark: SparkSession, path: str) -> bool:
     """Whether a tree was saved at ``path``, on whatever file system that is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes")
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return exists(spark, f"{path}/nodes")

@@ -49,7 +49,7 @@ def round_trip(spark, path, rows, **more):
 
 
 def test_round_trip(spark, tmp_path):
-    got = round_trip(spark, str(tmp_path / "w"), PAGES, segment_bytes=1_000, chunk_bytes=77, records_per_file=3).collect()
+    got = round_trip(spark, str(tmp_path / "w"), PAGES, segment_bytes=1_000, chunk_bytes=77, file_bytes=6_100).collect()
     assert len(got) == len(PAGES) and all(r.intact for r in got)
     best = {}
     for i, _, html in PAGES:

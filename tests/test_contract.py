@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
 from folio.operators.context import build_context
-from folio.operators.generate import EXHAUSTED_ANSWER, SYSTEM_PROMPT, ExtractiveProvider, HttpModel, wait_seconds
+from folio.operators.dense import index_grams, search_grams
+from folio.operators.generate import EXHAUSTED_ANSWER, SYSTEM_PROMPT, ExtractiveProvider, HttpModel, ModelProvider, wait_seconds
+from folio.operators.lexical import index_terms, search_terms
 from folio.operators.metrics import mean_metrics, retrieval_metrics
 from folio.operators.rerank import FeatureReranker, ScorerReranker
+from folio.operators.tree import search_tree
 from folio.plans.answer import answer_queries
 from folio.plans.evaluate import compare_baselines, evaluate_answers, rollup_rows
-from folio.plans.ingest import build_index, build_windows
+from folio.plans.ingest import Index, build_index, build_windows
 from folio.plans.retrieve import retrieve
 from folio.sources import fixtures as fx
 from folio.sources.questions import read_questions
 from folio.sources.reports import CSV_COLUMNS, render_markdown, report_json, write_csv
-from folio.sources.store import index_exists, load_index, save_index
+from folio.sources.store import index_exists, load_index, load_search, save_index, save_search
 
 
 @pytest.fixture(scope="module")
@@ -127,10 +130,86 @@ def test_store_round_trip(spark, index, tmp_path):
     assert not index_exists(spark, path)
     save_index(index, path)
     assert index_exists(spark, path)
+    assert not [*(tmp_path / "index" / "chunks").glob("document_id=*")]  # no folder per document
     again = load_index(spark, path, fx.DOC)
     assert sorted(r.chunk_id for r in again.chunks.collect()) == sorted(r.chunk_id for r in index.chunks.collect())
 
 
+def test_ids_that_look_like_numbers(spark, tmp_path):
+    path, ids = str(tmp_path / "index"), ["007", "12345e67", "1", "1.0", "00000000"]
+    rows = spark.createDataFrame([(i, f"{i}-1") for i in ids], "document_id string, chunk_id string")
+    save_index(Index(rows, rows, rows), path)
+    assert sorted(r.document_id for r in load_index(spark, path).chunks.collect()) == sorted(ids)
+    for i in ids:
+        assert [r.chunk_id for r in load_index(spark, path, i).chunks.collect()] == [f"{i}-1"]
+
+
+def test_search_index_round_trip(spark, index, tmp_path):
+    path = str(tmp_path / "index")
+    queries = spark.createDataFrame([("q", "monthly fee of the lease"), ("none", "unheard")], "query_id string, text string")
+    for per_document in (True, False):
+        lexical, grams = index_terms(index.chunks, per_document=per_document), index_grams(index.chunks)
+        save_search(f"{path}-{per_document}", lexical, grams)
+        again, again_grams = load_search(spark, f"{path}-{per_document}")
+        assert again.per_document == per_document
+        assert sorted(search_terms(again, queries, 5).collect()) == sorted(search_terms(lexical, queries, 5).collect()) != []
+        assert sorted(search_grams(again_grams, queries, 5).collect()) == sorted(search_grams(grams, queries, 5).collect()) != []
+
+
+def test_questions_of_one_document(spark, index, found):
+    """A question that names a document is answered for that one; one without candidates still has its row."""
+    asked = spark.createDataFrame([("cause", "When can the lessor terminate for cause?", fx.DOC), ("fees", "What is the monthly fee of class A and B?", "another"), ("named", "What does Section 4.2 say?", None)], "query_id string, text string, document_id string")
+    rows = {(r.query_id, r.document_id): r for r in answer_queries(index, asked, candidates=found).collect()}
+    assert {*rows} == {("cause", fx.DOC), ("fees", "another"), ("named", fx.DOC)}
+    assert rows["fees", "another"].gated and rows["fees", "another"].n_candidates == 0 and rows["fees", "another"].answer.startswith("INSUFFICIENT EVIDENCE")
+
+
+def test_tree_search_finds_what_a_scan_finds(spark, index):
+    asked = [("a", ["lease", "fee", "zz"], ["payment"], ["4.2"]), ("b", ["e"], [], []), ("c", [], [], ["3"]), ("d", ["unheardof"], [], []), ("e", ["fee", "fee"], ["termination for cause"], [])]
+    queries = spark.createDataFrame(asked, "query_id string, keywords array<string>, candidate_topics array<string>, explicit_section_refs array<string>")
+    nodes = [r for r in index.nodes.collect() if r.node_id != "root"]
+    want = set()
+    for q, words, topics, refs in asked:
+        score = {}
+        for r in nodes:
+            body = f"{r.title} {r.summary or ''}".lower()
+            score[r.node_id] = 10.0 * (r.section_number in refs) + 3 * sum(t in body for t in topics) + sum(w in body for w in words)
+        order = sorted((r for r in nodes if score[r.node_id] > 0), key=lambda r: (-score[r.node_id], r.node_no))
+        want |= {(q, r.node_id, score[r.node_id], n) for n, r in enumerate(order[:4], 1)}
+    assert {(r.query_id, r.node_id, r.score, r["rank"]) for r in search_tree(index.nodes, queries, 4).collect()} == want
+    assert {(r.query_id, r.node_id, r.score, r["rank"]) for r in search_tree(index.nodes, queries.withColumn("document_id", F.lit(fx.DOC)), 4).collect()} == want
+
+
+def test_fallback_per_question(spark, index):
+    def failing():
+        """A model that fails on its second call."""
+        calls = []
+
+        def call(system, user, most):
+            calls.append(user)
+            if len(calls) > 1:
+                raise RuntimeError("quota")
+            return "INSUFFICIENT EVIDENCE: the model says so.", 3, 4
+
+        return call
+
+    questions = fx.contract_questions(spark)
+    rows = evaluate_answers(index, questions, provider=ModelProvider("live", failing, tasks=1)).collect()
+    by = [(r.answer_source, r.used_mock_fallback, "the model says so" in r.answer) for r in rows]
+    assert sum(live for *_, live in by) == 1 and all(not (fallback and live) for _, fallback, live in by) and sum(f for _, f, _ in by) >= 1
+    prompts = spark.range(8).select(F.col("id").cast("string").alias("system"), F.lit("u").alias("user"))
+    assert ModelProvider("live", failing, tasks=1, lenient=True).complete(prompts.repartition(4)).filter("answer is not null").count() == 1
+
+
+def test_title_and_reference_terms_of_the_reranker(spark, found):
+    """Title words add to a score, and chunks that only a reference leads to lose some."""
+    rows = found.filter("query_id = 'fees'").limit(1).withColumns({"query_text": F.lit("monthly fee"), "source_text": F.lit("nothing"), "fused_score": F.lit(0.0)})
+    score = lambda title, sources: FeatureReranker().rerank(rows.withColumns({"section_title": F.lit(title), "provenance": F.array(*map(F.lit, sources))}), 1).first()
+    plain, titled, led = score("none", ["lexical"]), score("Monthly fee", ["lexical"]), score("none", ["cross_reference"])
+    assert titled.rerank_score > plain.rerank_score > led.rerank_score and abs(plain.rerank_score - led.rerank_score - 0.15) < 1e-9
+    assert titled.rationale == "title shares words" and led.rationale == "reached by reference"
+
+
 def test_question_defaults(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"document_name": "d",\n "questions": [{"id": "1", "category": "c", "question": "q?"}]}')
     row = read_questions(spark, str(tmp_path / "q.json")).first()
