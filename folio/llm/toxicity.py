@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -120,7 +120,7 @@ def bag_of(text: str | None, span: int) -> Bag:
 
 
 def train(texts: Sequence[str | None], toxic: Sequence[int], shape: Shape = Shape()) -> ToxicityModel:
-    return train_bags([bag_of(t, shape.span) for t in texts], toxic, shape)
+    return train_bags((bag_of(t, shape.span) for t in texts), list(toxic), shape)
 
 
 def spread_out(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -128,18 +128,21 @@ def spread_out(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def train_bags(bags: Sequence[Bag], toxic: Sequence[int], shape: Shape = Shape()) -> ToxicityModel:
-    """Adagrad over documents in random order, each step through the span that scores highest now; the later epochs' logits are averaged.
+def train_bags(bags: Iterable[Bag], toxic: list[int], shape: Shape = Shape()) -> ToxicityModel:
+    """From ``bags``, read once and held as numbers; ``toxic`` may fill as they are read. Adagrad over documents in random order, each step through the span that scores highest now; the later epochs' logits are averaged.
 
     Without rows of both classes there is nothing to learn: the score is then 0 for all texts, or 1 if every row is toxic.
     """
+    rng = np.random.default_rng(shape.seed)
+    index: dict[str, int] = {}
+    words: list[np.ndarray] = []
+    docs: list[np.ndarray] = []
+    for held, spans in bags:
+        words.append(np.array([index.setdefault(w, len(index)) for w in held], np.int32))
+        docs.append(np.where(spans >= 0, words[-1][spans], -1) if len(held) else spans)
     y = np.asarray(toxic, np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(shape.buckets), -500.0 if not len(y) or y[0] == 0 else 500.0, shape)
-    rng = np.random.default_rng(shape.seed)
-    index: dict[str, int] = {}
-    words = [np.array([index.setdefault(w, len(index)) for w in held], np.int32) for held, _ in bags]
-    docs = [np.where(spans >= 0, w[spans], -1) if len(w) else spans for w, (_, spans) in zip(words, bags)]
     places = Memo(lambda g: bucket(g, shape), 1 << 17)
     buckets, counts = array("i"), array("i")
     for w in index:
@@ -147,7 +150,9 @@ def train_bags(bags: Sequence[Bag], toxic: Sequence[int], shape: Shape = Shape()
         counts.append(len(grams))
         buckets.extend(map(places.__getitem__, grams))
     places.clear()
+    index.clear()
     flat, counts = np.array(buckets, np.int32), np.array(counts, np.int64)
+    del buckets
     starts = np.concatenate([[0], np.cumsum(counts)])
     full = [k for k in range(len(docs)) if len(docs[k])]
     # a bucket that few documents have says more of those than of any word; it counts in a mean, but stays at zero
@@ -156,7 +161,8 @@ def train_bags(bags: Sequence[Bag], toxic: Sequence[int], shape: Shape = Shape()
         if len(w):
             spread[np.unique(flat[spread_out(starts[w], counts[w])])] += 1
     held = spread >= shape.least_docs
-    embeddings = rng.uniform(-0.5, 0.5, (shape.buckets, shape.dim)) / shape.dim * held[:, None]
+    embeddings = rng.uniform(-0.5 / shape.dim, 0.5 / shape.dim, (shape.buckets, shape.dim))
+    embeddings *= held[:, None]
     softmax = rng.normal(0, 1, (2, shape.dim))
     bias = np.zeros(2)
     seen_e, seen_w, seen_b = np.full(shape.buckets, 1e-2), np.full(2, 1e-2), np.full(2, 1e-2)
@@ -207,28 +213,13 @@ def train_bags(bags: Sequence[Bag], toxic: Sequence[int], shape: Shape = Shape()
     return ToxicityModel(folded / taken, shift / taken, shape)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, span: int) -> tuple[list[Bag], list[int]]:
-    """Bags and labels of at most so many labelled rows of each class, those whose ids hash lowest.
-
-    Words and spans are cut out where the texts are, so no text comes to the driver. Of several texts of an id the least counts.
-    """
+def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> DataFrame:
+    """(doc_id, toxic, text) of at most so many labelled rows of each class, those whose ids hash lowest; of several texts of an id the least."""
     ids = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [ids.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, most_toxic), (0, most_clean))]
     # both limits together bound what is broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                words, spans = bag_of(batch.column(2)[at].as_py(), span)
-                columns = [*(batch.column(k).slice(at, 1) for k in range(2)), pa.array([words], pa.list_(pa.string())), pa.array([spans.ravel()], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "words", "spans"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(cut, f"doc_id {kind}, toxic int, words array<string>, spans array<int>").toArrow().sort_by("doc_id")
-    bags = [(w.as_py(), np.array(s.values, np.int32).reshape(-1, span)) for w, s in zip(found.column("words"), found.column("spans"))]
-    return bags, found.column("toxic").to_pylist()
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1_500, most_clean: int = 3_000, shape: Shape = Shape()) -> ToxicityModel:
@@ -237,9 +228,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1_500, mo
     ``most_toxic`` and ``most_clean`` bound the training rows, of whatever length; scoring has no bound.
     A document with several labels counts as toxic if one of them says so. Repeated rows count once; rows without an id
     or a label, labels without a document and all other columns are ignored; without rows of both classes see train_bags.
+
+    Words and spans are cut out where the texts are, and one task trains on them; the driver gets the weights only.
     """
     small_batches(docs.sparkSession)
-    return train_bags(*labelled(docs, labels, most_toxic, most_clean, shape.span), shape)
+    rows = labelled(docs, labels, most_toxic, most_clean)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                words, spans = bag_of(batch.column(2)[at].as_py(), shape.span)
+                columns = [*(batch.column(k).slice(at, 1) for k in range(2)), pa.array([words], pa.list_(pa.string())), pa.array([spans.ravel()], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "words", "spans"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic: list[int] = []
+
+        def bags() -> Iterator[Bag]:
+            for batch in batches:
+                toxic.extend(batch.column(0).to_pylist())
+                for words, spans in zip(batch.column(1), batch.column(2)):
+                    yield words.as_py(), np.array(spans.values, np.int32).reshape(-1, shape.span)
+
+        model = train_bags(bags(), toxic, shape)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    bags = rows.mapInArrow(cut, f"doc_id {kind}, toxic int, words array<string>, spans array<int>").repartition(1).sortWithinPartitions("doc_id")
+    found = bags.select("toxic", "words", "spans").mapInArrow(fitted, "weights binary, bias double").collect()
+    return ToxicityModel(np.frombuffer(found[0].weights, np.float32), found[0].bias, shape) if found else train_bags([], [], shape)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "toxicity") -> DataFrame:
