@@ -90,17 +90,28 @@ def lines_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-#: Font sizes that markup stands for.
-MARKUP_SIZES = {"h1": 18.0, "h2": 15.0, "h3": 13.0, "p": 10.0}
+#: Font sizes that markup stands for; what is no heading has the size of a paragraph.
+MARKUP_SIZES = {"h1": 18.0, "h2": 15.0, "h3": 13.0, "h4": 11.0, "h5": 11.0, "h6": 11.0}
+BODY_SIZE = 10.0
+#: What is no text, what begins a line, and what ends one beside the next beginning.
+UNSEEN = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)[ \t\r\n\f]*>|<!--.*?-->"
+BEGINS = r"(?i)(<(?:h[1-6]|p|li|blockquote|pre|dt|dd|td|th|caption|figcaption)(?:[ \t\r\n\f][^>]*)?>)"
+ENDS = r"(?is)</(?:article|nav|footer|header|aside|section|main|body|html|table|ul|ol|dl|div)[ \t\r\n\f]*>.*"
+BOLD = r"(?i)^<p(?:[ \t\r\n\f][^>]*)?><(?:b|strong)(?:[ \t\r\n\f][^>]*)?>"
 
 
 def lines_of_markup(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Lines of simple markup, a heading or paragraph each: headings are larger, those that begin with ``<b>`` bold."""
-    found = pages.select(F.col(id_col).cast("string").alias("document_id"), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit("(?s)<(?:h1|h2|h3|p)>.*?(?=<(?:h1|h2|h3|p|/article)>|$)"), F.lit(0))).alias("pos", "raw"))
-    tag = F.regexp_extract("raw", "^<(\\w+)>", 1)
-    size = F.coalesce(*(F.when(tag == k, v) for k, v in MARKUP_SIZES.items()))
+    """Lines of markup, one for each heading, paragraph, list item, table cell, quote or caption: headings are larger,
+    paragraphs that begin with ``<b>`` or ``<strong>`` bold. Scripts, styles and remarks are no text."""
+    seen = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), "\x01", ""), UNSEEN, "")
+    cut = F.split(F.regexp_replace(seen, BEGINS, "\x01$1"), "\x01")
+    # the first part is what comes before any line
+    found = pages.select(F.col(id_col).cast("string").alias("document_id"), F.posexplode(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0)))).alias("pos", "part"))
+    found = found.withColumn("raw", F.regexp_replace("part", ENDS, ""))
+    tag = F.lower(F.regexp_extract("raw", r"^<(\w+)", 1))
+    size = F.coalesce(*(F.when(tag == k, v) for k, v in MARKUP_SIZES.items()), F.lit(BODY_SIZE))
     return found.select(
         "document_id", F.concat(F.lit("page "), "document_id").alias("document_name"), (F.col("pos") + 1).cast("long").alias("line_no"), F.lit(1).alias("page"),
-        F.col("pos").cast("double").alias("y0"), size.alias("font_size"), F.startswith("raw", F.lit("<p><b>")).alias("is_bold"),
+        F.col("pos").cast("double").alias("y0"), size.alias("font_size"), F.col("raw").rlike(BOLD).alias("is_bold"),
         F.trim(F.regexp_replace("raw", "<[^>]*>", "")).alias("text"),
     )

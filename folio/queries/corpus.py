@@ -13,7 +13,7 @@ from folio.operators.chunking import fixed_windows
 from folio.operators.dense import GramIndex, fit_lsa, index_grams, search_grams, vector_search
 from folio.operators.fusion import SOURCES, fuse, ranked
 from folio.operators.lexical import LexicalIndex, index_terms, search_terms
-from folio.operators.lines import body_font_sizes, lines_of_markup, lines_of_texts, nonblank
+from folio.operators.lines import BEGINS, BOLD, ENDS, UNSEEN, body_font_sizes, lines_of_markup, lines_of_texts, nonblank
 from folio.operators.metrics import mean_metrics, retrieval_metrics
 from folio.operators.query import COMPARISON, INTENTS, TEMPORAL, analyze_queries
 from folio.operators.rerank import FeatureReranker
@@ -243,11 +243,11 @@ scored as (
   from asked a join terms t using (term) join weights w using (term) join sizes s using (chunk_id), corpus c group by all),
 hits as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, document_id, win) as rank from scored where score > 0) where rank <= 10)
 """
-LINES_SQL = """
-raw as (select page_id::varchar as document_id, unnest(l) as raw, generate_subscripts(l, 1) as line_no
-  from (select page_id, list_filter(string_split_regex(regexp_replace(substr(html, 1, case when instr(html, '</article>') > 0 then instr(html, '</article>') - 1 else length(html) end), '<(h1|h2|h3|p)>', chr(1) || '<\\1>', 'g'), chr(1)), lambda x: regexp_matches(x, '^<(h1|h2|h3|p)>')) as l from pages)),
-lines as (select document_id, line_no, case regexp_extract(raw, '^<(\\w+)>', 1) when 'h1' then 18.0 when 'h2' then 15.0 when 'h3' then 13.0 else 10.0 end::double as font_size,
-  starts_with(raw, '<p><b>') as is_bold, trim(regexp_replace(raw, '<[^>]*>', '', 'g')) as text from raw)
+LINES_SQL = rf"""
+cut as (select page_id, string_split(regexp_replace(regexp_replace(replace(coalesce(html, ''), chr(1), ''), '{UNSEEN}', '', 'g'), '{BEGINS}', chr(1) || '\1', 'g'), chr(1))[2:] as l from pages),
+raw as (select page_id::varchar as document_id, regexp_replace(unnest(l), '{ENDS}', '') as raw, generate_subscripts(l, 1) as line_no from cut),
+lines as (select document_id, line_no, case lower(regexp_extract(raw, '^<(\w+)', 1)) when 'h1' then 18.0 when 'h2' then 15.0 when 'h3' then 13.0 when 'h4' then 11.0 when 'h5' then 11.0 when 'h6' then 11.0 else 10.0 end::double as font_size,
+  regexp_matches(raw, '{BOLD}') as is_bold, trim(regexp_replace(raw, '<[^>]*>', '', 'g')) as text from raw)
 """
 FONT_SQL = """
 sizes as (select document_id, font_size, count(*) as n, min(line_no) as seen from lines where text <> '' group by all),
