@@ -1,7 +1,7 @@
 """URL filter: allow and block rules first, then a naive Bayes verdict over segmented host and path words.
 
-Rules are matched by Spark expressions. A URL that no rule covers is cut into words: runs of ASCII letters of its
-host and path, each split by a unigram Viterbi search, so ``freebets`` gives ``free bets``. A multinomial naive Bayes
+Rules are matched by Spark expressions. A URL that no rule covers is cut into words: runs of letters of its
+host and path, percent escapes read, each split by a unigram Viterbi search, so ``freebets`` gives ``free bets``. A multinomial naive Bayes
 model over those words then says whether the URL looks like one to block. Word counts come from a general list of web
 text, the naive Bayes from labelled names of eleven kinds of sites to block and nine to allow.
 """
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,8 @@ ALLOWED = names(ALLOWED_KINDS)
 NEUTRAL = frozenset("www m com org net example html htm php index page en fr de es http https".split())
 
 
+#: A run of letters of any script.
+RUN = re.compile(r"[^\W\d_]+")
 #: What one use of a word in a labelled name, or of a neutral word, counts beside the general list: as a word of middle rank there.
 NAME_COUNT = 200
 #: What an unknown run costs for each letter, beside the cost of a word never seen.
@@ -96,7 +99,7 @@ class HostModel:
         return tuple(reversed(parts))
 
     def words(self, host: str, path: str) -> list[str]:
-        return [w for run in re.findall("[a-z]+", f"{host} {path}".lower()) for w in self.segmented(run)]
+        return [w for run in RUN.findall(unquote(f"{host} {path}").lower()) for w in self.segmented(run)]
 
     def log_odds(self, host: str, path: str) -> float:
         """Over 0: likelier a URL to block. Words that training never saw count for neither side."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pytest
 
-from folio.llm.url_filter import ALLOWED, BLOCKED, HostModel, url_verdicts
+from folio.llm.url_filter import ALLOWED, BLOCKED, NEUTRAL, HostModel, url_verdicts
 
 BAD = (
     "ads-tracker-pixel.example.com", "m.ads-track.example.com", "adstrackerpixel.net", "royalbingohall.net", "megaroulettebets.com", "malware-exploit-kit.net", "phishingloginverify.com", "pokerjackpotslots.io",
@@ -28,3 +31,30 @@ def test_whole_words_and_unknown_runs_are_not_cut(name):
 def test_a_run_costs_as_one_word():
     m = HostModel()
     assert m.segment("zqxvcasino") == ("zqxv", "casino") and m.segment("casinozqxv") == ("casino", "zqxv") and m.run_price(5) < m.run_price(4) < m.unknown
+
+
+def test_names_held_out_of_training():
+    """Each fifth of the labelled names, written without gaps, by a model of the other four fifths."""
+    caught = allowed = bad = good = 0
+    for k in range(5):
+        model = HostModel([n for i, n in enumerate(BLOCKED) if i % 5 != k], [n for i, n in enumerate(ALLOWED) if i % 5 != k])
+        for names, block in ((BLOCKED[k::5], True), (ALLOWED[k::5], False)):
+            for name in names:
+                verdict = model.log_odds(name.replace(" ", "") + ".net", "/") > 0
+                bad, caught = bad + block, caught + (block and verdict)
+                good, allowed = good + (not block), allowed + (not block and not verdict)
+    print(f"held out: {caught} of {bad} blocked, {allowed} of {good} allowed")
+    assert caught / bad > 0.55 and allowed / good > 0.85  # 183 of 301 and 338 of 378
+
+
+def test_log_odds_are_those_of_naive_bayes():
+    m = HostModel(["free casino", "casino bets", "free pills"], ["free library", "city school"], alpha=0.5)
+    bad, good = Counter("free casino casino bets free pills".split()), Counter("free library city school".split())
+    words = {*bad, *good}
+    for host, path in (("freecasino.net", "/"), ("city-school.org", "/free"), ("caf%C3%A9casino.net", "/x"), ("школа.net", "/"), ("", "")):
+        want = min(0.0, math.log(3 / 2))
+        for w in m.words(host, path):
+            if w in words and w not in NEUTRAL:
+                want += math.log((bad[w] + 0.5) / (6 + 0.5 * len(words))) - math.log((good[w] + 0.5) / (4 + 0.5 * len(words)))
+        assert abs(m.log_odds(host, path) - want) < 1e-12
+    assert m.words("caf%C3%A9casino.net", "/x")[:2] == ["café", "casino"] and m.words("школа.net", "/")[0] == "школа"
