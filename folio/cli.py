@@ -23,11 +23,11 @@ from folio.operators.generate import describe_provider, get_provider
 from folio.operators.lines import assemble_lines, numbered_lines, outside_tables
 from folio.plans.answer import answer_queries
 from folio.plans.evaluate import compare_baselines, evaluate_answers, rollup_rows
-from folio.plans.ingest import build_index, build_windows
+from folio.plans.ingest import build_index, build_search, build_windows
 from folio.sources.pdf import read_pdfs
 from folio.sources.questions import read_questions
 from folio.sources.reports import print_tables, render_markdown, report_json, write_csv, write_json
-from folio.sources.store import index_exists, load_index, save_index
+from folio.sources.store import index_exists, load_index, load_search, save_index, save_search
 
 
 def slug(name: str) -> str:
@@ -49,6 +49,7 @@ def index_command(spark: SparkSession, args: argparse.Namespace) -> None:
     lines, tables = read_lines(spark, args.source, name)
     index = build_index(lines, tables, EngineConfig.from_session(spark))
     save_index(index, out)
+    save_search(out, build_search(index, EngineConfig.from_session(spark)))
     print(f"{index.nodes.count()} nodes, {index.chunks.count()} chunks -> {out}")
 
 
@@ -56,6 +57,7 @@ def ask_command(spark: SparkSession, args: argparse.Namespace) -> None:
     if not index_exists(spark, args.index):
         sys.exit(f"no index at {args.index}")
     config, index = EngineConfig.from_session(spark), load_index(spark, args.index)
+    search = load_search(spark, args.index)
     print(describe_provider(get_provider()))
     number = 0
     for line in sys.stdin:
@@ -65,7 +67,7 @@ def ask_command(spark: SparkSession, args: argparse.Namespace) -> None:
         if not question:
             continue
         number += 1
-        row = answer_queries(index, spark.createDataFrame([(f"q{number}", question)], "query_id string, text string"), config).orderBy(F.desc("top_rerank_score")).first()
+        row = answer_queries(index, spark.createDataFrame([(f"q{number}", question)], "query_id string, text string"), config, search=search).orderBy(F.desc("top_rerank_score")).first()
         print(row.answer)
         if args.verbose:
             print(*(f"  {s.stage}: {s.attrs}" for s in row.trace), sep="\n")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
 from folio.operators.chunking import chunk_documents, fixed_windows
+from folio.operators.dense import GramIndex, Lsa, fit_lsa, index_grams
+from folio.operators.lexical import LexicalIndex, index_terms
 from folio.operators.lines import body_font_sizes, strip_running_lines
 from folio.operators.structure import detect_structure
 from folio.operators.tree import build_nodes, with_children, with_page_ranges, with_summaries
@@ -24,6 +26,20 @@ class Index:
     chunks: DataFrame
 
 
+@dataclass(frozen=True)
+class SearchIndex:
+    """What searches read: each document's terms, and the grams and vectors of all chunks."""
+
+    lexical: LexicalIndex
+    grams: GramIndex
+    lsa: Lsa
+
+
+def build_search(index: Index, config: EngineConfig = EngineConfig()) -> SearchIndex:
+    grams = index_grams(index.chunks, config)
+    return SearchIndex(index_terms(index.chunks, config), grams, fit_lsa(index.chunks, config, index=grams))
+
+
 def documents_of(lines: DataFrame) -> DataFrame:
     return lines.groupBy("document_id").agg(F.first("document_name").alias("document_name"), F.max("page").alias("total_pages"))
 

@@ -1,18 +1,20 @@
-"""Saved indexes: Parquet tables of documents, nodes and chunks, in the order of document ids, and of the search index."""
+"""Saved indexes: Parquet tables of documents, nodes and chunks, in the order of document ids, and of what searches read."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators.dense import GramIndex
+from folio.operators.dense import GramIndex, Lsa
 from folio.operators.lexical import LexicalIndex
-from folio.plans.ingest import Index
+from folio.plans.ingest import Index, SearchIndex
 from folio.sources.scratch import by_key
 
 TABLES = ("documents", "nodes", "chunks")
 #: In the order of terms and grams.
-LEXICAL, GRAMS = ("postings", "weights"), ("grams", "vocabulary", "norms")
+LEXICAL, GRAMS, VECTORS = ("postings", "weights"), ("grams", "vocabulary", "norms"), ("inverted", "chunk_vectors")
+FACTORS = "at int, factor binary, dims int"
 
 
 def save_index(index: Index, path: str, mode: str = "overwrite") -> None:
@@ -30,19 +32,31 @@ def load_index(spark: SparkSession, path: str, document_id: str | None = None) -
     return Index(*map(one, TABLES))
 
 
-def save_search(path: str, lexical: LexicalIndex, grams: GramIndex, mode: str = "overwrite") -> None:
-    """The search index beside a saved index, as built; searches read the terms and grams of their questions."""
+def save_search(path: str, search: SearchIndex, mode: str = "overwrite") -> None:
+    """The search index beside a saved index, as built: postings, weights, grams, norms, vocabulary, vectors and the projection."""
+    spark = search.grams.grams.sparkSession
+    scope = "document" if search.lexical.per_document else "corpus"
     for name in LEXICAL:
-        getattr(lexical, name).write.mode(mode).parquet(f"{path}/lexical-{'document' if lexical.per_document else 'corpus'}/{name}")
+        getattr(search.lexical, name).write.mode(mode).parquet(f"{path}/lexical-{scope}/{name}")
     for name in GRAMS:
-        getattr(grams, name).write.mode(mode).parquet(f"{path}/grams/{name}")
+        getattr(search.grams, name).write.mode(mode).parquet(f"{path}/grams/{name}")
+    for name in VECTORS:
+        getattr(search.lsa, name).write.mode(mode).parquet(f"{path}/vectors/{name}")
+    rows = [(k, bytearray(v.tobytes()), search.lsa.dims) for k, v in enumerate(search.lsa.factors.value)]
+    spark.createDataFrame(rows, FACTORS).write.mode(mode).parquet(f"{path}/vectors/factors")
 
 
-def load_search(spark: SparkSession, path: str) -> tuple[LexicalIndex, GramIndex]:
+def load_search(spark: SparkSession, path: str) -> SearchIndex:
+    """The search index as saved; the factors, some hundred numbers a chunk, go to every executor as after the fit."""
     per_document = exists(spark, f"{path}/lexical-document")
     folder = f"{path}/lexical-{'document' if per_document else 'corpus'}"
     lexical = LexicalIndex(*(spark.read.parquet(f"{folder}/{name}") for name in LEXICAL), per_document)
-    return lexical, GramIndex(*(spark.read.parquet(f"{path}/grams/{name}") for name in GRAMS))
+    grams = GramIndex(*(spark.read.parquet(f"{path}/grams/{name}") for name in GRAMS))
+    inverted, vectors = (spark.read.parquet(f"{path}/vectors/{name}") for name in VECTORS)
+    rows = spark.read.schema(FACTORS).parquet(f"{path}/vectors/factors").orderBy("at").collect()
+    dims = rows[0].dims if rows else 2
+    factors = np.frombuffer(b"".join(bytes(r.factor) for r in rows), np.float32).reshape(-1, dims)
+    return SearchIndex(lexical, grams, Lsa(inverted, spark.sparkContext.broadcast(factors), vectors, dims))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

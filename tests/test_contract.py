@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
 from folio.operators.context import build_context
-from folio.operators.dense import index_grams, search_grams
+from folio.operators.dense import search_grams
 from folio.operators.generate import EXHAUSTED_ANSWER, SYSTEM_PROMPT, ExtractiveProvider, HttpModel, ModelProvider, wait_seconds
 from folio.operators.lexical import index_terms, search_terms
 from folio.operators.metrics import mean_metrics, retrieval_metrics
@@ -15,8 +15,8 @@ from folio.operators.rerank import FeatureReranker, ScorerReranker
 from folio.operators.tree import search_tree
 from folio.plans.answer import answer_queries
 from folio.plans.evaluate import compare_baselines, evaluate_answers, rollup_rows
-from folio.plans.ingest import Index, build_index, build_windows
-from folio.plans.retrieve import retrieve
+from folio.plans.ingest import Index, SearchIndex, build_index, build_search, build_windows
+from folio.plans.retrieve import dense_hits, retrieve
 from folio.sources import fixtures as fx
 from folio.sources.questions import read_questions
 from folio.sources.reports import CSV_COLUMNS, render_markdown, report_json, write_csv
@@ -147,13 +147,16 @@ def test_ids_that_look_like_numbers(spark, tmp_path):
 def test_search_index_round_trip(spark, index, tmp_path):
     path = str(tmp_path / "index")
     queries = spark.createDataFrame([("q", "monthly fee of the lease"), ("none", "unheard")], "query_id string, text string")
-    for per_document in (True, False):
-        lexical, grams = index_terms(index.chunks, per_document=per_document), index_grams(index.chunks)
-        save_search(f"{path}-{per_document}", lexical, grams)
-        again, again_grams = load_search(spark, f"{path}-{per_document}")
-        assert again.per_document == per_document
-        assert sorted(search_terms(again, queries, 5).collect()) == sorted(search_terms(lexical, queries, 5).collect()) != []
-        assert sorted(search_grams(again_grams, queries, 5).collect()) == sorted(search_grams(grams, queries, 5).collect()) != []
+    search = build_search(index)
+    save_search(path, search)
+    again = load_search(spark, path)
+    assert sorted(search_terms(again.lexical, queries, 5).collect()) == sorted(search_terms(search.lexical, queries, 5).collect()) != []
+    assert sorted(search_grams(again.grams, queries, 5).collect()) == sorted(search_grams(search.grams, queries, 5).collect()) != []
+    assert sorted(dense_hits(index.chunks, queries, 5, model=again.lsa).collect()) == sorted(dense_hits(index.chunks, queries, 5, model=search.lsa).collect()) != []
+    whole = SearchIndex(index_terms(index.chunks, per_document=False), search.grams, search.lsa)
+    save_search(f"{path}-whole", whole)
+    assert not load_search(spark, f"{path}-whole").lexical.per_document
+    assert sorted(r.chunk_id for r in retrieve(index, queries, search=again).collect()) == sorted(r.chunk_id for r in retrieve(index, queries).collect())
 
 
 def test_questions_of_one_document(spark, index, found):
