@@ -105,7 +105,11 @@ def thresholds(stats: DataFrame, labels: DataFrame, r: Risk = Risk()) -> DataFra
 
 
 def judge_quality(stats: DataFrame, labels: DataFrame, r: Risk = Risk()) -> DataFrame:
-    """``stats`` (doc_id, stratum and base statistics) with base_failed, kept and the rules that a document breaks."""
+    """``stats`` (doc_id, stratum and base statistics) with base_failed, kept and the rules that a document breaks.
+
+    A document without words fails the base rules; ties with a cutoff do not break a rule; repeated rows are judged alike;
+    a null stratum is one of its own; an empty table stays empty. ``stats`` is read twice, so store it if it is dear.
+    """
     cuts = thresholds(stats, labels, r)
     joined = stats.join(cuts, F.col("stratum").eqNullSafe(F.col("of_stratum")), "left")
     broken = F.array_compact(F.array(*(F.when(value(name) > F.col(f"{name}_cut"), F.lit(name)) for name in GRIDS)))

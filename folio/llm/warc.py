@@ -129,7 +129,8 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 65_536, chu
     No record's block is over ``segment_bytes``, so a number of records bounds a file, and a reader may hold one whole.
 
     A null html is an empty payload. Of rows with equal payloads all those with the largest page_id are stored, so rows
-    repeated whole are too, each with record ids of its own; a null page_id counts below every other. An empty table writes no record.
+    repeated whole are too, each with record ids of its own; a null page_id counts below every other. An empty table writes no record,
+    a page of any length is cut into segments, and columns beside page_id, url and html are ignored.
     """
 
     small_batches(pages.sparkSession)
