@@ -9,9 +9,9 @@ length is tried once at most, so the work is linear in the piece, and the ids ar
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -45,6 +45,10 @@ class Table(dict):
         return value
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class BpeVocabulary:
     """Tokens, merges and tables of a byte-level vocabulary file in the tokenizers library's JSON form."""
 
@@ -87,8 +91,9 @@ class BpeVocabulary:
                 self.shorter[i] = next((self.id_of[b[:k]] for k in range(len(b) - 1, 0, -1) if self.id_of.get(b[:k]) in self.born), -1)
         self.size_of = list(map(len, self.bytes_of))
         #: The pair-compatibility table, filled as pairs are met.
-        self.pairs = Table(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), 1 << 18)
-        self.pieces = Table(lambda piece: tuple(self.encode_bytes(piece.encode())), 1 << 18)
+        self.pairs = Table(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), 1 << 17)
+        #: The ids of pieces, packed.
+        self.pieces = Table(lambda piece: packed(self.encode_bytes(piece.encode())), 1 << 17)
 
     @cached_property
     def offsets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -162,19 +167,18 @@ class BpeVocabulary:
     def encode(self, text: str) -> np.ndarray:
         """Ids of ``text`` as little-endian unsigned 32-bit integers; an added token's own text is that token."""
         parts = self.fence.split(text) if self.fence else [text]
-        out: list[int] = []
+        out: list[bytes] = []
         for part in parts:
             if part in self.added:
-                out.append(self.added[part])
+                out.append(packed([self.added[part]]))
             elif part:
                 cut = self.cutter.findall(part)
                 if len(max(cut, key=len)) > 64:
                     # a long piece would hold much of the table and seldom comes again
-                    for piece in cut:
-                        out += self.pieces[piece] if len(piece) <= 64 else self.encode_bytes(piece.encode())
+                    out += (self.pieces[piece] if len(piece) <= 64 else packed(self.encode_bytes(piece.encode())) for piece in cut)
                 else:
-                    out += chain.from_iterable(map(self.pieces.__getitem__, cut))
-        return np.array(out, "<u4")
+                    out += map(self.pieces.__getitem__, cut)
+        return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray, most: int = 1 << 16) -> bytes:
         """Bytes of ``ids``, at most ``most`` at once, so that a long text needs no more than its own bytes beside."""

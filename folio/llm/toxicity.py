@@ -82,14 +82,14 @@ class ToxicityModel:
 
     def __init__(self, weights: np.ndarray, bias: float, shape: Shape) -> None:
         self.weights, self.bias, self.shape = weights.astype(np.float32), float(bias), shape
-        gram = Memo(lambda g: float(self.weights[bucket(g, shape)]), 1 << 17)
+        gram = Memo(lambda g: float(self.weights[bucket(g, shape)]), 1 << 16)
 
         def word(w: str) -> float:
             grams = grams_of(w, shape)
             return sum(map(gram.__getitem__, grams)) / len(grams)
 
         #: Mean of a word's bucket weights.
-        self.words = Memo(word, 1 << 18)
+        self.words = Memo(word, 1 << 17)
 
     def logit(self, text: str | None) -> float:
         words = WORD.findall((text or "").lower())
@@ -143,7 +143,7 @@ def train_bags(bags: Iterable[Bag], toxic: list[int], shape: Shape = Shape()) ->
     y = np.asarray(toxic, np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(shape.buckets), -500.0 if not len(y) or y[0] == 0 else 500.0, shape)
-    places = Memo(lambda g: bucket(g, shape), 1 << 17)
+    places = Memo(lambda g: bucket(g, shape), 1 << 16)
     buckets, counts = array("i"), array("i")
     for w in index:
         grams = grams_of(w, shape)
