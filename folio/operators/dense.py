@@ -132,12 +132,12 @@ def blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, n
         yield np.array(names), np.stack(rows)
 
 
-def summed(lists: str) -> Column:
-    """Sums of lists of vectors, which are held as the bytes of doubles; null for a missing list."""
+def summed(lists: str, kind: type = np.float64) -> Column:
+    """Sums, as doubles, of lists of vectors, which are held as the bytes of ``kind``; null for a missing list."""
 
     @F.pandas_udf("binary")
     def total(parts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else np.sum([np.frombuffer(v) for v in x], axis=0).tobytes() for x in parts])
+        return pd.Series([None if x is None else np.sum([np.frombuffer(v, kind) for v in x], axis=0, dtype=np.float64).tobytes() for x in parts])
 
     return total(F.col(lists))
 
@@ -232,55 +232,59 @@ def gram_sums(at: np.ndarray, w: np.ndarray, sizes: np.ndarray, y: np.ndarray) -
 
 
 def times_own_transpose(inverted: DataFrame, y: np.ndarray, block: int = 4_096) -> np.ndarray:
-    """A A' y, where ``inverted`` has A's columns: a gram's chunks and weights. One narrow pass; each task's sums are added by blocks of chunks."""
+    """A A' y, where ``inverted`` has A's columns: a gram's chunks and weights. One narrow pass in single precision; each task's sums are added by blocks of chunks."""
     sent = inverted.sparkSession.sparkContext.broadcast(y.astype(np.float32))
     n, width = y.shape
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((n, width))
+        out = np.zeros((n, width), np.float32)
         for batch in batches:
             for _, at, w, sizes in posting_slices(batch):
+                w = w.astype(np.float32)
                 add_rows(out, at, w[:, None] * np.repeat(gram_sums(at, w, sizes, sent.value), sizes, axis=0))
         for k in range(0, n, block):
             yield pd.DataFrame({"block": [k], "part": [out[k : k + block].tobytes()]})
 
     parts = inverted.select("at", "w").mapInPandas(product, "block long, part binary").groupBy("block").agg(F.collect_list("part").alias("parts"))
     out = np.zeros((n, width))
-    for r in parts.select("block", summed("parts").alias("sum")).toLocalIterator():
+    for r in parts.select("block", summed("parts", np.float32).alias("sum")).toLocalIterator():
         out[r.block : r.block + block] = np.frombuffer(r["sum"]).reshape(-1, width)
     sent.unpersist()
     return out
 
 
-def leading(times: Callable[[np.ndarray], np.ndarray], block: np.ndarray, dims: int, tolerance: float, most_blocks: int = 10) -> tuple[np.ndarray, np.ndarray]:
+def leading(times: Callable[[np.ndarray], np.ndarray], block: np.ndarray, dims: int, tolerance: float, most_blocks: int = 10, least_blocks: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Leading eigenvectors and eigenvalues of a symmetric matrix that ``times`` multiplies with; ``block``: the random start.
 
-    When the basis has ``most_blocks`` blocks it is made anew from the best directions found, and the iteration goes on.
+    Residuals are looked at from ``least_blocks`` blocks on. When the basis has ``most_blocks`` it is made anew from the
+    best directions found, and the iteration goes on.
     """
     n, width = block.shape
-    basis, images = np.zeros((n, 0)), np.zeros((n, 0))
+    basis, images, small = np.zeros((n, 0)), np.zeros((n, 0)), np.zeros((0, 0))
     while True:
         for _ in range(2):
             block = block - basis @ (basis.T @ block)
             block = np.linalg.qr(block)[0] if n else block
         block = block[:, : n - basis.shape[1]]
         image = times(block)
+        beside = basis.T @ image
+        small = np.block([[small, beside], [beside.T, block.T @ image]])
         basis, images = np.hstack([basis, block]), np.hstack([images, image])
-        small = basis.T @ images
-        values, vectors = np.linalg.eigh((small + small.T) / 2)
-        order = np.argsort(values)[::-1]
-        top = order[:dims]
-        left, found = basis @ vectors[:, top], np.maximum(values[top], 0)
-        residual = np.linalg.norm(images @ vectors[:, top] - left * found, axis=0)
-        if basis.shape[1] >= n or (residual <= tolerance * found + 1e-12).all():
-            return left, found
+        if basis.shape[1] >= min(n, least_blocks * width, most_blocks * width):
+            values, vectors = np.linalg.eigh((small + small.T) / 2)
+            order = np.argsort(values)[::-1]
+            top = order[:dims]
+            left, found = basis @ vectors[:, top], np.maximum(values[top], 0)
+            residual = np.linalg.norm(images @ vectors[:, top] - left * found, axis=0)
+            if basis.shape[1] >= n or (residual <= tolerance * found + 1e-12).all():
+                return left, found
         block = image - basis @ (basis.T @ image)
         if basis.shape[1] >= most_blocks * width:
-            best = vectors[:, order[: 3 * width]]
-            basis, images = basis @ best, images @ best
+            kept = order[: 3 * width]
+            basis, images, small = basis @ vectors[:, kept], images @ vectors[:, kept], np.diag(values[kept])
 
 
-def fit_lsa(chunks: DataFrame, config: EngineConfig = EngineConfig(), tolerance: float = 1e-3, index: GramIndex | None = None) -> Lsa:
+def fit_lsa(chunks: DataFrame, config: EngineConfig = EngineConfig(), tolerance: float = 1e-2, index: GramIndex | None = None) -> Lsa:
     """Truncated SVD of the TF-IDF matrix of all chunks, by randomized block Krylov iteration.
 
     The matrix is held by grams and multiplied in passes over its partitions, until no singular direction's residual is
