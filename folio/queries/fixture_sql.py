@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folio.functions.text import STOP_EXTRACT, STOP_GROUND, STOP_QUERY
+from folio.operators.generate import NOTHING_FOUND
 from folio.operators.query import INTENTS
 from folio.queries.corpus import BLOCKS_SQL, FONT_SQL, TOKENS
 from folio.queries.fixture_queries import values
@@ -155,7 +156,7 @@ ORACLES: dict[str, str] = {
     "groundedness": f"""with {GROUND} select "case", refused or (len(bad) = 0 and len(weak) = 0 and len(strange) = 0) as passed, refused as is_insufficient_evidence,
       case when refused then '' else array_to_string(weak, ' | ') end as unsupported_sentences, case when refused then '' else array_to_string(bad, ' | ') end as bad_citations, case when refused then '' else array_to_string(strange, ' | ') end as unsupported_numbers,
       case when refused or len(full_c) = 0 then 1 else 0 end as n_notes from c3""",
-    "mock_answers": f"with {EXTRACT} select query_id, case when n > 0 then x.s || ' ' || x.c else 'INSUFFICIENT EVIDENCE: The provided context does not contain information that answers this question.' end as answer from b",
+    "mock_answers": f"with {EXTRACT} select query_id, case when n > 0 then x.s || ' ' || x.c else '{NOTHING_FOUND}' end as answer from b",
     "rag_rollup": f"""with {values("r", "category, cp, cr, rel, faith, corr, handled, answerable, source, passed", fx.ROLLUP_ROWS)}
       select category, round(avg(cp), 6) as context_precision, round(avg(cr), 6) as context_recall, round(avg(rel), 6) as answer_relevance, round(avg(faith), 6) as faithfulness, round(avg(corr), 6) as answer_correctness,
         round(avg(handled::int), 6) as answerability_accuracy, count(*) filter (answerable and source <> 'answered') as wrongly_refused, count(*) filter (answerable and source = 'gate_refusal') as wrongly_refused_by_gate,
