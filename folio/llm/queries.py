@@ -1,4 +1,4 @@
-"""The registered queries of this package: op1 to op10, each over its whole table with production parameters."""
+"""The registered queries of this package: op1 to op12, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from folio.llm.bpe import code_documents
 from folio.llm.common import scratch, table, written
 from folio.llm.decontaminate import find_contamination
+from folio.llm.hard_negatives import integer_vectors, mine_negatives
 from folio.llm.html_extract import extract_pages
 from folio.llm.license_scan import known_digests, scan_licenses
 from folio.llm.quality_model import fit_quality, score_quality
 from folio.llm.quality_rules import document_statistics, judge_quality
 from folio.llm.set_join import jaccard_components
+from folio.llm.token_cache import TokenCounter, count_tokens
 from folio.llm.toxicity import fit_toxicity, score_toxicity
 from folio.llm.url_filter import url_verdicts
 from folio.llm.warc import read_records, reassembled, write_archives
@@ -82,5 +84,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), known_digests(spark))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = written(integer_vectors(rows.withColumn("label", label)), scratch(spark, "vectors"))
+    return mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = count_tokens(docs, TokenCounter(vocabulary_path()), scratch(spark, "token_cache"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_quality_model, op4_quality_rules, op5_toxicity, op6_decontaminate, op7_set_join, op8_url_filter, op9_html_text, op10_license_scan)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_quality_model, op4_quality_rules, op5_toxicity, op6_decontaminate, op7_set_join, op8_url_filter, op9_html_text, op10_license_scan, op11_hard_negatives, op12_token_counts)}
