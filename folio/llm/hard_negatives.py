@@ -54,7 +54,8 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", label_col: str = "lab
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0))
     # NaN compares as the largest of all numbers, so it fails as infinity does
     rows = rows.filter(F.forall("v", lambda x: F.coalesce(fine(x), F.lit(False))))
-    return rows.select("vec_id", "label", F.transform("v", lambda x: F.floor(x.cast("double") * SCALE).cast("int")).alias("q"))
+    # guarded, since a filter on q may be worked out before those above
+    return rows.select("vec_id", "label", F.transform("v", lambda x: F.when(fine(x), F.floor(x.cast("double") * SCALE)).cast("int")).alias("q"))
 
 
 @dataclass(frozen=True)
