@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from folio.llm.common import removed, scratch, small_batches, unused, written
 
 #: The cache: tokenizer digest (a folder each), content digest, number of tokens.
+CACHE_COLUMNS = ("content", "n_tokens", "tokenizer")
 CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
 #: Parts that the rows of one content are dealt to when counts go back to rows.
 SALTS = 64
-#: Misses up to which their keys go to every task (some 50 bytes each); beyond, they meet the texts in a shuffle.
-MOST_SENT = 200_000
+#: Misses up to which their keys go to every task, a megabyte or so; beyond, they meet the texts in a shuffle.
+MOST_SENT = 10_000
 #: Counts that a task remembers.
 MOST_RECENT = 10_000
 
@@ -169,7 +170,7 @@ def count_tokens(docs: DataFrame, counter: TokenCounter, cache_path: str, id_col
     if n_misses:
         new = encoded(own, misses, n_misses, counter, own_id, own_text).select("content", "n_tokens", F.lit(tokenizer).alias("tokenizer"))
         # a row that is repeated whole was chosen with its repeats
-        new.dropDuplicates(["content"]).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+        new.groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).select(*CACHE_COLUMNS).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     removed(spark, f"{folder}/misses")
     # counts reach the salted groups first (64 rows of a content at most), then the rows, by content and salt
     groups = keys.select("_content", "_salt").distinct()
