@@ -19,6 +19,7 @@ from folio.operators.query import COMPARISON, INTENTS, TEMPORAL, analyze_queries
 from folio.operators.rerank import FeatureReranker
 from folio.operators.structure import detect_structure
 from folio.operators.tree import build_nodes, search_tree, with_children, with_page_ranges, with_summaries
+from folio.plans.corpus import corpus_candidates
 from folio.sources.scratch import stored
 
 TOP_K = 10
@@ -179,13 +180,8 @@ def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 hits in the form of candidates: the score scaled to 0..1 per question stands for the fused one."""
-    chunks, asked = search_tables(spark, sf_dir).windows, questions(spark, sf_dir)
-    hits = stored(lexical_hits(spark, sf_dir), "hits")
-    top = hits.groupBy("query_id").agg(F.max("score").alias("hi"))
-    named = hits.join(top, "query_id").join(chunks.drop("document_id"), "chunk_id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
-    # rankings here are over the whole corpus, so one pseudo-document holds all candidates
-    return named.withColumns({"fused_score": F.col("score") / F.col("hi"), "provenance": F.array(F.lit("lexical")), "of": F.col("document_id"), "document_id": F.lit("*")})
+    """BM25 hits in the form of candidates; see corpus_candidates."""
+    return corpus_candidates(stored(lexical_hits(spark, sf_dir), "hits"), search_tables(spark, sf_dir).windows, questions(spark, sf_dir))
 
 
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +291,8 @@ def analysis_sql() -> str:
       {like_any("low", TEMPORAL)} as is_temporal, stems >= 2 or (contains(low, ' and ') and len(topics) >= 2) as is_multi_hop from u"""
 
 
-def rerank_sql() -> str:
+def rerank_ctes() -> str:
+    """CTEs up to k: the candidates of each question with rs, their score, and rerank_no, their place by it."""
     from folio.functions.text import STOP_RERANK
 
     stop = repr(list(STOP_RERANK))
@@ -308,7 +305,11 @@ def rerank_sql() -> str:
       len(list_filter(list_concat(list_transform(range(1, len(qt) - 1), lambda i: array_to_string(qt[i:i+2], ' ')), list_transform(range(1, len(qt)), lambda i: array_to_string(qt[i:i+1], ' '))),
         lambda g: length(g) > 5 and contains(lower(s), g))) as phrases from cand),
     r as (select *, 0.4 * shared / greatest(1, len(qs)) + 0.15 * shared / greatest(1, len(cs)) + 0.25 * least(1.0, phrases / 2.0) + 0.1 * fused as rs, shared / greatest(1, len(qs)) as recall from f),
-    k as (select *, row_number() over (partition by query_id order by round(rs, 9) desc, rank) as rerank_no from r)
+    k as (select *, row_number() over (partition by query_id order by round(rs, 9) desc, rank) as rerank_no from r)"""
+
+
+def rerank_sql() -> str:
+    return f"""{rerank_ctes()}
     select query_id, chunk_id, round(rs, 6) as rerank_score,
       case when phrases > 0 and recall > 0.5 then phrases || ' shared phrase(s); more than half of the words' when phrases > 0 then phrases || ' shared phrase(s)' when recall > 0.5 then 'more than half of the words' else 'few shared words' end as rationale,
       rerank_no from k where rerank_no <= 6"""

@@ -5,26 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table under ``spark.checkpoint.dir``: its lineage and its plan end there.
-
-    Plans that use one result many times stay small, and a lost executor costs no recomputation. Only a local session
-    without that setting gets a folder of this machine.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path under ``spark.checkpoint.dir`` that nothing else has. Only a local session without that setting gets one on this machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table under ``spark.checkpoint.dir``: its lineage and its plan end there.
+
+    Plans that use one result many times stay small, and a lost executor costs no recomputation.
+    """
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Parts that the rows of one key are dealt to at most.
