@@ -246,15 +246,17 @@ def reassembled(records: DataFrame) -> DataFrame:
 
     A segment missing, given twice with other bytes, or a total that does not add up makes ``intact`` false, as does a
     payload whose digest is not the declared one; its payload is then null, and the other records are read all the same.
+    A record is one row, so one task holds its segments and its payload at once: its size is bounded by memory alone.
     """
 
     @F.pandas_udf("struct<payload: binary, digest: string, good: boolean>")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for blocks in batches:
+        for parts in batches:
             out = []
-            for block in blocks:
+            for blocks in parts:
                 try:
-                    payload = None if block is None else payload_of(block)
+                    # joined in one go, so the work is in proportion to the payload
+                    payload = None if blocks is None else payload_of(b"".join(map(bytes, blocks)))
                     out.append((payload, None if payload is None else payload_digest(payload), payload is not None))
                 except ValueError:
                     out.append((None, None, False))
@@ -268,10 +270,11 @@ def reassembled(records: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
         *(F.min_by(c, "segment").alias(c) for c in names),
     )
-    block = F.expr("aggregate(transform(parts, x -> x.block), cast('' as binary), (a, b) -> concat(a, b))")
-    joined = grouped.withColumn("joined", F.when(F.expr("transform(parts, x -> x.segment) = sequence(1L, cast(size(parts) as bigint))"), block))
-    joined = joined.select(*names, F.when(F.octet_length("joined") == F.col("total"), F.col("joined")).alias("block"))
-    stored = whole.filter("record_type = 'response'").unionByName(joined).withColumn("d", decoded("block"))
+    in_order = F.expr("transform(parts, x -> x.segment) = sequence(1L, cast(size(parts) as bigint))")
+    adds_up = F.expr("aggregate(parts, 0L, (n, x) -> n + octet_length(x.block))") == F.col("total")
+    joined = grouped.select(*names, F.when(in_order & adds_up, F.transform("parts", lambda x: x["block"])).alias("blocks"))
+    single = whole.filter("record_type = 'response'").select(*names, F.when(F.col("block").isNotNull(), F.array("block")).alias("blocks"))
+    stored = single.unionByName(joined).withColumn("d", decoded("blocks"))
     stored = stored.withColumn("intact", F.col("d.good") & (F.col("d.digest") == F.col("payload_digest")))
     shown = [*names[:6], F.col("d.payload").alias("payload"), F.octet_length("d.payload").cast("long").alias("payload_bytes"), "intact"]
     again = whole.filter("record_type = 'revisit'").select(*names[:6], F.lit(None).cast("binary").alias("payload"), F.col("length").alias("payload_bytes"), F.lit(True).alias("intact"))

@@ -74,3 +74,16 @@ def test_missing_segment_is_told(spark, tmp_path):
     for broken in (records.filter("segment is null or segment <> 2"), records.withColumn("total", F.col("total") + 1)):
         got = {r.page_id: r for r in reassembled(broken).collect()}
         assert not got[3].intact and got[3].payload is None and got[4].intact
+
+
+def test_a_very_long_page_takes_time_in_proportion(spark, tmp_path):
+    import time
+
+    text = "0123456789abcdef" * (2 << 20)  # 32 MB in 4,096 segments
+    write_archives(spark.createDataFrame([(1, "u", text, "")], SCHEMA), str(tmp_path / "w"), segment_bytes=8_192)
+    records = read_records(spark, str(tmp_path / "w")).persist()
+    records.count()
+    began = time.perf_counter()
+    got = reassembled(records).select("intact", "payload_bytes", F.sha2("payload", 256).alias("digest")).first()
+    assert got.intact and got.payload_bytes == len(text) and time.perf_counter() - began < 10
+    records.unpersist()
