@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import ascii_lower
+from folio.llm.common import ascii_lower, scratch, sized, written
 from folio.llm.full_licenses import full_texts
 from folio.llm.license_texts import KNOWN
 
@@ -89,9 +89,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     nothing but holders and punctuation, has a null digest and no licence. Repeated rows repeat; an empty table
     stays empty; other columns are ignored.
 
-    Whole texts meet the known digests in hash joins on the digest. Lines meet the known forms, of whatever length, where they are,
+    Whole texts meet the known digests in hash joins on the digest: the known ones go to the documents if they are few, and
+    else documents without a digest, which meet none, are dealt by their ids instead of to one task. Lines meet the known forms, of whatever length, where they are,
     by their canonical form's digest, so no line is shuffled; a line counts once however often a text repeats it.
     """
+    known = written(known.select("digest", "licence", "size"), scratch(docs.sparkSession, "licences"))
     lines = known.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("by_digest"), F.collect_set("size").alias("sizes"))
     # the row of known digests is bounded by the number of known licences
     texts = docs.select(F.col(id_col), line_forms(F.col(text_col)).alias("forms")).crossJoin(F.broadcast(lines))
@@ -107,7 +109,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
         F.when(named, F.sha2(joined(F.transform("forms", lambda f: f["whole"])), 256)).alias("with_holders"),
         F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",").alias("line_licences"),
     )
-    first = known.select(F.col("digest").alias("of"), F.col("licence").alias("by_rest"))
-    second = known.select(F.col("digest").alias("of_whole"), F.col("licence").alias("by_whole"))
-    met = scanned.join(first, F.col("digest") == F.col("of"), "left").join(second, F.col("with_holders") == F.col("of_whole"), "left")
+    digests = sized(known.select("digest", "licence"))
+    first, second = (digests.select(F.col("digest").alias(f"of_{k}"), F.col("licence").alias(f"by_{k}")) for k in ("rest", "whole"))
+    apart = F.concat(F.lit("none "), F.xxhash64(id_col).cast("string"))
+    met = scanned.join(first, F.coalesce("digest", apart) == F.col("of_rest"), "left").join(second, F.coalesce("with_holders", apart) == F.col("of_whole"), "left")
     return met.select(id_col, "digest", F.coalesce("by_rest", "by_whole").alias("licence"), "line_licences")

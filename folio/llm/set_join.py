@@ -30,7 +30,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import removed, scratch, small_batches, written
+from folio.llm.common import few, removed, scratch, sized, small_batches, written
 
 #: A-Z to a-z, and what is white space, by byte.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -43,8 +43,6 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BLOCK_BYTES = 1 << 18
 #: Rows of a batch that are worked on at once.
 SLICE_ROWS = 512
-#: Rows up to which a table is broadcast; a larger one is joined by a shuffle.
-FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -168,15 +166,6 @@ def heads_of(docs: DataFrame, j: Jaccard) -> DataFrame:
     return as_bytes(docs).mapInArrow(rows, "doc_id long, n long, signature binary, head array<long>")
 
 
-def few(df: DataFrame, most: int = FEW) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it is small."""
-    return F.broadcast(df) if few(df) else df
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, j: Jaccard, parts: list[int] | None) -> DataFrame:
     """(node, part, shingles) of the wanted nodes' sets: the fragments in ``parts``, cut at fixed borders of the order, or None for whole sets.
 
