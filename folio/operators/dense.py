@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
-from folio.sources.scratch import by_key, stored
+from folio.functions.text import nanos
+from folio.sources.scratch import BUCKET, by_key, dealt, in_buckets, of_keys, sized, stored
 
 
 def grams(text: Column) -> Column:
@@ -28,8 +29,8 @@ def gram_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class GramIndex:
-    """TF-IDF vectors of chunks by gram. ``grams``: (gram, chunk_id, w), not yet of unit length, and ``vocabulary``:
-    (gram, idf, df), both in the order of grams; ``norms``: (chunk_id, norm), of chunks with any known gram."""
+    """TF-IDF vectors of chunks by gram. ``grams``: (gram, chunk_id, w, bucket), not yet of unit length, in folders by bucket,
+    and ``vocabulary``: (gram, idf, df), both in the order of grams; ``norms``: (chunk_id, norm), of chunks with any known gram."""
 
     grams: DataFrame
     vocabulary: DataFrame
@@ -52,17 +53,23 @@ def index_grams(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> Gra
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).filter(F.col("df") <= F.lit(config.tfidf_max_df) * F.col("n"))  # one row
     vocabulary = stored(by_key(df.select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "df"), "gram"), "vocabulary")
-    weighted = stored(counts.join(vocabulary, "gram").select("gram", "chunk_id", ((1 + F.log("tf")) * F.col("idf")).alias("w")), "gram-weights")
+    weighted = in_buckets(counts.join(vocabulary, "gram").select("gram", "chunk_id", ((1 + F.log("tf")) * F.col("idf")).alias("w")), "gram", "chunk_id")
+    weighted = stored(weighted, "gram-weights", BUCKET)
     norms = weighted.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return GramIndex(weighted, vocabulary, stored(norms, "norms"))
 
 
 def search_grams(index: GramIndex, queries: DataFrame, top_k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by TF-IDF cosine: an equi-join on the questions' grams, so chunks that share none never meet a question."""
+    """(query_id, chunk_id, score, rank) by TF-IDF cosine: an equi-join on the questions' grams, so chunks that share none never meet a question.
+
+    Only folders that may hold a gram of the questions are read. What is left is dealt by chunk once, as in search_terms.
+    """
     asked = stored(index.vectors(queries, ["query_id"], "text").withColumnRenamed("weight", "qw"), "asked-grams")
-    sums = asked.join(index.grams, "gram").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    wanted = stored(asked.select("gram").distinct(), "asked-distinct-grams")
+    chosen = dealt(of_keys(index.grams, "gram", wanted).join(sized(wanted), "gram", "left_semi"), "chunk_id")
+    sums = chosen.join(sized(asked), "gram").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     scored = sums.join(index.norms, "chunk_id").select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    place = Window.partitionBy("query_id").orderBy(F.desc(nanos(F.col("score"))), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top_k)
 
 

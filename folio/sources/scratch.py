@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,16 +20,50 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table under ``spark.checkpoint.dir``: its lineage and its plan end there.
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table under ``spark.checkpoint.dir``, in folders ``by`` a column: its lineage and its plan end there.
 
     Plans that use one result many times stay small, and a lost executor costs no recomputation.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: The column of the folders that the postings of an index lie in, and how many there are.
+BUCKET = "bucket"
+BUCKETS = 32
+
+
+def bucket_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def of_keys(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The folders of ``df``, if it lies in buckets, that may hold one of the wanted keys; the buckets' numbers are few."""
+    if BUCKET not in df.columns:
+        return df
+    buckets = [r[0] for r in wanted.select(bucket_of(F.col(key))).distinct().collect()]
+    return df.filter(F.col(BUCKET).isin(buckets)).drop(BUCKET)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` to as many tasks as shuffles have, however small it is: what it meets next makes many rows of each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def in_buckets(df: DataFrame, key: str, spread: str) -> DataFrame:
+    """``df`` with its bucket, dealt by bucket and by parts of ``spread``, so that a hot key's rows go to several tasks, and sorted by key."""
+    rows = df.withColumn(BUCKET, bucket_of(F.col(key)))
+    return rows.repartition(F.col(BUCKET), F.pmod(F.xxhash64(spread), F.lit(SPREAD))).sortWithinPartitions(BUCKET, key)
+
+
 #: Parts that the rows of one key are dealt to at most.
 SPREAD = 64
 

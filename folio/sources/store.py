@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folio.operators.dense import GramIndex, Lsa
 from folio.operators.lexical import LexicalIndex
 from folio.plans.ingest import Index, SearchIndex
-from folio.sources.scratch import by_key
+from folio.sources.scratch import BUCKET, by_key, in_buckets
 
 TABLES = ("documents", "nodes", "chunks")
 #: In the order of terms and grams.
@@ -36,9 +36,10 @@ def save_search(path: str, search: SearchIndex, mode: str = "overwrite") -> None
     """The search index beside a saved index, as built: postings, weights, grams, norms, vocabulary, vectors and the projection."""
     spark = search.grams.grams.sparkSession
     scope = "document" if search.lexical.per_document else "corpus"
-    for name in LEXICAL:
-        getattr(search.lexical, name).write.mode(mode).parquet(f"{path}/lexical-{scope}/{name}")
-    for name in GRAMS:
+    in_buckets(search.lexical.postings.drop(BUCKET), "term", "chunk_id").write.mode(mode).partitionBy(BUCKET).parquet(f"{path}/lexical-{scope}/postings")
+    search.lexical.weights.write.mode(mode).parquet(f"{path}/lexical-{scope}/weights")
+    in_buckets(search.grams.grams.drop(BUCKET), "gram", "chunk_id").write.mode(mode).partitionBy(BUCKET).parquet(f"{path}/grams/grams")
+    for name in GRAMS[1:]:
         getattr(search.grams, name).write.mode(mode).parquet(f"{path}/grams/{name}")
     for name in VECTORS:
         getattr(search.lsa, name).write.mode(mode).parquet(f"{path}/vectors/{name}")
