@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -181,40 +181,49 @@ class Lsa:
         Grams meet their loadings in a join; each task adds up what it has of a text, at most ``most_held`` texts at a
         time, so that few vectors per text are shuffled. Only loadings of the texts' grams are worked out.
         """
-        dims = self.dims
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index: dict[str, int] = {}
-            total = np.zeros((0, dims))
-
-            def out() -> pd.DataFrame:
-                return pd.DataFrame({"_row": list(index), "part": [v.tobytes() for v in total[: len(index)]]})
-
-            for batch in batches:
-                at = np.array([index.setdefault(r, len(index)) for r in batch["_row"]], int)
-                if len(index) > len(total):
-                    total = np.concatenate([total, np.zeros((max(len(index) - len(total), len(total)), dims))])
-                add_rows(total, at, np.frombuffer(b"".join(batch["loading"]), np.float32).reshape(-1, dims) * batch["w"].to_numpy()[:, None])
-                if len(index) > most_held:
-                    yield out()
-                    index, total = {}, np.zeros((0, dims))
-            yield out()
-
-        @F.pandas_udf("array<double>")
-        def to_unit(sums: pd.Series) -> pd.Series:
-            out = []
-            for x in sums:
-                v = np.zeros(dims) if x is None else np.frombuffer(x)
-                norm = np.linalg.norm(v)
-                out.append((v / norm if norm > 1e-12 else np.zeros(dims)).tolist())
-            return pd.Series(out)
-
         # rows are told apart by keys and text, so rows that are equal in both share a vector
         named = rows.select(*keys, F.col(text).alias("_text")).withColumn("_row", F.sha2(F.to_json(F.struct(*keys, "_text")), 256))
         counts = stored(gram_counts(named.dropDuplicates(["_row"]), ["_row"], "_text"), "lsa-grams")
         found = counts.join(self.loadings(counts.select("gram").distinct()), "gram").select("_row", (1 + F.log("tf")).alias("w"), "loading")
-        sums = found.mapInPandas(partial, "_row string, part binary").groupBy("_row").agg(F.collect_list("part").alias("parts")).select("_row", summed("parts").alias("sum"))
-        return named.select(*keys, "_row").join(sums, "_row", "left").select(*keys, to_unit("sum").alias("vec"))
+        return named.select(*keys, "_row").join(sums_of_loadings(found, "string", self.dims, most_held), "_row", "left").select(*keys, unit_vector("sum", self.dims).alias("vec"))
+
+
+def sums_of_loadings(found: DataFrame, kind: str, dims: int, most_held: int = 65_536) -> DataFrame:
+    """(_row, sum), the bytes of doubles, of ``found`` (_row, w, loading): each task adds up what it has of a row first."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index: dict = {}
+        total = np.zeros((0, dims))
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"_row": list(index), "part": [v.tobytes() for v in total[: len(index)]]})
+
+        for batch in batches:
+            at = np.array([index.setdefault(r, len(index)) for r in batch["_row"]], int)
+            if len(index) > len(total):
+                total = np.concatenate([total, np.zeros((max(len(index) - len(total), len(total)), dims))])
+            add_rows(total, at, np.frombuffer(b"".join(batch["loading"]), np.float32).reshape(-1, dims) * batch["w"].to_numpy()[:, None])
+            if len(index) > most_held:
+                yield out()
+                index, total = {}, np.zeros((0, dims))
+        yield out()
+
+    return found.mapInPandas(partial, f"_row {kind}, part binary").groupBy("_row").agg(F.collect_list("part").alias("parts")).select("_row", summed("parts").alias("sum"))
+
+
+def unit_vector(sums: str, dims: int) -> Column:
+    """The unit vector of a sum of loadings; zeros for a null or zero sum."""
+
+    @F.pandas_udf("array<double>")
+    def to_unit(rows: pd.Series) -> pd.Series:
+        out = []
+        for x in rows:
+            v = np.zeros(dims) if x is None else np.frombuffer(x)
+            norm = np.linalg.norm(v)
+            out.append((v / norm if norm > 1e-12 else np.zeros(dims)).tolist())
+        return pd.Series(out)
+
+    return to_unit(F.col(sums))
 
 
 def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -291,24 +300,32 @@ def leading(times: Callable[[np.ndarray], np.ndarray], block: np.ndarray, dims:
             basis, images, small = basis @ vectors[:, kept], images @ vectors[:, kept], np.diag(values[kept])
 
 
-def fit_lsa(chunks: DataFrame, config: EngineConfig = EngineConfig(), tolerance: float = 1e-2, index: GramIndex | None = None) -> Lsa:
-    """Truncated SVD of the TF-IDF matrix of all chunks, by randomized block Krylov iteration.
+#: Chunks that the projection is fitted on at most. All chunks get vectors, and document frequencies are those of all chunks.
+LSA_SAMPLE = 32_768
+
+
+def fit_lsa(chunks: DataFrame, config: EngineConfig = EngineConfig(), tolerance: float = 1e-2, index: GramIndex | None = None, sample: int = LSA_SAMPLE) -> Lsa:
+    """Truncated SVD of the TF-IDF matrix of ``sample`` chunks, of all if there are no more, by randomized block Krylov iteration.
+
+    The sample is the chunks whose ids have the least hashes, so it is the same in every run. The matrix is held by grams
+    and multiplied in passes over its partitions, until no singular direction's residual is over ``tolerance`` of its
+    eigenvalue. A gram of a single chunk, as most pairs of words are, adds only to that chunk's place on the diagonal of
+    the product; these are summed once and left out of the passes, which is exact. If there are fewer chunks than columns
+    of the sketch, the result is exact. Chunks outside the sample are encoded by the loadings of the sample's grams.
 
-    The matrix is held by grams and multiplied in passes over its partitions, until no singular direction's residual is
-    over ``tolerance`` of its eigenvalue. A gram of a single chunk, as most pairs of words are, adds only to that chunk's
-    place on the diagonal of the product; these are summed once and left out of the passes, which is exact. Each task holds
-    some hundred numbers a chunk and the driver some thousand, never the vocabulary. If there are fewer chunks than
-    columns of the sketch, the result is exact. ``index``: that of ``chunks``, if there is one.
+    The sample bounds what the driver holds (some 3,000 doubles a sampled chunk), what goes to tasks (hundreds), and the
+    postings of a gram in one row; the rest is joins over all chunks. ``index``: that of ``chunks``, if there is one.
     """
     spark = chunks.sparkSession
     index = index or index_grams(chunks, config)
-    kind = index.norms.schema["chunk_id"].dataType.simpleString()
-    ids = index.norms.select("chunk_id", "norm").sort("chunk_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    numbered = stored(spark.createDataFrame(ids, f"chunk_id {kind}, norm double, at int"), "lsa-chunks")
-    weighted = index.grams.join(numbered, "chunk_id").select("gram", "at", (F.col("w") / F.col("norm")).alias("w"))
+    of_hash = F.xxhash64("chunk_id")
+    chosen = index.norms.select("chunk_id", "norm").orderBy(of_hash, "chunk_id").limit(sample)
+    # no more rows than the sample has meet in one task
+    numbered = stored(chosen.withColumn("at", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("chunk_id")) - 1).cast("int")), "lsa-chunks")
+    weighted = index.grams.join(sized(numbered), "chunk_id").select("gram", "at", (F.col("w") / F.col("norm")).alias("w"))
     postings = weighted.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("p"))
     inverted = stored(by_key(postings.join(index.vocabulary, "gram").select("gram", "idf", F.col("p.at").alias("at"), F.col("p.w").alias("w")), "gram"), "lsa-postings")
-    n, grams_n = numbered.count(), index.vocabulary.count()
+    n, grams_n = numbered.count(), inverted.count()
     dims = max(2, min(config.lsa_dims, grams_n - 1, n - 1))
     width = min(n, dims + 16)
     # grams of one chunk: their part of A A' is diagonal
@@ -329,11 +346,25 @@ def fit_lsa(chunks: DataFrame, config: EngineConfig = EngineConfig(), tolerance:
     def vector(at: pd.Series) -> pd.Series:
         return pd.Series(list(own.value[at.to_numpy()]))
 
-    # a chunk without known grams is in no row of the matrix
-    known = chunks.select("chunk_id").join(numbered.select("chunk_id", "at"), "chunk_id", "left")
-    zero = F.array_repeat(F.lit(0.0), dims)
-    vectors = known.filter("at is not null").select("chunk_id", vector("at").alias("vec")).unionByName(known.filter("at is null").select("chunk_id", zero.alias("vec")))
-    return Lsa(inverted, sent, stored(vectors, "lsa-vectors"), dims)
+    fitted = Lsa(inverted, sent, numbered.select("chunk_id", vector("at").alias("vec")), dims)
+    known = chunks.select("chunk_id").join(sized(numbered.select("chunk_id", "at")), "chunk_id", "left")
+    inside = known.filter("at is not null").select("chunk_id", vector("at").alias("vec"))
+    outside = known.filter("at is null").select("chunk_id")
+    # a chunk without known grams is in no row of the matrix, and its vector is zero
+    return replace(fitted, chunk_vectors=stored(inside.unionByName(encoded_chunks(fitted, index, outside, n < sample)), "lsa-vectors"))
+
+
+def encoded_chunks(fitted: Lsa, index: GramIndex, outside: DataFrame, none_left: bool) -> DataFrame:
+    """(chunk_id, vec) of chunks outside the sample, from the index's grams; ``none_left``: the sample has all that have grams."""
+    if none_left:
+        return outside.select("chunk_id", F.array_repeat(F.lit(0.0), fitted.dims).alias("vec"))
+    kind = index.grams.schema["chunk_id"].dataType.simpleString()
+    loadings = stored(by_key(fitted.loadings(fitted.inverted.select("gram")), "gram"), "lsa-loadings")
+    wanted = stored(outside, "lsa-outside")
+    # loadings have the inverse document frequency in them already
+    weights = index.grams.join(index.vocabulary.select("gram", "idf"), "gram").select("gram", "chunk_id", (F.col("w") / F.col("idf")).alias("w")).join(sized(wanted), "chunk_id", "left_semi")
+    sums = sums_of_loadings(weights.join(loadings, "gram").select(F.col("chunk_id").alias("_row"), "w", "loading"), kind, fitted.dims)
+    return wanted.join(sums.withColumnRenamed("_row", "chunk_id"), "chunk_id", "left").select("chunk_id", unit_vector("sum", fitted.dims).alias("vec"))
 
 
 #: Takes texts, gives vectors; the seam for a neural encoder.

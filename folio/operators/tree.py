@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import stripped
+from folio.sources.scratch import BUCKET, by_key, in_buckets, of_keys, sized, stored
 
 ROOT = "root"
 #: Section numbers have at most five parts, so a node has at most this many ancestors below the root.
@@ -121,19 +124,54 @@ def descendant_chunks(nodes: DataFrame, chunks: DataFrame, with_tables: bool = F
     return paths.join(texts, ["document_id", "holder"]).select("document_id", "node_id", "chunk_id", F.col("chunk_no").alias("path"))
 
 
-def search_tree(nodes: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+@dataclass(frozen=True)
+class TreeIndex:
+    """Sections to search in. ``places``: (document_id, node_id, node_no, section_number, text), in the order of documents;
+    ``grams``: (gram, document_id, node_id, bucket), each run of one to three characters of a section's text, in folders by
+    bucket; ``frequencies``: (gram, df), how many sections have it."""
+
+    places: DataFrame
+    grams: DataFrame
+    frequencies: DataFrame
+
+
+#: Characters of the longest grams of sections.
+GRAM = 3
+
+
+def places_of(nodes: DataFrame) -> DataFrame:
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))))
+    return nodes.filter(F.col("node_id") != ROOT).select("document_id", "node_id", "node_no", "section_number", text.alias("text"))
+
+
+def grams_of(text: str, lengths: str) -> Column:
+    """Distinct runs of characters of each of ``lengths``, an SQL array, in the order of their first places."""
+    return F.array_distinct(F.expr(f"flatten(transform({lengths}, n -> if(length({text}) < n, array(), transform(sequence(1, length({text}) - n + 1), k -> substr({text}, k, n)))))"))
+
+
+def index_tree(nodes: DataFrame) -> TreeIndex:
+    """What a search in all documents reads, built once and searched often."""
+    places = stored(by_key(places_of(nodes), "document_id"), "places")
+    cut = places.select("document_id", "node_id", F.explode(grams_of("text", f"sequence(1, {GRAM})")).alias("gram"))
+    grams = stored(in_buckets(cut, "gram", "node_id"), "place-grams", BUCKET)
+    return TreeIndex(places, grams, stored(by_key(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram"), "gram-frequencies"))
+
+
+def search_tree(nodes: DataFrame | TreeIndex, queries: DataFrame, top_k: int) -> DataFrame:
     """Best nodes of each analysed query: (query_id, document_id, node_id, score, rank).
 
     Ten for a section that the query names, three for each topic and one for each keyword found in title or summary,
     as substrings; repeated keywords count again. ``queries`` has query_id, document_id (null: any), keywords,
-    candidate_topics and explicit_section_refs. Ranks are per query and document.
+    candidate_topics and explicit_section_refs. Ranks are per query and document. With a TreeIndex nothing is built; with
+    nodes alone an index is built if a query is about any document.
     """
-    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))))
-    places = nodes.filter(F.col("node_id") != ROOT).select("document_id", "node_id", "node_no", "section_number", text.alias("text"))
+    places = nodes.places if isinstance(nodes, TreeIndex) else places_of(nodes)
     scope = F.col("document_id") if "document_id" in queries.columns else F.lit(None).cast("string")
     q = queries.select("query_id", scope.alias("of"), "keywords", "candidate_topics", "explicit_section_refs")
-    bound = places.join(q.filter("of is not null"), F.col("of") == F.col("document_id"))
-    met = bound.unionByName(places_of_words(places, q.filter("of is null")))
+    met = places.join(q.filter("of is not null"), F.col("of") == F.col("document_id"))
+    free = q.filter("of is null")
+    if "document_id" not in queries.columns or not free.isEmpty():
+        met = met.unionByName(places_of_words(nodes if isinstance(nodes, TreeIndex) else index_tree(nodes), free))
     score = (
         F.when(F.array_contains("explicit_section_refs", F.col("section_number")), 10.0).otherwise(0.0)
         + 3.0 * F.expr("size(filter(candidate_topics, x -> contains(text, x)))") + F.expr("size(filter(keywords, x -> contains(text, x)))")
@@ -142,20 +180,20 @@ def search_tree(nodes: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     return met.withColumn("score", score).filter("score > 0").withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_k).select("query_id", "document_id", "node_id", "score", "rank")
 
 
-def places_of_words(places: DataFrame, queries: DataFrame) -> DataFrame:
+def places_of_words(index: TreeIndex, queries: DataFrame) -> DataFrame:
     """Each query with the places that can score for it in any document: those of a section that it names, or that hold one of its words.
 
-    A word meets the texts that have its first three letters in a row, in a join by these; only words under three letters,
-    of which there are few, are looked for in every text.
+    A word is looked up by the rarest of its three-letter runs; a shorter word is a gram itself. A word with a run that no
+    section has is nowhere. Only folders that may hold one of these grams are read, and what they give is looked at whole.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(F.concat("keywords", "candidate_topics"))).alias("word")).filter("word <> ''")
-    distinct = words.select("word").distinct()
-    anchors = distinct.filter(F.length("word") >= 3).select("word", F.substring("word", 1, 3).alias("anchor"))
-    cut = F.array_distinct(F.expr("transform(sequence(1, greatest(length(text) - 2, 1)), k -> substr(text, k, 3))"))
-    anchored = places.select("document_id", "node_id", "text", F.explode(cut).alias("anchor")).join(anchors, "anchor")
-    short = places.join(F.broadcast(distinct.filter(F.length("word") < 3)), F.contains("text", F.col("word")))  # as many as letters make at most
-    holds = anchored.filter(F.contains("text", F.col("word"))).select("document_id", "node_id", "word").unionByName(short.select("document_id", "node_id", "word"))
+    words = stored(queries.select("query_id", F.explode(F.array_distinct(F.concat("keywords", "candidate_topics"))).alias("word")).filter("word <> ''"), "words")
+    parts = words.select("word").distinct().select("word", F.explode(grams_of("word", f"array(least({GRAM}, length(word)))")).alias("gram"))
+    known = parts.join(index.frequencies, "gram", "left").groupBy("word")
+    anchors = known.agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.bool_and(F.col("df").isNotNull()).alias("every")).filter("every").drop("every")
+    anchors = stored(anchors, "anchors")
+    found = of_keys(index.grams, "gram", anchors).join(sized(anchors), "gram").select("word", "document_id", "node_id")
+    holds = found.join(index.places.select("document_id", "node_id", "text"), ["document_id", "node_id"]).filter(F.contains("text", F.col("word"))).select("word", "document_id", "node_id")
     by_word = words.join(holds, "word").select("query_id", "document_id", "node_id")
-    named = queries.select("query_id", F.explode("explicit_section_refs").alias("section_number")).join(places.select("document_id", "node_id", "section_number"), "section_number")
+    named = queries.select("query_id", F.explode("explicit_section_refs").alias("section_number")).join(index.places.select("document_id", "node_id", "section_number"), "section_number")
     pairs = by_word.unionByName(named.select("query_id", "document_id", "node_id")).distinct()
-    return places.join(pairs, ["document_id", "node_id"]).join(queries, "query_id").select(*places.columns, *queries.columns)
+    return index.places.join(pairs, ["document_id", "node_id"]).join(queries, "query_id").select(*index.places.columns, *queries.columns)

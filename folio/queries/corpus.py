@@ -18,7 +18,7 @@ from folio.operators.metrics import mean_metrics, retrieval_metrics
 from folio.operators.query import COMPARISON, INTENTS, TEMPORAL, analyze_queries
 from folio.operators.rerank import FeatureReranker
 from folio.operators.structure import detect_structure
-from folio.operators.tree import build_nodes, search_tree, with_children, with_page_ranges, with_summaries
+from folio.operators.tree import TreeIndex, build_nodes, index_tree, search_tree, with_children, with_page_ranges, with_summaries
 from folio.plans.corpus import corpus_candidates
 from folio.sources.scratch import stored
 
@@ -164,11 +164,22 @@ def corpus_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("fused_score", 6).alias("fused_score"), F.array_join("provenance", ",").alias("provenance"), "rank")
 
 
+#: Section indexes by session, path and state of the files of the pages.
+TREES: dict[tuple, TreeIndex] = {}
+
+
+def page_index(spark: SparkSession, sf_dir: str) -> TreeIndex:
+    key = (spark.sparkContext.applicationId, sf_dir, file_state(spark, f"{sf_dir}/pages.parquet"))
+    if key not in TREES:
+        TREES[key] = index_tree(stored(page_nodes(spark, sf_dir), "nodes"))
+    return TREES[key]
+
+
 def page_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best sections of every page for each benchmark item and for the last question of each conversation."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
     asked = questions(spark, sf_dir).select(F.concat(F.lit("item "), "query_id").alias("query_id"), "text").unionByName(turns.select(F.concat(F.lit("conversation "), "conv_id").alias("query_id"), "text"))
-    found = search_tree(stored(page_nodes(spark, sf_dir), "nodes"), stored(analyze_queries(asked), "asked"), 3)
+    found = search_tree(page_index(spark, sf_dir), stored(analyze_queries(asked), "asked"), 3)
     return found.select("query_id", "document_id", "node_id", "score", "rank")
 
 
