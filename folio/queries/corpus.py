@@ -22,7 +22,7 @@ from folio.operators.rerank import FeatureReranker
 from folio.operators.structure import detect_structure
 from folio.operators.tree import TreeIndex, build_nodes, index_tree, search_tree, with_children, with_page_ranges, with_summaries
 from folio.plans.corpus import corpus_candidates
-from folio.sources.scratch import stored
+from folio.sources.scratch import sized, stored
 
 TOP_K = 10
 LOG = logging.getLogger("folio.queries")
@@ -213,9 +213,10 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relevance(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A window counts as relevant if its document holds the benchmark item word for word."""
-    hits = lexical_hits(spark, sf_dir)
+    hits = stored(lexical_hits(spark, sf_dir), "hits")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("source_text"))
-    return hits.join(docs, "document_id").withColumn("token_count", F.lit(1)), questions(spark, sf_dir).withColumn("groups", F.array(F.array("text")))
+    # few hits go to the texts where they are read; many meet them in a shuffle
+    return docs.join(sized(hits), "document_id").withColumn("token_count", F.lit(1)), questions(spark, sf_dir).withColumn("groups", F.array(F.array("text")))
 
 
 def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +231,7 @@ def search_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("source_text"))
     lexical = lexical_hits(spark, sf_dir, 5).select("query_id", "document_id", "rank", F.lit("bm25").alias("baseline_id"))
     dense = search_grams(built.grams, asked, 5).select("query_id", F.regexp_extract("chunk_id", "^(.*)-fixed-", 1).alias("document_id"), "rank", F.lit("tfidf").alias("baseline_id"))
-    ranked = lexical.unionByName(dense).join(docs, "document_id").withColumn("token_count", F.lit(1))
+    ranked = docs.join(sized(stored(lexical.unionByName(dense), "hits")), "document_id").withColumn("token_count", F.lit(1))
     means = mean_metrics(retrieval_metrics(ranked, asked.withColumn("groups", F.array(F.array("text"))), 5, ("baseline_id", "query_id")), "baseline_id")
     return means.select("baseline_id", *(F.round(c, 6).alias(c) for c in ("mean_precision", "mean_hit", "mean_mrr", "mean_ndcg")), "n_questions")
 
