@@ -193,12 +193,14 @@ class Block:
         keep = enough[item]
         if not keep.any():
             return
-        item, diagonal = item[keep], (np.repeat(hits, n) - self.place[index])[keep]
+        item, place, at = item[keep], self.place[index][keep], np.repeat(hits, n)[keep]
+        diagonal = at - place
         width = 2 * self.edits[item] + 1
         # half bands; each neighbouring two make a band, so any 2k + 1 diagonals lie in one
         half = diagonal // width
         key = (item.astype(np.int64) << 40) + (half + (1 << 30))
-        keys, number = np.unique(key, return_counts=True)
+        order = np.argsort(key, kind="stable")
+        keys, start, number = np.unique(key[order], return_index=True, return_counts=True)
         after = np.zeros(len(keys), np.int64)
         if len(keys) > 1:
             after[:-1] = np.where(keys[1:] == keys[:-1] + 1, number[1:], 0)
@@ -207,10 +209,14 @@ class Block:
             before[1:] = np.where(keys[1:] == keys[:-1] + 1, number[:-1], 0)
         items = keys >> 40
         alone = (number + after >= self.bound[items]) | ((before == 0) & (number >= self.bound[items]))
-        for k, at in zip(items[alone], keys[alone] & ((1 << 40) - 1)):
-            w = int(2 * self.edits[k] + 1)
-            low = (int(at) - (1 << 30)) * w
-            yield int(k), low, low + 2 * w - 1
+        for i in np.flatnonzero(alone):
+            k = int(items[i])
+            pairs = order[start[i] : start[i] + number[i] + after[i]]
+            # grams that a match shares stand at as many places of the item, and of the text; repeats of one gram do not count
+            if min(len(np.unique(place[pairs])), len(np.unique(at[pairs]))) >= self.bound[k]:
+                w = int(2 * self.edits[k] + 1)
+                low = (int(keys[i] & ((1 << 40) - 1)) - (1 << 30)) * w
+                yield k, low, low + 2 * w - 1
 
 
 def item_blocks(benchmark: DataFrame, b: Budget) -> Iterator[list[tuple[int, str]]]:
