@@ -105,7 +105,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     named = F.exists("forms", lambda f: f["named"].isNotNull())
     scanned = texts.select(
         id_col,
-        F.when(text != "", F.sha2(text, 256)).alias("digest"),
+        F.sha2(F.nullif(text, F.lit("")), 256).alias("digest"),
         F.when(named, F.sha2(joined(F.transform("forms", lambda f: f["whole"])), 256)).alias("with_holders"),
         F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",").alias("line_licences"),
     )
