@@ -9,10 +9,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from folio.queries import corpus, fixture_queries
+from folio.queries import answers, corpus, fixture_queries, job_queries, statements
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = corpus.ORACLES | fixture_queries.oracles()
+MODULES = (answers, corpus, fixture_queries, job_queries, statements)
+SQL = corpus.ORACLES | {name: sql for m in MODULES if m is not corpus for name, sql in m.oracles().items()}
 
 
 def plain(v):
@@ -46,5 +47,5 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_is_registered():
-    names = {*corpus.queries(), *fixture_queries.queries()}
+    names = {name for m in MODULES for name in m.queries()}
     assert names <= {*__spark_entry__.queries()} and {*SQL} <= names
