@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
 from folio.functions.text import min_max
-from folio.operators.tree import descendant_chunks, first_by_section, search_tree
+from folio.operators.tree import chunks_below, first_by_section, search_tree
+from folio.sources.scratch import stored
 
 KEYS = ["query_id", "document_id"]
 #: In the order in which their hits enter the pool.
@@ -21,7 +22,7 @@ AGREEMENT = 0.15
 
 def hierarchy_hits(nodes: DataFrame, chunks: DataFrame, analysed: DataFrame, top_k: int, with_tables: bool = False) -> DataFrame:
     """(query_id, document_id, chunk_id, score, rank) of the chunks under the best sections; of several scores the largest."""
-    found = search_tree(nodes, analysed, top_k).join(descendant_chunks(nodes, chunks, with_tables), ["document_id", "node_id"])
+    found = chunks_below(stored(search_tree(nodes, analysed, top_k), "sections"), nodes, chunks, with_tables)
     merged = found.groupBy(*KEYS, "chunk_id").agg(F.max("score").alias("score"), F.min(F.struct("rank", "path")).alias("seen"))
     return merged.select(*KEYS, "chunk_id", "score", F.row_number().over(Window.partitionBy(*KEYS).orderBy("seen")).alias("rank"))
 

@@ -124,6 +124,33 @@ def descendant_chunks(nodes: DataFrame, chunks: DataFrame, with_tables: bool = F
     return paths.join(texts, ["document_id", "holder"]).select("document_id", "node_id", "chunk_id", F.col("chunk_no").alias("path"))
 
 
+def with_last(nodes: DataFrame) -> DataFrame:
+    """Adds ``last_no``, the number of the last node below each, its own if there is none.
+
+    Headings are numbered in reading order, which is the order of a walk, so a node and all below it are a run of numbers
+    that ends before the next heading that is no deeper.
+    """
+    after = Window.partitionBy("document_id").orderBy(F.desc("node_no")).rowsBetween(Window.unboundedPreceding, -1)
+    nexts = F.array(*(F.min(F.when(F.col("depth") <= d, F.col("node_no"))).over(after) for d in range(1, MAX_DEPTH + 1)))
+    last = F.max("node_no").over(Window.partitionBy("document_id"))
+    own = F.coalesce(F.element_at(nexts, F.greatest(F.least("depth", F.lit(MAX_DEPTH)), F.lit(1))) - 1, last)
+    return nodes.withColumn("last_no", F.when(F.col("node_id") == ROOT, last).otherwise(own))
+
+
+def chunks_below(found: DataFrame, nodes: DataFrame, chunks: DataFrame, with_tables: bool = False) -> DataFrame:
+    """``found`` (document_id, node_id and more) with chunk_id and path of the chunks of each node and all below it.
+
+    Only documents that have a found node are looked at: their nodes are labelled with runs of numbers, and a chunk meets
+    the found nodes of its document whose run holds its own node. ``path`` and tables are as in descendant_chunks.
+    """
+    few = found.select("document_id").distinct()
+    runs = with_last(nodes.join(few, "document_id", "left_semi").select("document_id", "node_id", "node_no", "depth"))
+    texts = (chunks if with_tables else chunks.filter("table_id is null")).select("document_id", "node_id", "chunk_id", F.col("chunk_no").alias("path"))
+    held = texts.join(runs.select("document_id", "node_id", F.col("node_no").alias("_no")), ["document_id", "node_id"]).drop("node_id")
+    met = found.join(runs.select("document_id", "node_id", F.col("node_no").alias("_from"), F.col("last_no").alias("_to")), ["document_id", "node_id"])
+    return met.join(held, "document_id").filter(F.col("_no").between(F.col("_from"), F.col("_to"))).drop("_no", "_from", "_to")
+
+
 @dataclass(frozen=True)
 class TreeIndex:
     """Sections to search in. ``places``: (document_id, node_id, node_no, section_number, text), in the order of documents;

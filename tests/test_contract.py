@@ -242,3 +242,29 @@ def test_retry_waits():
     assert "data" in SYSTEM_PROMPT and HttpModel("l", "http://localhost:1", (), lambda *a: {}, lambda r: ("", 0, 0), retries=0)
     with pytest.raises(RuntimeError):
         HttpModel("l", "http://localhost:1", (), lambda *a: {}, lambda r: ("", 0, 0), retries=0)("s", "u", 1)
+
+
+def test_runs_of_numbers_are_subtrees(spark):
+    """A node's run of numbers holds what the closure holds, whatever depths headings have, and so do chunks found by it."""
+    import random
+
+    from folio.operators.tree import ROOT, build_nodes, chunks_below, closure, descendant_chunks, with_last
+
+    rng = random.Random(5)
+    blocks = [(f"d{d}", k, "heading" if rng.random() < 0.7 else "paragraph", f"t{k}", rng.randrange(1, 6)) for d in range(4) for k in range(40)]
+    rows = [(d, k, kind, text, 1, 0.0, depth if kind == "heading" else 0, None, text if kind == "heading" else None, [], None) for d, k, kind, text, depth in blocks]
+    df = spark.createDataFrame(rows, "document_id string, block_no long, block_type string, text string, page int, y0 double, depth int, section_number string, title string, referenced_sections array<string>, table_id string")
+    nodes = build_nodes(df, df.select("document_id").distinct().withColumn("document_name", F.col("document_id"))).persist()
+    below: dict[tuple, set] = {}
+    for r in closure(nodes).collect():
+        below.setdefault((r.document_id, r.ancestor_id), set()).add(r.node_id)
+    numbers = {(r.document_id, r.node_id): (r.node_no, r.last_no) for r in with_last(nodes).collect()}
+    for (d, a), want in below.items():
+        low, high = numbers[d, a]
+        assert want == {n for (e, n), (no, _) in numbers.items() if e == d and low <= no <= high} and (a != ROOT or low == 0)
+    chunks = nodes.select("document_id", "node_id", F.concat("document_id", F.lit("-c-"), "node_id").alias("chunk_id"), F.col("node_no").alias("chunk_no"), F.when(F.col("node_no") % 7 == 3, "t").alias("table_id"))
+    found = nodes.filter("node_no % 3 = 0 and document_id <> 'd3'").select("document_id", "node_id")
+    for tables in (False, True):
+        want = descendant_chunks(nodes, chunks, tables).join(found, ["document_id", "node_id"], "left_semi")
+        assert sorted(chunks_below(found, nodes, chunks, tables).select(*want.columns).collect()) == sorted(want.collect())
+    nodes.unpersist()
