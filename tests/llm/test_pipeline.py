@@ -65,7 +65,7 @@ def plain_rows(df):
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_matches_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got = __spark_entry__.queries()[name](spark, sf_dir)
     want = spark.createDataFrame(c.execute(sql.oracle_sql()[name]).fetchdf().astype(object).where(lambda d: d.notna(), None), got.schema)
