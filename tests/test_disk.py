@@ -11,7 +11,8 @@ from folio.config import EngineConfig
 from folio.operators.chunking import as_chunks, fixed_windows, text_windows
 from folio.operators.lexical import index_terms, scan_terms, search_terms
 from folio.operators.lines import lines_of_texts
-from folio.queries import corpus
+from folio.operators.structure import detect_structure
+from folio.queries import corpus, statements
 from folio.sources.scratch import SHUFFLE_CLEANUP, stored
 
 ODD = [(1, "a b\u00a0c\n\n d\te " * 90), (2, ""), (3, None), (4, "one"), (5, "the boat $5 rent " * 45), (6, " \n"), (7, "Rent rent. the the; boat\x1cdock " * 30)]
@@ -52,3 +53,38 @@ def test_shuffle_files_go_with_the_write(spark):
     while files() > had and time.time() < ends:
         time.sleep(0.2)
     assert files() <= had and spark.conf.get(SHUFFLE_CLEANUP) == before and kept.count() == 7
+
+
+def test_tables_stand_where_pairs_of_tables_and_lines_put_them(spark):
+    # (page, height) of lines in reading order, some alike, some out of order, some unknown; tables between, at and beyond them
+    lines = [("a", 1, 10.0), ("a", 1, 30.0), ("a", 1, 30.0), ("a", 2, 5.0), ("a", 2, None), ("a", 1, 50.0), ("a", 3, 7.0), ("b", 1, 1.0)]
+    tables = [("a", 1, 30.0, 1), ("a", 1, 29.0, 2), ("a", 2, 4.0, 3), ("a", 2, None, 4), ("a", 3, 7.0, 5), ("a", 1, 30.0, 6), ("b", 9, 9.0, 1), ("c", 1, 1.0, 1)]
+    rows = [(d, k, p, y, 10.0, False, f"line {k}") for k, (d, p, y) in enumerate(lines, 1)]
+    df = spark.createDataFrame(rows, "document_id string, line_no long, page int, y0 double, font_size double, is_bold boolean, text string")
+    given = spark.createDataFrame([(d, f"{d}{n}", n, p, y) for d, p, y, n in tables], "document_id string, table_id string, table_no int, page int, y0 double")
+    body = spark.createDataFrame([(d, 10.0) for d in "abc"], "document_id string, body_font_size double")
+    blocks = detect_structure(df, body, given)
+    assert "Join" not in blocks.filter("table_id is not null")._jdf.queryExecution().optimizedPlan().toString().replace("Join Inner", "")
+    least = -1.0
+    place = lambda p, y: (p, least if y is None else y)
+    at, no = {}, {}
+    for d, k, p, y, *_ in rows:
+        no[d] = at[d, k] = no.get(d, 0) + 1
+    want = {}
+    for d in "abc":
+        order = [(at[d, k], 1, 0, 0.0, 0, f"line {k}") for e, k, *_ in rows if e == d]
+        for e, p, y, n in tables:
+            if e == d:
+                below = [at[d, k] for f, k, q, z, *_ in rows if f == d and place(q, z) > place(p, y)]
+                order.append((min(below, default=1 << 60), 0, p, place(p, y)[1], n, f"[table:{d}{n}]"))
+        want[d] = [x[-1] for x in sorted(order)]
+    got = {d: [r.text for r in blocks.filter(blocks.document_id == d).orderBy("block_no").collect()] for d in "abc"}
+    assert got == want
+
+
+def test_running_lines_and_blocks_build_no_index(spark, sf_dir):
+    statements.BUILT.clear()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    assert statements.statement_running_lines(spark, sf_dir).count() > 0 and statements.statement_blocks(spark, sf_dir).count() > 0
+    assert {f.rsplit("-", 1)[0] for f in set(os.listdir(base)) - before} == {"orders", "items", "lines", "tables"}
