@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
 from folio.operators.chunking import as_chunks, fixed_windows, text_windows
-from folio.operators.lexical import index_terms, scan_terms, search_terms
+from folio.operators.lexical import index_terms, scan_documents, scan_terms, search_terms
 from folio.operators.lines import lines_of_texts
 from folio.operators.structure import detect_structure
 from folio.queries import corpus, statements
@@ -88,3 +88,29 @@ def test_running_lines_and_blocks_build_no_index(spark, sf_dir):
     before = set(os.listdir(base))
     assert statements.statement_running_lines(spark, sf_dir).count() > 0 and statements.statement_blocks(spark, sf_dir).count() > 0
     assert {f.rsplit("-", 1)[0] for f in set(os.listdir(base)) - before} == {"orders", "items", "lines", "tables"}
+
+
+def test_nodes_are_stored_once_and_in_buckets_that_need_no_shuffle(spark, sf_dir):
+    statements.BUILT.clear()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    assert statements.statement_tree(spark, sf_dir).count() > 0 and statements.statement_packed(spark, sf_dir).count() > 0 and statements.statement_descendants(spark, sf_dir).count() > 0
+    assert sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(base)) - before) == ["items", "lines", "nodes", "orders", "tables"]
+    grouped = statements.statements(spark, sf_dir).nodes.groupBy("document_id", "depth").count()
+    assert grouped.count() > 0 and "hashpartitioning" not in grouped._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_scan_of_documents_finds_what_their_index_finds(spark, sf_dir):
+    texts = [(k, " ".join("boat" if n % 97 == k else "rent" if n % 61 == 0 else f"w{n % (50 + k)}" for n in range(200 + 30 * k))) for k in range(1, 5)]
+    chunks = as_chunks(text_windows(spark.createDataFrame([*texts, *ODD[1:4]], "doc_id long, text string"), config=EngineConfig(window_words=30, window_overlap=5)))
+    asked = spark.createDataFrame([("q1", "1", "boat rent rent"), ("q2", "4", "the boat w7"), ("q3", "3", "w3 w4"), ("q4", None, "boat rent"), ("q5", "9", "one")], "query_id string, document_id string, text string")
+    rows = [sorted(tuple(r) for r in search_terms(i, asked, 3).withColumn("score", F.round("score", 9)).collect()) for i in (scan_documents(chunks), index_terms(chunks))]
+    assert rows[0] == rows[1] != []
+
+
+def test_statement_searches_store_no_postings(spark, sf_dir):
+    statements.BUILT.clear()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    assert statements.statement_references(spark, sf_dir).count() > 0
+    assert not {f.rsplit("-", 1)[0] for f in set(os.listdir(base)) - before} & {"postings", "lengths", "raw-weights", "weights"}
