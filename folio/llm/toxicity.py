@@ -77,19 +77,23 @@ def windowed(values: np.ndarray, span: int) -> np.ndarray:
     return total[span:] - total[:-span]
 
 
+#: Grams and words whose numbers a scoring worker keeps: texts of some megabytes have more than 65,536 grams.
+MOST_KEPT = 1 << 18
+
+
 class ToxicityModel:
     """``weights``: one number a bucket; ``bias``: the softmax's."""
 
     def __init__(self, weights: np.ndarray, bias: float, shape: Shape) -> None:
         self.weights, self.bias, self.shape = weights.astype(np.float32), float(bias), shape
-        gram = Memo(lambda g: float(self.weights[bucket(g, shape)]), 1 << 16)
+        gram = Memo(lambda g: float(self.weights[bucket(g, shape)]), MOST_KEPT)
 
         def word(w: str) -> float:
             grams = grams_of(w, shape)
             return sum(map(gram.__getitem__, grams)) / len(grams)
 
         #: Mean of a word's bucket weights.
-        self.words = Memo(word, 1 << 17)
+        self.words = Memo(word, MOST_KEPT)
 
     def logit(self, text: str | None) -> float:
         words = WORD.findall((text or "").lower())

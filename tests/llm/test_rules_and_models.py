@@ -160,3 +160,16 @@ def test_models_without_both_classes(spark, edges, given):
         with pytest.raises(ValueError):
             scored(edges)
     assert score_quality(edges.filter("false"), train(np.zeros((0, 12)), [])).count() == 0
+
+
+def test_a_scorer_works_out_each_gram_and_word_of_some_megabytes_once():
+    from folio.llm import toxicity
+
+    model, seen = toxicity.ToxicityModel(np.zeros(1 << 18), 0.0, toxicity.Shape()), []
+    made = model.words.made
+    model.words.made = lambda w: seen.append(w) or made(w)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:8]]  # 140,608
+    for _ in range(2):
+        model.logit(" ".join(words))
+    assert len(seen) == len(words)
