@@ -21,6 +21,7 @@ good by the next one, with the same result.
 from __future__ import annotations
 
 import logging
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,10 +29,9 @@ from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
 from folio.functions.text import citation
-from folio.operators.chunking import fixed_windows
+from folio.operators.chunking import as_chunks, text_windows
 from folio.operators.lexical import LexicalIndex, count_terms, weigh_terms
-from folio.operators.lines import lines_of_texts
-from folio.sources.scratch import by_key, stored
+from folio.sources.scratch import by_key, setting, stored
 from jobs.command import command
 
 LOG = logging.getLogger("ingest_documents")
@@ -90,16 +90,36 @@ def last_of_each(documents: DataFrame) -> DataFrame:
     return documents.groupBy("document_id").agg(F.max_by(F.struct("batch", "digest"), "batch").alias("x")).select("document_id", "x.batch", "x.digest")
 
 
+#: Bytes of text that one task of a batch is given, on average.
+TASK_BYTES = 8 << 20
+
+
+def tasks_for(spark: SparkSession, size: int) -> str:
+    """How many tasks ``size`` bytes of text are dealt to, as a session's setting: as many as shuffles have, or more."""
+    return str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES)))
+
+
 def ingest_batch(rows: DataFrame, number: int, out: str, settings: Settings) -> dict[str, int]:
-    """Takes in one batch. The same batch over the same earlier batches always writes the same rows."""
+    """Takes in one batch. The same batch over the same earlier batches always writes the same rows.
+
+    Texts and terms are dealt to more tasks the more text there is, so that a task's memory does not grow with the batch.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length(settings.text_column))).first()[0] or 0
+    with setting(spark, "spark.sql.shuffle.partitions", tasks_for(spark, size)):
+        return take_in(rows, number, out, settings)
+
+
+def take_in(rows: DataFrame, number: int, out: str, settings: Settings) -> dict[str, int]:
     spark, batch = rows.sparkSession, F.lit(number).cast("long").alias("batch")
     before = last_of_each(read_table(spark, out, "documents").filter(F.col("batch") < number)).select(F.col("document_id").alias("known_id"), F.col("digest").alias("known"))
     texts = documents_of(rows, settings)
     new = texts.join(before, (F.col("document_id") == F.col("known_id")) & (F.col("digest") == F.col("known")), "left_anti")
-    lines = lines_of_texts(new, "document_id", "text")
-    windows = fixed_windows(lines, settings.engine()).join(new.select("document_id", "lang"), "document_id")
+    # a text is cut where it stands: its lines are not dealt out and gathered again
+    windows = text_windows(new, "document_id", "text", settings.engine(), keep=("lang",))
+    named = as_chunks(windows, keep=("lang",))
     cited = citation(F.col("document_name"), F.col("section_number"), F.col("page_start"), F.col("page_end")).alias("citation")
-    replace_batch(windows.select("document_id", "chunk_id", "chunk_no", cited, "token_count", "source_text", "lang", batch), out, "chunks")
+    replace_batch(named.select("document_id", "chunk_id", "chunk_no", cited, "token_count", "source_text", "lang", batch), out, "chunks")
     chunks = read_table(spark, out, "chunks").filter(F.col("batch") == number)
     postings, _ = count_terms(chunks)
     replace_batch(by_key(postings, "term", "chunk_id").withColumn("batch", batch), out, "postings")

@@ -186,3 +186,16 @@ def test_command_line(spark, folders, monkeypatch):
     argv = [x for k, v in folders.items() for x in (f"--{k}", v)] + ["--config", "jobs/ingest_documents.json"]
     done = command(ingest_documents.__doc__, "t", ingest_documents.Settings, dict.fromkeys(folders, ""), ingest_documents.run, argv)
     assert done["documents"] == 4
+
+
+def test_more_text_is_dealt_to_more_tasks(spark, folders, monkeypatch):
+    seen = []
+    inner = ingest_documents.take_in
+    monkeypatch.setattr(ingest_documents, "take_in", lambda rows, *a: (seen.append(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), inner(rows, *a))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    add(spark, folders, FIRST)
+    ingest_documents.run(spark, settings=SMALL, **folders)
+    monkeypatch.setattr(ingest_documents, "TASK_BYTES", 10)
+    add(spark, folders, [(9, "berth " * 20, "en", "z")])
+    ingest_documents.run(spark, settings=SMALL, **folders)
+    assert seen == [int(before), 12] and spark.conf.get("spark.sql.shuffle.partitions") == before
