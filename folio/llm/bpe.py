@@ -12,6 +12,7 @@ import json
 import struct
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -31,19 +32,33 @@ def byte_letters() -> dict[str, int]:
 
 
 class Table(dict):
-    """A memo of a function, emptied when it holds ``most`` keys, so a worker's memory stays bounded."""
+    """A memo of a function with ``most`` keys, so a worker's memory stays bounded.
+
+    When it is full its keys become the ones ``before``, from which those that come again are taken back; so common keys
+    stay, and at most ``most`` more are held.
+    """
 
     def __init__(self, made: Callable, most: int) -> None:
         super().__init__()
-        self.made, self.most = made, most
+        self.made, self.most, self.before = made, most, {}
 
     def __missing__(self, key):
-        value = self.made(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.made(key)
         if len(self) >= self.most:
-            self.clear()
+            self.before = dict(self)
+            super().clear()
         self[key] = value
         return value
 
+    def keep(self, most: int) -> None:
+        """Forgets all but the ``most`` keys that came first, which are mostly common ones."""
+        kept = dict(islice(self.items(), most))
+        self.clear()
+        self.update(kept)
+        self.before = {}
+
 
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -85,13 +100,13 @@ class BpeVocabulary:
                 self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
         #: The longest token that is a proper prefix of each token, else -1.
-        self.shorter = {}
+        self.shorter = [-1] * size
         for b, i in self.id_of.items():
             if i in self.born:
                 self.shorter[i] = next((self.id_of[b[:k]] for k in range(len(b) - 1, 0, -1) if self.id_of.get(b[:k]) in self.born), -1)
         self.size_of = list(map(len, self.bytes_of))
         #: The pair-compatibility table, filled as pairs are met.
-        self.pairs = Table(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), 1 << 17)
+        self.pairs = Table(lambda key: self.compatible(key >> 32, key & 0xFFFFFFFF), 1 << 18)
         #: The ids of pieces, packed.
         self.pieces = Table(lambda piece: packed(self.encode_bytes(piece.encode())), 1 << 17)
 
@@ -129,12 +144,24 @@ class BpeVocabulary:
         if known in self.born:
             return [known]
         n, size_of, pairs, shorter = len(data), self.size_of, self.pairs, self.shorter
-        longest = [-1] * n
-        for end, i in self.automaton.iter(data.decode("latin-1")):
-            longest[end + 1 - size_of[i]] = i  # of tokens from one position, the longest ends last
+        letters = data.decode("latin-1")
+        # most pieces are done by the longest token at each border, one after another
         out: list[int] = []
+        at, previous = 0, -1
+        for end, token in self.automaton.iter_long(letters):
+            if end + 1 - size_of[token] != at or (previous >= 0 and not pairs[previous << 32 | token]):
+                break
+            out.append(token)
+            previous, at = token, end + 1
+        if at == n:
+            return out
+        # else a shorter token has to be found for the first that did not fit; tokens already taken are mostly left alone, so
+        # matches are looked for from there on, and from the beginning only if one is taken back
+        longest, known_from = [-1] * n, at
+        for end, i in self.automaton.iter(letters, at):
+            longest[end + 1 - size_of[i]] = i  # of tokens from one position, the longest ends last
         dead = bytearray(n + 1)  # positions from which no valid way on exists
-        at, token, previous = 0, longest[0], -1
+        token = longest[at]
         while at < n:
             while token >= 0:
                 end = at + size_of[token]
@@ -151,6 +178,10 @@ class BpeVocabulary:
                 token = out.pop()
                 at -= size_of[token]
                 token = shorter[token]
+                if at < known_from:
+                    known_from = 0
+                    for end, i in self.automaton.iter(letters):
+                        longest[end + 1 - size_of[i]] = i
                 previous = out[-1] if out else -1
         return out
 
@@ -234,9 +265,9 @@ def code_documents_batches(path: str, keep: tuple[str, ...]):
             if "decoded" in keep:
                 columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *(k for k in ("ids", "decoded") if k in keep)])
-        # a worker lives on after its task; only the fixed tables stay with it
-        v.pieces.clear()
-        v.pairs.clear()
+        # a worker lives on after its task; beside the fixed tables, pairs and common pieces stay with it
+        v.pieces.keep(1 << 15)
+        v.pairs.keep(1 << 17)
 
     return coded
 
