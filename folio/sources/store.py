@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators.dense import GramIndex, Lsa
+from folio.operators.dense import GramIndex, Lsa, LsaTables
 from folio.operators.lexical import LexicalIndex
 from folio.plans.ingest import Index, SearchIndex
 from folio.sources.scratch import BUCKET, by_key, in_buckets
@@ -43,17 +43,24 @@ def save_search(path: str, search: SearchIndex, mode: str = "overwrite") -> None
         getattr(search.grams, name).write.mode(mode).parquet(f"{path}/grams/{name}")
     for name in VECTORS:
         getattr(search.lsa, name).write.mode(mode).parquet(f"{path}/vectors/{name}")
+    if isinstance(search.lsa, LsaTables):
+        search.lsa.factors.select("*", F.lit(search.lsa.dims).alias("dims"), F.lit(search.lsa.rows).alias("rows")).write.mode(mode).parquet(f"{path}/vectors/factor_tables")
+        return
     rows = [(k, bytearray(v.tobytes()), search.lsa.dims) for k, v in enumerate(search.lsa.factors.value)]
     spark.createDataFrame(rows, FACTORS).write.mode(mode).parquet(f"{path}/vectors/factors")
 
 
 def load_search(spark: SparkSession, path: str) -> SearchIndex:
-    """The search index as saved; the factors, some hundred numbers a chunk, go to every executor as after the fit."""
+    """The search index as saved; the factors of a fit that the driver held, some hundred numbers a chunk, go to every executor as after it."""
     per_document = exists(spark, f"{path}/lexical-document")
     folder = f"{path}/lexical-{'document' if per_document else 'corpus'}"
     lexical = LexicalIndex(*(spark.read.parquet(f"{folder}/{name}") for name in LEXICAL), per_document)
     grams = GramIndex(*(spark.read.parquet(f"{path}/grams/{name}") for name in GRAMS))
     inverted, vectors = (spark.read.parquet(f"{path}/vectors/{name}") for name in VECTORS)
+    if exists(spark, f"{path}/vectors/factor_tables"):
+        factors = spark.read.parquet(f"{path}/vectors/factor_tables")
+        sizes = factors.first()
+        return SearchIndex(lexical, grams, LsaTables(inverted, factors.drop("dims", "rows"), vectors, sizes.dims, sizes["rows"]))
     rows = spark.read.schema(FACTORS).parquet(f"{path}/vectors/factors").orderBy("at").collect()
     dims = rows[0].dims if rows else 2
     factors = np.frombuffer(b"".join(bytes(r.factor) for r in rows), np.float32).reshape(-1, dims)
